@@ -12,12 +12,16 @@ table gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,32 +32,93 @@ _SPACES = bytes.maketrans(b"\t\n\r", b"   ")
 
 
 class WordEncoder:
-    """Token ids of a text, word by word with a memory of words; for vocabularies that never join tokens over white space."""
+    """Token ids of texts by way of a memory of words, for a BPE vocabulary with word ends that never joins tokens over white space.
 
-    def __init__(self, path: str, remember: int = 300_000, longest: int = 48):
+    A word that is not known is encoded: one of printable Latin letters as its runs of letters, digits and
+    signs, which the bare model turns into tokens, any other by the whole tokenizer. Many are encoded in one
+    call; the tokens that end a run, or a mark between words, tell them apart.
+    """
+
+    RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")  # as the vocabulary's own splitter does with a word
+    PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\u024f]+")  # no white space, marks or letters whose lower case depends on others
+    #: A byte-level vocabulary writes the bytes of non-ASCII characters so.
+    BYTES = {b: 256 + 34 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 256 + 67}
+    MARK = "\x01"
+
+    def __init__(self, path: str, remember: int = 600_000, longest: int = 48):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remember, self.longest = Tokenizer.from_file(path), remember, longest
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.translate(_SPACES).split(b" ")
-        known = self.known
-        missing = [w for w in {*words} if w not in known]
-        if not missing:
-            return b"".join(map(known.__getitem__, words))
-        if len(known) + len(missing) > self.remember:
+        self.remember, self.longest = remember, longest
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        bare = json.loads(Path(path).read_text())
+        bare |= {"normalizer": None, "added_tokens": [], "post_processor": None}
+        bare["pre_tokenizer"] = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        suffix = bare["model"]["end_of_word_suffix"]
+        vocabulary = bare["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.mark = self.whole.encode(self.MARK, add_special_tokens=False).ids[0]
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.late = 0  # words encoded since the memory is full
+
+    def _cut(self, ids: list[int], stops: np.ndarray, keep: int) -> list[bytes]:
+        """The ids between stops, with the stop itself if keep is 1."""
+        array, at = np.array(ids, "<u4"), np.flatnonzero(stops)
+        raw, ends = array.tobytes(), at.tolist()
+        return [raw[4 * s : 4 * (e + keep)] for s, e in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, other, out = {}, [], {}
+        for w in words:
+            if len(w) <= 1000 and self.PLAIN.fullmatch(t := w.decode()):
+                rs = self.RUNS.findall(t.lower())
+                plain[w] = rs if w.isascii() else [r.encode().decode("latin-1").translate(self.BYTES) for r in rs]
+            else:
+                other.append(w)
+        runs = self.runs
+        missing = list({r for rs in plain.values() for r in rs if r not in runs})
+        if missing:
+            ids = self.bare.encode(" ".join(missing), add_special_tokens=False).ids
+            found = dict(zip(missing, self._cut(ids, self.ends[ids], 1), strict=True))
+            if len(runs) + len(found) > self.remember:
+                runs.clear()
+                found |= {r: None for rs in plain.values() for r in rs if r not in found}
+                if again := [r for r, i in found.items() if i is None]:
+                    ids = self.bare.encode(" ".join(again), add_special_tokens=False).ids
+                    found.update(zip(again, self._cut(ids, self.ends[ids], 1), strict=True))
+            runs.update(found)
+        for w, rs in plain.items():
+            out[w] = runs[rs[0]] if len(rs) == 1 else b"".join([runs[r] for r in rs])
+        texts = [w.decode() for w in other]
+        apart = [(w, t) for w, t in zip(other, texts, strict=True) if self.MARK not in t]
+        if apart:
+            ids = self.whole.encode(f" {self.MARK} ".join([*(t for _, t in apart), ""]), add_special_tokens=False).ids
+            out.update(zip((w for w, _ in apart), self._cut(ids, np.array(ids) == self.mark, 0), strict=True))
+        for w, t in zip(other, texts, strict=True):
+            if self.MARK in t:
+                out[w] = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [t.translate(_SPACES).split(b" ") for t in texts]
+        known = self.words
+        fresh = self._fresh(list({w for words in split for w in words}.difference(known)))
+        if len(known) < self.remember:
+            known.update((w, i) for w, i in fresh.items() if len(w) <= self.longest)
+        else:
+            self.late += len(fresh)
+        for words in split:
+            try:
+                yield b"".join(map(known.__getitem__, words))
+            except KeyError:
+                yield b"".join([known[w] if w in known else fresh[w] for w in words])
+        if self.late > 10 * self.remember:
             known.clear()
-            missing = list({*words})
-        found = dict(zip(missing, self._ids(missing), strict=True))
-        known.update((w, i) for w, i in found.items() if len(w) <= self.longest)
-        return b"".join([found[w] if w in found else known[w] for w in words])
+            self.late = 0
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -73,10 +138,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
-        for b in chunks(batches):
+        for b in chunks(batches, 512):
             out: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
-                ids = words.encode(text) + end
+            for doc, ids in zip(b.column("doc_id").to_pylist(), words.encode(text_bytes(b)), strict=True):
+                ids += end
                 out += [(doc, k, at // 4, len(x := ids[at : at + 4 * size]) // 4, zlib.crc32(x)) for k, at in enumerate(range(0, len(ids), 4 * size))]
             if out:
                 yield batch_of(schema, *zip(*out, strict=True))

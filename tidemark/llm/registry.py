@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, fingerprints, packing, token_counts
+from tidemark.llm import chat, decontamination, fingerprints, packing, quality, token_counts, toxicity
 from tidemark.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -22,6 +26,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_sections(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -58,5 +66,5 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_cha
 """
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_benchmark_decontamination, op5_token_counts, op7_document_fingerprints, op8_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_benchmark_decontamination, op5_token_counts, op6_toxicity, op7_document_fingerprints, op8_chat_formatting)}
 ORACLE_SQL = {"op8_chat_formatting": OP8_SQL}
