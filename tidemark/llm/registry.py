@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, fingerprints, packing, quality, token_counts, toxicity
+from tidemark.llm import chat, decontamination, fingerprints, near_duplicates, packing, quality, substrings, token_counts, toxicity
 from tidemark.llm.common import table
 
 
@@ -47,6 +47,15 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return found.select("doc_id", "text", F.col(substrings.COUNTED).alias("n_sentences"), F.col(substrings.REMOVED).alias("n_removed"))
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -66,5 +75,5 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_cha
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_benchmark_decontamination, op5_token_counts, op6_toxicity, op7_document_fingerprints, op8_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_benchmark_decontamination, op5_token_counts, op6_toxicity, op7_document_fingerprints, op8_chat_formatting, op9_substring_dedup, op10_ngram_jaccard_join)}
 ORACLE_SQL = {"op8_chat_formatting": OP8_SQL}
