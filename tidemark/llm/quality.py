@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,13 +157,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without those scored below the threshold."""
-    model = fit(saved(features(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), "quality"), labels)
+    """docs without those scored below the threshold. Scores are worked out again beside the texts, which then need no shuffle."""
+    model = fit(saved(features(docs), "quality"), labels)
 
     @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
-        return pd.Series(model.scores(np.array([statistics((t or "").encode()) for t in texts]).reshape(-1, len(STATISTICS))))
+    def scored(texts: pd.Series) -> pd.Series:
+        rows = [statistics((t or "").encode()) for t in texts]
+        return pd.Series(model.scores(np.array(rows, "f4").astype("f8").reshape(-1, len(STATISTICS))))
 
     return docs.filter(scored("text") >= threshold)

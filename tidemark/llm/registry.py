@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, fingerprints, near_duplicates, packing, quality, substrings, token_counts, toxicity
+from tidemark.llm import chat, decontamination, fingerprints, lattice, near_duplicates, packing, quality, substrings, token_counts, toxicity
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -75,5 +79,5 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_cha
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_benchmark_decontamination, op5_token_counts, op6_toxicity, op7_document_fingerprints, op8_chat_formatting, op9_substring_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_best_fit_packing, op4_benchmark_decontamination, op5_token_counts, op6_toxicity, op7_document_fingerprints, op8_chat_formatting, op9_substring_dedup, op10_ngram_jaccard_join)}
 ORACLE_SQL = {"op8_chat_formatting": OP8_SQL}
