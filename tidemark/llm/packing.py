@@ -17,6 +17,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -45,12 +46,11 @@ class WordEncoder:
     BYTES = {b: 256 + 34 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 256 + 67}
     MARK = "\x01"
 
-    def __init__(self, path: str, remember: int = 600_000, longest: int = 48):
+    def __init__(self, path: str, remember: int = 250_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.remember, self.longest = remember, longest
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path = path
         bare = json.loads(Path(path).read_text())
         bare |= {"normalizer": None, "added_tokens": [], "post_processor": None}
         bare["pre_tokenizer"] = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
@@ -59,11 +59,23 @@ class WordEncoder:
         vocabulary = bare["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.mark = self.whole.encode(self.MARK, add_special_tokens=False).ids[0]
         self.words: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.late = 0  # words encoded since the memory is full
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, loaded when a word needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
+    @cached_property
+    def mark(self) -> int:
+        return self.whole.encode(self.MARK, add_special_tokens=False).ids[0]
+
     def _cut(self, ids: list[int], stops: np.ndarray, keep: int) -> list[bytes]:
         """The ids between stops, with the stop itself if keep is 1."""
         array, at = np.array(ids, "<u4"), np.flatnonzero(stops)
