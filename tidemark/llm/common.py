@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,34 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+
+
+class Marks:
+    """A bit map of ids: tells that an id is not among them for certain, or that it may be, wrongly with a chance of ids / bits.
+
+    It has bits / 8 bytes for any number of ids; with very many, the test lets all pass, and the join that
+    follows it does all the work.
+    """
+
+    def __init__(self, ids: DataFrame, column: str, bits: int = 1 << 26):
+        self.bits = bits
+        set_bits = ids.select(self.place(column).alias("p")).selectExpr("p div 64 AS word", "shiftleft(1L, cast(p % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+        table = np.zeros(bits // 64, "i8")
+        table[set_bits.column("word").to_numpy()] = set_bits.column("bit").to_numpy()
+        self.table = ids.sparkSession.sparkContext.broadcast(table)
+
+    def place(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.bits))
+
+    def may_have(self, column: str) -> Column:
+        held = self.table
+
+        @F.pandas_udf("boolean")
+        def test(p: pd.Series) -> pd.Series:
+            return pd.Series(marked(held.value, p.to_numpy()))
+
+        return test(self.place(column))
+
+
+def marked(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (table[places >> 6] >> (places & 63)) & 1 == 1

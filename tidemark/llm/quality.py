@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,9 +159,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     """docs without those scored below the threshold. Scores are worked out again beside the texts, which then need no shuffle."""
     model = fit(saved(features(docs), "quality"), labels)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        rows = [statistics((t or "").encode()) for t in texts]
-        return pd.Series(model.scores(np.array(rows, "f4").astype("f8").reshape(-1, len(STATISTICS))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            rows = np.array([statistics(t) for t in text_bytes(b)], "f4").astype("f8").reshape(-1, len(STATISTICS))
+            yield b.filter(pa.array(model.scores(rows) >= threshold))
 
-    return docs.filter(scored("text") >= threshold)
+    return docs.mapInArrow(run, docs.schema)
