@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.rules import MONTHS, MONTHS_UK
+
 # Query keys that only track a visit.
 TRACKING_KEYS = ["fbclid", "gclid", "gbraid", "wbraid", "mc_cid", "mc_eid", "yclid"]
 # Currency aliases, the first one contained wins.
@@ -57,7 +61,7 @@ def currency(c: Column) -> Column:
 
 
 def to_amount(number: Column, multiplier: Column | None = None) -> Column:
-    """A number with thousands and decimal marks of either kind, times thousand or million, at two places."""
+    """A number with thousands and decimal marks of either kind, times thousand or million, at two places; null if it is none or has over 12 figures."""
     n = F.regexp_replace(number, r"[\s ']", "")
     both = F.contains(n, F.lit(",")) & F.contains(n, F.lit("."))
     comma_last = F.locate(",", F.reverse(n)) < F.locate(".", F.reverse(n))
@@ -67,19 +71,21 @@ def to_amount(number: Column, multiplier: Column | None = None) -> Column:
         .when(F.regexp_like(n, F.lit(r"^\d{1,3}([.,]\d{3})+$")), F.regexp_replace(n, "[.,]", ""))
         .otherwise(F.replace(n, F.lit(","), F.lit(".")))
     )
-    times = F.lit(1) if multiplier is None else F.when(F.lower(multiplier).isin("k", "тис"), 1_000).when(F.lower(multiplier).isin("m", "млн"), 1_000_000).otherwise(1)
-    return F.round(plain.try_cast("decimal(20,4)") * times, 2).cast("decimal(14,2)")
+    times = F.lit(1) if multiplier is None else F.when(F.lower(multiplier).isin("k", "тис", "thousand"), 1_000).when(F.lower(multiplier).isin("m", "млн", "million"), 1_000_000).otherwise(1)
+    return F.round(plain.try_cast("decimal(20,4)") * times, 2).try_cast("decimal(14,2)")
 
 
 def to_date(c: Column) -> Column:
-    """The first that reads as a date: D.M.YYYY, D.M.YY, YYYY-M-D, `Month D, YYYY`, `D Month YYYY`; null for days that are not."""
-    months = F.create_map(*[F.lit(x) for k, m in enumerate(["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"], 1) for x in (m, k)])
+    """The first that reads as a date: `D month YYYY` in Ukrainian, `Month D, YYYY`, `D Month YYYY`, D.M.YYYY, D.M.YY, YYYY-M-D; null for days that are not."""
+    months = F.create_map(*[F.lit(x) for name, k in (MONTHS | MONTHS_UK).items() for x in (name, k)])
     part = lambda pattern, k: F.regexp_extract(F.lower(c), pattern, k)
     made = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
-    name = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+    name, local = (f"({'|'.join(sorted(table, key=len, reverse=True))})" for table in (MONTHS, MONTHS_UK))
+    uk = rf"(?U)\b(\d{{1,2}})\s+{local}\s+(20\d{{2}})\b"
+    mdy, dmny = rf"\b{name}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(20\d{{2}})\b", rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{name}\.?,?\s+(20\d{{2}})\b"
     dmy, dm2, ymd = r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{4})\b", r"\b(\d{1,2})\.(\d{1,2})\.(\d{2})\b", r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
-    mdy, dmny = name + r"\s+(\d{1,2}),?\s+(\d{4})", r"(\d{1,2})\s+" + name + r",?\s+(\d{4})"
     return F.coalesce(
+        made(part(uk, 3), F.try_element_at(months, part(uk, 2)), part(uk, 1)),
         made(part(mdy, 3), F.try_element_at(months, part(mdy, 1)), part(mdy, 2)),
         made(part(dmny, 3), F.try_element_at(months, part(dmny, 2)), part(dmny, 1)),
         made(part(dmy, 3), part(dmy, 2), part(dmy, 1)), made(F.concat(F.lit("20"), part(dm2, 3)), part(dm2, 2), part(dm2, 1)), made(part(ymd, 1), part(ymd, 2), part(ymd, 3)),
@@ -111,11 +117,16 @@ def summary(c: Column, least: int = 25, enough: int = 300, most: int = 700) -> C
     return F.left(F.coalesce(F.nullif(joined, F.lit("")), F.left(clean_text(c), F.lit(500))), F.lit(most))
 
 
+def let(value: Column, build: Callable[[Column], Column]) -> Column:
+    """build(value), with the value computed once a row however often build names it."""
+    return F.get(F.transform(F.array(value), build), 0)
+
+
 def snippet(c: Column, words: list[str], radius: int = 240) -> Column:
     """The stretch around the earliest of the words."""
-    at = F.array_min(F.filter(F.array(*(F.locate(w, F.lower(c)) for w in words)), lambda x: x > 0))
-    start = F.greatest(at - radius // 2, F.lit(1))
-    return clean_text(F.substring(c, start, at + radius - start))
+    at = let(F.lower(c), lambda low: F.array_min(F.filter(F.array(*(F.locate(w, low) for w in words)), lambda x: x > 0)))
+    start = lambda k: F.greatest(k - radius // 2, F.lit(1))
+    return let(at, lambda k: clean_text(F.substring(c, start(k), k + radius - start(k))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -93,3 +93,21 @@ def groups(pairs: DataFrame) -> DataFrame:
 def primaries(members: DataFrame, records: DataFrame, order: list[Column]) -> DataFrame:
     """group_id, primary_id: the member with the greatest of the order's columns, ties to the greatest id."""
     return members.join(records, "id").groupBy("group_id").agg(F.max_by("id", F.struct(*order, "id")).alias("primary_id"))
+
+
+def annotate(records: DataFrame, pairs: DataFrame, order: list[Column]) -> DataFrame:
+    """records (id and the order's columns) with what duplicates were found: group_id, group_size, primary_id, is_primary, is_duplicate, potential_duplicate, candidate_count, max_candidate_score.
+
+    A record without candidates has false, 0 and nulls. pairs are from candidates(), where each pair stands once.
+    """
+    ends = F.explode(F.array("left_id", "right_id")).alias("id")
+    own = pairs.select(ends, "score").groupBy("id").agg(F.count("*").alias("candidate_count"), F.max("score").alias("max_candidate_score"))
+    members = groups(pairs)
+    first = primaries(members.select("id", "group_id"), records, order)
+    held = members.join(first, "group_id").select("id", "group_id", F.col("size").alias("group_size"), "primary_id")
+    out = records.join(own, "id", "left").join(held, "id", "left")
+    primary = F.coalesce(F.col("primary_id") == F.col("id"), F.lit(False))
+    return out.withColumns({
+        "is_primary": primary, "is_duplicate": F.col("primary_id").isNotNull() & ~primary, "potential_duplicate": F.coalesce(F.col("candidate_count") > 0, F.lit(False)) & F.col("group_id").isNull(),
+        "candidate_count": F.coalesce("candidate_count", F.lit(0)),
+    })

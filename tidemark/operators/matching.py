@@ -39,8 +39,9 @@ def gates(opportunities: DataFrame, as_of: str) -> DataFrame:
 def pairs(opportunities: DataFrame, clients: DataFrame) -> DataFrame:
     """The pairs of an opportunity and a client that share a topic.
 
-    A pair without a shared topic stays under the least score, so topics are an equi-join key. Clients are
-    broadcast only if they are counted to be few.
+    Topics are the equi-join key. A client whose wanted words stand only in the text is not paired here; see
+    gates.candidates for all pairs that can reach the least score. Clients are broadcast only if they are counted
+    to be few.
     """
     wants = clients.withColumn("topic", F.explode("wanted"))
     few = clients.limit(BROADCAST_CLIENTS + 1).count() <= BROADCAST_CLIENTS

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
+def counted(df: DataFrame, seen: Observation | None = None, *metrics: Column) -> DataFrame:
+    """df, whose rows Spark counts on its way (`records` and the metrics, to be read from `seen` after an action that reads them once, such as a write).
+
+    Filters set on the result stay behind it: long expressions of a chain of columns are not copied into them.
+    """
+    return df.observe(seen or Observation(), F.count(F.lit(1)).alias("records"), *metrics)
+
+
 def counts(df: DataFrame, by: str, missing: str = "unknown") -> DataFrame:
     return df.groupBy(F.coalesce(F.col(by), F.lit(missing)).alias(by)).agg(F.count("*").alias("n"))
 

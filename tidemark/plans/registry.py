@@ -7,23 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import change, dedup, embedding, matching, quality, reports
+from tidemark.plans import record_queries  # noqa: F401
+from tidemark.plans.base import AS_OF, ORACLE_SQL, QUERIES, query  # noqa: F401
 from tidemark.sources import files, views
 
-AS_OF = "1998-01-15"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 V_OPPS = """opps AS (SELECT p_partkey AS id, p_name AS title, string_split(p_name, ' ') AS topics, p_brand AS funder, lower(p_type) AS support_type,
   p_retailprice::DECIMAL(14,2) AS amount_max, DATE '1998-01-01' + p_size::INT AS deadline, 'src' || (p_partkey % 5) AS source,
   CASE WHEN p_partkey % 7 = 0 THEN 'closed' WHEN p_partkey % 11 <> 0 THEN 'open' END AS status,
@@ -224,24 +211,14 @@ def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
-def _customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as records whose names differ by their numbers; each fiftieth repeats the one before it."""
-    key = F.col("c_custkey")
-    of = F.when(key % 50 == 49, key - 1).otherwise(key)
-    return views.table(spark, sf_dir, "customer").select(
-        key.alias("id"), F.concat(F.lit("Regional Innovation Fund "), F.conv((of * 7919 + 104729).cast("string"), 10, 36), F.lit(" for "), F.lower("c_mktsegment")).alias("title"), F.concat(F.lit("https://Example.org/"), of.cast("string"), F.lit("/?utm_source=x")).alias("source_url"),
-        F.col("c_mktsegment").alias("funder"), F.date_add(F.lit("1998-01-01").cast("date"), (of % 900).cast("int")).alias("deadline"), F.lit(None).cast("string").alias("program"), F.col("c_acctbal").cast("decimal(14,2)").alias("amount_max"), F.lit("EUR").alias("currency"), F.array(F.lower("c_mktsegment")).alias("topics"),
-    )
-
-
 @query()
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.candidates(_customer_records(spark, sf_dir)).select("left_id", "right_id", "score", F.concat_ws(",", "reasons").alias("reasons"))
+    return dedup.candidates(views.named_records(spark, sf_dir)).select("left_id", "right_id", "score", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 @query("SELECT c_custkey AS id, c_custkey // 50 * 50 + 48 AS root, 2 AS size FROM customer WHERE (c_custkey % 50 = 48 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)) OR c_custkey % 50 = 49")
 def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.groups(dedup.candidates(_customer_records(spark, sf_dir))).select("id", "root", F.col("size").cast("int").alias("size"))
+    return dedup.groups(dedup.candidates(views.named_records(spark, sf_dir))).select("id", "root", F.col("size").cast("int").alias("size"))
 
 
 @query("""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-zа-яіїєґ0-9]{2,}')) AS word FROM documents), d AS (SELECT id, word, count(*) AS n, sha256(word) AS h FROM w GROUP BY 1, 2),

@@ -48,3 +48,43 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").withColumnRenamed("doc_id", "id")
+
+
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opportunities with the fields that the contract and the gates read."""
+    key = F.col("id")
+    texts = lambda values: F.element_at(F.array(*(F.array(*map(F.lit, v)).cast("array<string>") for v in values)), (key % len(values) + 1).cast("int"))
+    suffix = F.when(key % 17 == 0, " grant fund").when(key % 17 == 1, " training course").when(key % 17 == 2, " digest ").otherwise("")
+    return opportunities(spark, sf_dir).withColumns({
+        "title": F.concat("title", suffix), "description": F.when(key % 23 == 0, "For civil society only"), "applicant_types": texts([["SME", "company"], ["NGO"], [], ["startup"]]),
+        "countries": F.when(key % 3 == 0, F.array(F.concat(F.lit("NATION_"), (key % 25).cast("string")))).when(key % 3 == 1, F.array(F.lit("EU"))).otherwise(F.array().cast("array<string>")),
+        "restrictions": F.when(key % 13 == 0, "A company is not eligible").when(key % 13 == 1, "Деякі не можуть"), "confidence": (F.lit(0.5) + (key % 5) * 0.1).cast("decimal(5,4)"),
+        "quality_score": (key % 100).cast("int"), "amount_text": F.when(key % 2 == 0, "EUR 5 000"), "is_duplicate": key % 19 == 0, "primary_id": F.when(key % 19 == 0, key + 1),
+    })
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients with the fields that the gates read, and their latest applications."""
+    key = F.col("client_key")
+    pick = lambda values, n: F.element_at(F.array(*values), (key / 10 % n + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p")), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "part"), F.col("p") == F.col("p_partkey"))
+    one = F.struct(
+        (-F.unix_date(F.col("o_orderdate").cast("date"))).alias("d"), (-F.col("o_orderkey")).alias("k"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("program"), F.lit(None).cast("string").alias("source"), F.col("o_orderstatus").alias("result"),
+        F.split("p_name", " ").alias("topics"), F.when(F.col("o_orderkey") % 2 == 0, "sme").alias("applicant_type"), (F.col("o_orderkey") % 4 == 0).alias("reusable"), F.when(F.col("o_orderstatus") == "F", 120).otherwise(100).alias("weight"),
+    )
+    latest = F.transform(F.slice(F.array_sort(F.collect_list(one)), 1, 3), lambda h: F.struct(*(h[c].alias(c) for c in ("title", "program", "source", "result", "topics", "applicant_type", "reusable", "weight"))))
+    past = rows.groupBy(F.col("o_custkey").alias("client_key")).agg(latest.alias("history"))
+    return clients(spark, sf_dir).join(past, "client_key", "left").withColumns({
+        "organization_type": pick([F.lit("NGO"), F.lit("startup"), F.lit("small business"), F.lit("LLC company"), F.lit(None).cast("string")], 5), "product": F.lit(None).cast("string"),
+        "technologies": pick([F.array(F.lit("Economy"), F.lit("ear")), F.array(F.lit("promo")), F.array().cast("array<string>")], 3), "sector": F.when(key % 60 == 0, "Standard").otherwise(F.col("sector")),
+    })
+
+
+def named_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as records whose names differ by their numbers; each fiftieth repeats the one before it."""
+    key = F.col("c_custkey")
+    of = F.when(key % 50 == 49, key - 1).otherwise(key)
+    return table(spark, sf_dir, "customer").select(
+        key.alias("id"), F.concat(F.lit("Regional Innovation Fund "), F.conv((of * 7919 + 104729).cast("string"), 10, 36), F.lit(" for "), F.lower("c_mktsegment")).alias("title"), F.concat(F.lit("https://Example.org/"), of.cast("string"), F.lit("/?utm_source=x")).alias("source_url"),
+        F.col("c_mktsegment").alias("funder"), F.date_add(F.lit("1998-01-01").cast("date"), (of % 900).cast("int")).alias("deadline"), F.lit(None).cast("string").alias("program"), F.col("c_acctbal").cast("decimal(14,2)").alias("amount_max"), F.lit("EUR").alias("currency"), F.array(F.lower("c_mktsegment")).alias("topics"),
+    )
