@@ -48,7 +48,8 @@ def deadline(c: Column) -> Column:
         )
         dated = F.transform(F.filter(seen, lambda x: x["date"].isNotNull()), lambda x, k: F.struct(x["word"].alias("word"), k.alias("place"), x["date"].alias("deadline"), x["text"].alias("deadline_text")))
         whole = F.when(F.char_length(cleaned) <= 240, to_date(cleaned))
-        return let(F.array_min(dated), lambda best: F.struct(F.coalesce(best["deadline"], whole).alias("deadline"), best["deadline_text"].alias("deadline_text")))
+        said = let(F.lower(cleaned), lambda low: has_any(low, rules.DEADLINE_WORDS))
+        return let(F.when(said, F.array_min(dated)), lambda best: F.struct(F.coalesce(best["deadline"], whole).alias("deadline"), best["deadline_text"].alias("deadline_text")))
 
     return let(clean_text(c), read)
 
@@ -158,7 +159,7 @@ def status(stated: Column, deadline_at: Column, as_of: Column) -> Column:
 
 def support_type(stated: Column, text: Column) -> Column:
     """The first kind of support named in the stated one and the text, else the stated one."""
-    return F.coalesce(first_label(padded(stated, text), rules.SUPPORT_TYPES), clean_text(stated))
+    return F.coalesce(let(padded(stated, text), lambda t: first_label(t, rules.SUPPORT_TYPES)), clean_text(stated))
 
 
 def is_generic_title(c: Column) -> Column:
