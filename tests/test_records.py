@@ -9,7 +9,7 @@ from test_operators import values
 
 from tidemark.functions import extraction as x
 from tidemark.functions import text
-from tidemark.operators import audit, classification, dedup, enrich, external, gates, quality
+from tidemark.operators import audit, classification, dedup, enrich, external, gates, profiles, quality, reports
 
 
 def d(v):
@@ -120,3 +120,17 @@ def test_duplicate_marks(spark):
     got = {r.id: r for r in dedup.annotate(records.select("id"), dedup.candidates(records), []).collect()}
     assert (got[1].is_duplicate, got[1].primary_id, got[2].is_primary, got[2].candidate_count) == (True, 2, True, 1)
     assert not got[3].is_duplicate and got[4].candidate_count == 0 and got[4].group_id is None
+
+
+def test_vectors_profiles_and_ledger(spark):
+    rows = [([1.0, 0.0], [1.0, 0.0], [[0.0, 1.0], [1.0, 1.0]]), ([1.0, 0.0], [-1.0, 0.0], []), (None, [1.0, 0.0], None), ([0.0, 0.0], [1.0, 0.0], None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<double>, b array<double>, p array<array<double>>")
+    assert [r.v for r in df.select("k", gates.vector_score(F.col("a"), F.col("b"), F.col("p")).alias("v")).orderBy("k").collect()] == [9414, 0, None, None]
+    record = spark.createDataFrame([("T", None, "5 EUR", [], ["a", "b"]), (None, None, None, None, None)], "title string, summary string, amount_text string, countries array<string>, topics array<string>")
+    assert [r.t for r in record.select(profiles.profile_text(record, profiles.RECORD).alias("t")).collect()] == ["Title: T Funding: 5 EUR Countries: Topics: a, b", "Countries: Topics:"]
+    bodies = ['{"deadlineDates": ["2025-01-01", "2026-05-06", "2026-03-04"], "other": "2026-01-05"}', '{"a": {"deadline": "1 May 2024"}}', '{"date": "2026-01-01"}', "no json", None]
+    assert values(spark, lambda c: x.payload_deadline(c, F.lit("2026-01-01")), bodies) == [date(2026, 3, 4), date(2024, 5, 1), None, None, None]
+    jobs = spark.createDataFrame([(k, "failed" if k % 2 else "ok") for k in range(60)], "id int, status string")
+    run = reports.run_summary(jobs, "status", ["failed"], ["skipped"], "id", F.col("id").cast("string")).first()
+    assert (run.processed, run.failed, run.status, run.errors[:3], len(run.errors)) == (60, 30, "partial", ["1", "3", "5"], 20)
+    assert reports.run_summary(jobs.limit(0), "status", ["failed"], [], "id", F.col("id").cast("string")).first().status == "success"

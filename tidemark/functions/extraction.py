@@ -54,6 +54,13 @@ def deadline(c: Column) -> Column:
     return let(clean_text(c), read)
 
 
+def payload_deadline(body: Column, as_of: Column) -> Column:
+    """The nearest date from as_of on under any key of a JSON text that names a deadline, else the latest one; null without any."""
+    values = F.regexp_extract_all(body, F.lit(r'(?iu)"[^"]*deadline[^"]*"\s*:\s*(\[[^\]]*\]|"(?:[^"\\]|\\.)*")'), 1)
+    dates = F.flatten(F.transform(values, lambda v: F.transform(F.regexp_extract_all(v, F.lit(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{1,2}\s+\p{L}+\s+20\d{2}"), 0), to_date)))
+    return let(F.array_compact(dates), lambda found: F.coalesce(F.array_min(F.filter(found, lambda x: x >= as_of.cast("date"))), F.array_max(found)))
+
+
 def clean_deadline_text(c: Column) -> Column:
     for tail in rules.DEADLINE_TAILS:
         c = F.regexp_replace(clean_text(c), rf"(?iu)\s*{tail}", "")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions.extraction import has_any, labels, padded
-from tidemark.functions.text import clean_text
+from tidemark.functions.text import clean_text, cosine
 from tidemark.operators.classification import column
 from tidemark.operators.reports import counted
 
@@ -116,6 +116,15 @@ def _rounded(c: Column, most: int = 10_000) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(most), F.bround(c.cast("double"), 0))).cast("int")
 
 
+def vector_score(offer: Column, client: Column, past: Column | None = None) -> Column:
+    """0.8 of the likeness to the client and 0.2 of the best one to its applications, an array of vectors; null if there is none at all."""
+    near = lambda a, b: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b))) * 10_000).cast("int")
+    own, best = F.when(cosine(offer, client).isNotNull(), near(offer, client)), F.lit(None).cast("int")
+    if past is not None:
+        best = F.array_max(F.filter(F.transform(past, lambda h: F.when(cosine(offer, h).isNotNull(), near(offer, h))), lambda v: v.isNotNull()))
+    return F.when(own.isNotNull() | best.isNotNull(), _rounded((F.coalesce(own, F.lit(0)) * 8 + F.coalesce(best, F.lit(0)) * 2) / 10))
+
+
 def scores(pairs: DataFrame) -> DataFrame:
     """pairs with the hits, keyword, history and the blended score; `vector`, if there, is a likeness or null."""
     hits = pairs.withColumns({
@@ -167,15 +176,19 @@ def report(scored: DataFrame) -> DataFrame:
     return scored.withColumns({"explanation_text": F.concat(F.lit("Candidate match because "), text, F.lit(".")), "risks": F.when(risks == "", "No major deterministic risks detected.").otherwise(risks)})
 
 
-def match(opportunities: DataFrame, clients: DataFrame, as_of: str, include_low_quality: bool = False, least_quality: int = MIN_QUALITY, least: int = MIN_SCORE, seen: Observation | None = None) -> DataFrame:
+def match(opportunities: DataFrame, clients: DataFrame, as_of: str, include_low_quality: bool = False, least_quality: int = MIN_QUALITY, least: int = MIN_SCORE, near: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
     """The pairs that pass all gates and reach the least score, with hits, checks and explanation.
 
     Opportunities that no client can take leave before the join. An opportunity or a client without any list pairs
-    with none; both tables may be empty. After an action `seen` holds the number of pairs scored (`records`) and
+    with none; both tables may be empty. `near` adds pairs (id, client_key, vector) that are alike by embedding, such
+    as each client's nearest opportunities; their vector_score then counts too. After an action `seen` holds the number of pairs scored (`records`) and
     of those under the least score (`low`).
     """
     open_to_some = opportunity_gates(opportunities, as_of, include_low_quality, least_quality).filter(F.size("reasons") == 0)
     kept = open_to_some.select("id", "reasons", "checks", "body", "topic_set", "country_set", "type_set", "restricted", "nonprofit_only", "surety")
     sides = client_sides(clients)
-    pairs = candidates(kept, sides).join(kept, "id").join(sides, "client_key").transform(pair_gates).filter("passed")
+    both = candidates(kept, sides)
+    if near is not None:
+        both = both.join(near.select("id", "client_key", "vector").dropDuplicates(["id", "client_key"]), ["id", "client_key"], "full")
+    pairs = both.join(kept, "id").join(sides, "client_key").transform(pair_gates).filter("passed")
     return counted(scores(pairs), seen, F.count_if(F.col("score") < least).alias("low")).filter(F.col("score") >= least).withColumn("explanation", explanation())

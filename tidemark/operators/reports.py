@@ -49,3 +49,16 @@ def search(df: DataFrame, text: str | None = None, fields: tuple[str, ...] = ("t
     if topic:
         df = df.filter(F.exists("topics", lambda t: F.lower(t) == topic.lower()))
     return df
+
+
+def run_summary(rows: DataFrame, status: str, failed: list[str], skipped: list[str], order: str, error: Column, kept: int = 20) -> DataFrame:
+    """One row of a run's ledger: processed, failed, skipped, its status and the first `kept` errors in order.
+
+    A run without failures is a success, one with only failures failed, any other partial; an empty one is a success.
+    """
+    own = rows.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col(status).isin(failed)).alias("failed"), F.count_if(F.col(status).isin(skipped)).alias("skipped"))
+    first = rows.filter(F.col(status).isin(failed)).orderBy(order).limit(kept).select(F.col(order).alias("place"), error.alias("error"))
+    both = own.unionByName(first, allowMissingColumns=True).groupBy().agg(
+        *(F.max(c).alias(c) for c in ("processed", "failed", "skipped")), F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "error")))), lambda e: e["error"]).alias("errors"),
+    )
+    return both.withColumn("status", F.when(F.col("failed") == 0, "success").when(F.col("failed") == F.col("processed"), "failed").otherwise("partial"))

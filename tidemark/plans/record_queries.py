@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import extraction, rules
-from tidemark.operators import audit, classification, dedup, enrich, external, gates, matching
+from tidemark.operators import audit, classification, dedup, enrich, external, gates, matching, profiles, reports
 from tidemark.plans.base import AS_OF, query
 from tidemark.sources import views
 
@@ -173,3 +173,32 @@ def duplicate_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = views.named_records(spark, sf_dir)
     marked = dedup.annotate(records.select("id"), dedup.candidates(records), [])
     return marked.filter("group_id is not null").select("id", "primary_id", "is_primary", "is_duplicate")
+
+
+@query("""SELECT client_key, id, score FROM (SELECT q.vec_id AS client_key, e.vec_id AS id, round_even(round(greatest(0.0, least(1.0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]))) * 10000)::INT * 8 / 10, 0)::INT AS score
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) QUALIFY row_number() OVER (PARTITION BY client_key ORDER BY score DESC, id) <= 10""")
+def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows with the greatest vector score for each of the stated queries."""
+    rows = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("client_key"), F.col("embedding").alias("own"))
+    pairs = rows.join(F.broadcast(asked), F.col("vec_id") != F.col("client_key")).select("client_key", F.col("vec_id").alias("id"), gates.vector_score(F.col("embedding"), F.col("own")).alias("score"))
+    return matching.shortlist(pairs.withColumn("client", F.col("client_key")), least=0).select("client_key", "id", "score")
+
+
+@query(f"""WITH {OFFERS} SELECT 'record' AS kind, id::VARCHAR AS id, concat_ws(' ', 'Title: ' || trim(title), 'Summary: ' || summary, 'Funder: ' || funder, 'Status: ' || status, 'Support type: ' || support_type, 'Funding: ' || amount_text || ' EUR',
+    trim('Countries: ' || array_to_string(countries, ', ')), trim('Applicant types: ' || array_to_string(applicant_types, ', ')), 'Topics: ' || array_to_string(topics, ', '), 'Restrictions: ' || restrictions, 'Description: ' || description) AS text FROM offers
+  UNION ALL SELECT 'client', c_custkey::VARCHAR, concat_ws(' ', 'Client: ' || c_name, 'Country: ' || n_name, 'Sector: ' || CASE WHEN c_custkey % 60 = 0 THEN 'Standard' ELSE c_mktsegment END,
+    'Organization type: ' || CASE c_custkey // 10 % 5 WHEN 0 THEN 'NGO' WHEN 1 THEN 'startup' WHEN 2 THEN 'small business' WHEN 3 THEN 'LLC company' END, trim('Technologies: ' || CASE c_custkey // 10 % 3 WHEN 0 THEN 'Economy, ear' WHEN 1 THEN 'promo' ELSE '' END),
+    'Target topics: ' || CASE c_custkey % 4 WHEN 0 THEN 'ring, blue' WHEN 1 THEN 'bolt, red, small' WHEN 2 THEN 'gear, hot, large' ELSE 'widget, cold' END, 'Excluded topics: ' || CASE c_custkey % 4 WHEN 0 THEN 'old' WHEN 1 THEN 'plate' WHEN 2 THEN 'new' ELSE 'anvil' END)
+    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0
+  UNION ALL SELECT 'application', o_orderkey::VARCHAR, concat_ws(' ', 'Client: ' || o_custkey, 'Result: ' || o_orderstatus) FROM orders""")
+def profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    applications = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("client"), F.col("o_orderstatus").alias("result"))
+    return profiles.all_profiles(views.offers(spark, sf_dir), views.profiles(spark, sf_dir), applications)
+
+
+@query("""SELECT count(*) AS processed, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS skipped, 'partial' AS status,
+  (SELECT string_agg(event_id::VARCHAR, ';' ORDER BY event_id) FROM (SELECT event_id FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 20)) AS errors FROM events""")
+def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = reports.run_summary(views.jobs(spark, sf_dir), "status", ["error"], ["view"], "id", F.col("id").cast("string"))
+    return run.withColumn("errors", F.array_join("errors", ";"))
