@@ -9,7 +9,7 @@ from test_operators import values
 
 from tidemark.functions import extraction as x
 from tidemark.functions import text
-from tidemark.operators import audit, classification, dedup, enrich, external, gates, profiles, quality, reports
+from tidemark.operators import audit, classification, dedup, embedding, enrich, external, gates, profiles, quality, reports
 
 
 def d(v):
@@ -134,3 +134,10 @@ def test_vectors_profiles_and_ledger(spark):
     run = reports.run_summary(jobs, "status", ["failed"], ["skipped"], "id", F.col("id").cast("string")).first()
     assert (run.processed, run.failed, run.status, run.errors[:3], len(run.errors)) == (60, 30, "partial", ["1", "3", "5"], 20)
     assert reports.run_summary(jobs.limit(0), "status", ["failed"], [], "id", F.col("id").cast("string")).first().status == "success"
+
+
+def test_nearest_in_blocks_equals_nearest_at_once(spark):
+    rows = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos(F.col("id") * 3), F.lit(0.5)).alias("embedding"))
+    asked = rows.filter("vec_id % 5 = 0")
+    take = lambda most: sorted(map(tuple, embedding.nearest(asked, rows, 3, most).select("query_id", "rank", "vec_id").collect()))
+    assert take(100) == take(3) and len(take(100)) == 24

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import extraction, rules
-from tidemark.operators import audit, classification, dedup, enrich, external, gates, matching, profiles, reports
+from tidemark.operators import audit, classification, dedup, embedding, enrich, external, gates, matching, profiles, reports
 from tidemark.plans.base import AS_OF, query
 from tidemark.sources import views
 
@@ -181,7 +181,7 @@ def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten rows with the greatest vector score for each of the stated queries."""
     rows = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("client_key"), F.col("embedding").alias("own"))
-    pairs = rows.join(F.broadcast(asked), F.col("vec_id") != F.col("client_key")).select("client_key", F.col("vec_id").alias("id"), gates.vector_score(F.col("embedding"), F.col("own")).alias("score"))
+    pairs = embedding.with_each(rows, asked, "vec_id", "client_key").filter("vec_id <> client_key").select("client_key", F.col("vec_id").alias("id"), gates.vector_score(F.col("embedding"), F.col("own")).alias("score"))
     return matching.shortlist(pairs.withColumn("client", F.col("client_key")), least=0).select("client_key", "id", "score")
 
 
