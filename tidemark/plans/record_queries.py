@@ -56,9 +56,9 @@ def class_sql(title: str, body: str) -> str:
 
 @query(f"WITH {BODIES} SELECT class, count(*) AS n, min(id) AS first_id FROM (SELECT id, {class_sql('head', 'head')} AS class FROM bodies) GROUP BY class")
 def record_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by the class of their first 80 characters, taken as titles."""
-    titles = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"))
-    return classification.classify(titles).groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    """Documents by class: the first 80 characters are the title, the whole text is the description."""
+    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), F.col("text").alias("description"))
+    return classification.classify(docs).groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 OFFERS = """offers AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 17 WHEN 0 THEN ' grant fund' WHEN 1 THEN ' training course' WHEN 2 THEN ' digest ' ELSE '' END AS title, string_split(p_name, ' ') AS topics, p_brand AS funder,
