@@ -4,9 +4,10 @@ import duckdb
 import pytest
 from test_queries import SF, TABLES, rows
 
+from tidemark.operators import gates
 from tidemark.plans import record_queries, registry
 
-CUTS = {" WHERE c_custkey % 10 = 0": "", " WHERE o_custkey % 10 = 0": ""}
+CUTS = {" WHERE c_custkey % 10 = 0": "", " WHERE o_custkey % 10 = 0": "", " WHERE n <= 12)": ")", " WHERE n <= 3)": ")"}
 
 
 def whole(name: str) -> str:
@@ -35,3 +36,13 @@ def test_classes_read_the_whole_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["class"]: (r.n, r.first_id) for r in record_queries.record_classes(spark, str(tmp_path)).collect()}
     assert got == {"unknown": (3, 0), "grant": (1, 1), "digest": (1, 3)}
+
+
+def test_all_applications_count_in_any_number_of_blocks(spark):
+    pair = spark.createDataFrame([(7, 1, "body", ["a"], ["x"])], "id int, client_key int, body string, topic_set array<string>, type_set array<string>")
+    past = [(1, n, f"t{n}", None, None, "won", ["a"] if n in (80, 90) else ["b"], None, False, 100 if n == 90 else 50) for n in range(100)]
+    rows = spark.createDataFrame(past, "client_key int, order int, title string, program string, source string, result string, topics array<string>, applicant_type string, reusable boolean, weight int")
+    for size in (3, 64, 1000):
+        got = gates.remembered(pair, gates.in_blocks(rows, size)).collect()
+        assert [(r.history_score, [h.title for h in r.matched_history]) for r in got] == [(5000, ["t80", "t90"])]
+    assert gates.remembered(pair, gates.in_blocks(rows.limit(0))).first().history_score == 0

@@ -2,13 +2,14 @@
 
 Opportunities are columns of classification.contract (with quality_score, and is_duplicate, primary_id,
 potential_duplicate, is_primary where duplicates were sought). Clients have client_key, client, country, sector,
-organization_type, product, wanted, unwanted, technologies and history, an array of structs (title, program,
-source, result, topics, applicant_type, reusable, weight in per cent). A null list counts as empty.
+organization_type, product, wanted, unwanted and technologies. Their applications are rows of client_key, order,
+title, program, source, result, topics, applicant_type, reusable, weight in per cent; or an array of such structs,
+in order, as the clients' column history. A null list counts as empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
@@ -18,6 +19,9 @@ from tidemark.operators.classification import column
 from tidemark.operators.reports import counted
 
 MIN_QUALITY, MIN_SCORE = 40, 2500
+#: So many of a client's applications stand in one row at most while pairs are scored.
+BLOCK = 64
+PAST = ["title", "program", "source", "result", "topics", "applicant_type", "reusable", "weight"]
 
 
 def normal_set(c: Column) -> Column:
@@ -76,18 +80,29 @@ def terms_in_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return maybe.join(texts, "id").filter(F.contains("body", "term")).select("id", "term").join(terms, "term").select("id", "client_key").distinct()
 
 
-def candidates(opportunities: DataFrame, clients: DataFrame) -> DataFrame:
+def candidates(opportunities: DataFrame, clients: DataFrame, applications: DataFrame) -> DataFrame:
     """id, client_key, once, of the pairs that can reach MIN_SCORE.
 
     They share a topic, or the opportunity's text holds a technology, the sector or an application's title, program
     or source. Any other pair has at most 0.75 * 0.15 for its type, 0.25 * 0.25 * weight for its history and 0.05
     for its confidence: below 0.25 for weights up to 140 per cent.
     """
-    past = lambda f: F.transform(F.coalesce("history", F.array().cast(clients.schema["history"].dataType)), f)
-    topics = clients.select("client_key", F.explode(F.array_union("wanted", normal_set(F.flatten(past(lambda h: h["topics"]))))).alias("topic")).distinct()
-    words = normal_set(F.concat(F.col("technologies"), F.array("sector"), past(lambda h: h["title"]), past(lambda h: h["program"]), past(lambda h: h["source"])))
+    topics = clients.select("client_key", F.explode("wanted").alias("topic")).unionByName(applications.select("client_key", F.explode(normal_set(F.col("topics"))).alias("topic"))).distinct()
+    words = clients.select("client_key", F.explode(normal_set(F.concat(F.col("technologies"), F.array("sector")))).alias("term"))
+    told = applications.join(clients.select("client_key"), "client_key", "left_semi").select("client_key", F.explode(normal_set(F.array("title", "program", "source"))).alias("term"))
     by_topic = opportunities.select("id", F.explode("topic_set").alias("topic")).join(topics, "topic").select("id", "client_key")
-    return by_topic.unionByName(terms_in_texts(opportunities.select("id", "body"), clients.select("client_key", F.explode(words).alias("term")))).distinct()
+    return by_topic.unionByName(terms_in_texts(opportunities.select("id", "body"), words.unionByName(told))).distinct()
+
+
+def in_rows(clients: DataFrame) -> DataFrame:
+    """The applications of the clients' column history as rows."""
+    return clients.select("client_key", F.posexplode("history").alias("order", "h")).select("client_key", "order", *(F.col(f"h.{c}").alias(c) for c in PAST))
+
+
+def in_blocks(applications: DataFrame, size: int = BLOCK) -> DataFrame:
+    """client_key, block, past: all of a client's applications in order, at most `size` in a row."""
+    placed = applications.withColumn("n", F.row_number().over(Window.partitionBy("client_key").orderBy("order")))
+    return placed.groupBy("client_key", ((F.col("n") - 1) / size).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", *PAST))).alias("past"))
 
 
 def pair_gates(pairs: DataFrame) -> DataFrame:
@@ -125,7 +140,26 @@ def vector_score(offer: Column, client: Column, past: Column | None = None) -> C
     return F.when(own.isNotNull() | best.isNotNull(), _rounded((F.coalesce(own, F.lit(0)) * 8 + F.coalesce(best, F.lit(0)) * 2) / 10))
 
 
-def scores(pairs: DataFrame) -> DataFrame:
+def remembered(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """pairs with history_score, the best of all the client's applications, and matched_history, the first five that score."""
+
+    def each(h: Column) -> Column:
+        topics = normal_set(h["topics"])
+        k = F.greatest(F.size(topics), F.lit(1))
+        told = F.exists(F.array(h["title"], h["program"], h["source"]), lambda v: F.coalesce(F.contains(F.col("body"), F.lower(clean_text(v))), F.lit(False)))
+        whole = told.cast("int") * 2500 + F.coalesce(h["reusable"], F.lit(False)).cast("int") * 1500 + F.coalesce(F.array_contains(F.col("type_set"), F.lower(clean_text(h["applicant_type"]))), F.lit(False)).cast("int") * 1000
+        return F.least(F.lit(10_000.0), (F.size(F.array_intersect(F.col("topic_set"), topics)) * 5000 + whole * k) * F.coalesce(F.nullif(h["weight"], F.lit(0)), F.lit(100)) / (k * 100))
+
+    own = [c for c in pairs.columns if c not in ("id", "client_key")]
+    told = pairs.join(blocks, "client_key", "left").withColumn("past", F.transform("past", lambda h: F.struct(h["title"].alias("title"), h["result"].alias("result"), each(h).alias("score"))))
+    first = F.struct("block", F.slice(F.filter("past", lambda h: h["score"] > 0), 1, 5).alias("past"))
+    best = told.select("id", "client_key", F.struct(*own).alias("own"), F.array_max(F.transform("past", lambda h: h["score"])).alias("best"), F.when(F.col("block").isNotNull(), first).alias("first"))
+    best = best.groupBy("id", "client_key").agg(F.first("own").alias("own"), F.max("best").alias("best"), F.array_sort(F.collect_list("first")).alias("first"))
+    matched = F.slice(F.flatten(F.transform("first", lambda f: f["past"])), 1, 5)
+    return best.select("id", "client_key", "own.*", _rounded(F.coalesce("best", F.lit(0.0))).alias("history_score"), matched.alias("matched_history"))
+
+
+def scores(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """pairs with the hits, keyword, history and the blended score; `vector`, if there, is a likeness or null."""
     hits = pairs.withColumns({
         "topic_hits": F.array_sort(F.array_intersect("topic_set", "wanted")), "technology_hits": F.array_sort(F.filter("technologies", lambda t: F.contains(F.col("body"), t))),
@@ -135,19 +169,7 @@ def scores(pairs: DataFrame) -> DataFrame:
     flat = F.col("type_hit").cast("int") * 1500 + F.col("sector_hit").cast("int") * 1000 - F.col("unwanted_hit").cast("int") * 2000
     keyword = (F.size("topic_hits") * 4500 * m + F.size("technology_hits") * 3000 * n + flat * n * m) / (n * m)
 
-    def each(h: Column) -> Column:
-        topics = normal_set(h["topics"])
-        k = F.greatest(F.size(topics), F.lit(1))
-        told = F.exists(F.array(h["title"], h["program"], h["source"]), lambda v: F.coalesce(F.contains(F.col("body"), F.lower(clean_text(v))), F.lit(False)))
-        whole = told.cast("int") * 2500 + F.coalesce(h["reusable"], F.lit(False)).cast("int") * 1500 + F.coalesce(F.array_contains(F.col("type_set"), F.lower(clean_text(h["applicant_type"]))), F.lit(False)).cast("int") * 1000
-        return F.least(F.lit(10_000.0), (F.size(F.array_intersect(F.col("topic_set"), topics)) * 5000 + whole * k) * F.coalesce(F.nullif(h["weight"], F.lit(0)), F.lit(100)) / (k * 100))
-
-    past = F.coalesce("history", F.array().cast(pairs.schema["history"].dataType))
-    hits = hits.withColumns({"keyword": _rounded(keyword), "__past": F.transform(past, lambda h: F.struct(h["title"].alias("title"), h["result"].alias("result"), each(h).alias("score")))})
-    hits = hits.withColumns({
-        "history_score": _rounded(F.coalesce(F.array_max(F.transform("__past", lambda h: h["score"])), F.lit(0.0))),
-        "matched_history": F.slice(F.filter("__past", lambda h: h["score"] > 0), 1, 5),
-    }).drop("__past")
+    hits = remembered(hits.withColumn("keyword", _rounded(keyword)), blocks)
     plain = F.col("keyword") * 75 + F.col("history_score") * 25
     if "vector" in pairs.columns:
         plain = F.greatest(plain, F.when(F.col("vector").isNotNull(), F.col("keyword") * 45 + F.col("vector") * 35 + F.col("history_score") * 20))
@@ -176,7 +198,7 @@ def report(scored: DataFrame) -> DataFrame:
     return scored.withColumns({"explanation_text": F.concat(F.lit("Candidate match because "), text, F.lit(".")), "risks": F.when(risks == "", "No major deterministic risks detected.").otherwise(risks)})
 
 
-def match(opportunities: DataFrame, clients: DataFrame, as_of: str, include_low_quality: bool = False, least_quality: int = MIN_QUALITY, least: int = MIN_SCORE, near: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
+def match(opportunities: DataFrame, clients: DataFrame, as_of: str, include_low_quality: bool = False, least_quality: int = MIN_QUALITY, least: int = MIN_SCORE, near: DataFrame | None = None, seen: Observation | None = None, applications: DataFrame | None = None) -> DataFrame:
     """The pairs that pass all gates and reach the least score, with hits, checks and explanation.
 
     Opportunities that no client can take leave before the join. An opportunity or a client without any list pairs
@@ -186,9 +208,10 @@ def match(opportunities: DataFrame, clients: DataFrame, as_of: str, include_low_
     """
     open_to_some = opportunity_gates(opportunities, as_of, include_low_quality, least_quality).filter(F.size("reasons") == 0)
     kept = open_to_some.select("id", "reasons", "checks", "body", "topic_set", "country_set", "type_set", "restricted", "nonprofit_only", "surety")
-    sides = client_sides(clients)
-    both = candidates(kept, sides)
+    sides = client_sides(clients.drop("history"))
+    past = in_rows(clients) if applications is None else applications
+    both = candidates(kept, sides, past)
     if near is not None:
         both = both.join(near.select("id", "client_key", "vector").dropDuplicates(["id", "client_key"]), ["id", "client_key"], "full")
     pairs = both.join(kept, "id").join(sides, "client_key").transform(pair_gates).filter("passed")
-    return counted(scores(pairs), seen, F.count_if(F.col("score") < least).alias("low")).filter(F.col("score") >= least).withColumn("explanation", explanation())
+    return counted(scores(pairs, in_blocks(past)), seen, F.count_if(F.col("score") < least).alias("low")).filter(F.col("score") >= least).withColumn("explanation", explanation())

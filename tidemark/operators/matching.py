@@ -18,10 +18,20 @@ def keyword_score(topics: Column, text: Column, wanted: Column, sector: Column,
     return F.greatest(F.lit(0), F.least(F.lit(10_000), raw)).cast("int")
 
 
-def history_score(topics: Column, history: Column) -> Column:
-    """The best of a client's earlier applications: half by shared topics, a quarter if the title is in the topics' text; times its weight."""
-    each = F.transform(history, lambda h: F.least(F.lit(10_000), F.floor((F.size(F.array_intersect(topics, h["topics"])) * 5000 / F.greatest(F.size(h["topics"]), F.lit(1)) + F.when(F.arrays_overlap(topics, h["topics"]), 2500).otherwise(0)) * h["weight"] / 100)))
-    return F.coalesce(F.array_max(each), F.lit(0)).cast("int")
+def history_score(topics: Column, own: Column, weight: Column) -> Column:
+    """The score of one earlier application: half by shared topics, a quarter if there are any; times its weight."""
+    return F.least(F.lit(10_000), F.floor((F.size(F.array_intersect(topics, own)) * 5000 / F.greatest(F.size(own), F.lit(1)) + F.when(F.arrays_overlap(topics, own), 2500).otherwise(0)) * weight / 100)).cast("int")
+
+
+def best_history(topics: DataFrame, applications: DataFrame) -> DataFrame:
+    """topics, client_key, history: the best score of all of a client's applications for each list of topics, where one is shared.
+
+    Lists of topics and kinds of applications (topics, weight) are scored once each, and meet on a topic.
+    """
+    lists, kinds = topics.select("topics").distinct(), applications.select("topics", "weight").distinct()
+    met = lists.withColumn("topic", F.explode(F.array_distinct("topics"))).join(kinds.select(F.col("topics").alias("own"), "weight", F.explode(F.array_distinct("topics")).alias("topic")), "topic").drop("topic").distinct()
+    scored = met.withColumn("history", history_score(F.col("topics"), F.col("own"), F.col("weight")))
+    return scored.join(applications.select("client_key", F.col("topics").alias("own"), "weight").distinct(), ["own", "weight"]).groupBy("topics", "client_key").agg(F.max("history").alias("history"))
 
 
 def blend(keyword: Column, history: Column, vector: Column | None = None) -> Column:

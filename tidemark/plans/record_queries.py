@@ -133,7 +133,7 @@ MATCHED = f"WITH {OFFERS}, {CONTRACT}, {PROFILES}, {OPEN}, {FITTING}"
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.match(_contracted(spark, sf_dir), views.profiles(spark, sf_dir), AS_OF)
+    return gates.match(_contracted(spark, sf_dir), views.profiles(spark, sf_dir), AS_OF, applications=views.applications(spark, sf_dir))
 
 
 @query(f"""{MATCHED} SELECT client, n AS rank, id, score, keyword, history AS history_score, array_to_string(checks, ';') AS checks,

@@ -51,8 +51,9 @@ V_BLEND = """blended AS (SELECT k.client, k.id, floor(k.score * 75 / 100 + coale
 
 @query(f"WITH {V_OPPS}, {V_CLIENTS}, {V_GATED}, {V_KEYWORD}, {V_HISTORY}, {V_BLEND} SELECT client, n AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY score DESC, id) AS n FROM blended WHERE score >= 2500) WHERE n <= 10")
 def shortlist_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _pairs(spark, sf_dir).join(views.history(spark, sf_dir), "client_key", "left")
-    scored = scored.withColumn("score", matching.blend(F.col("keyword"), matching.history_score(F.col("topics"), F.coalesce("history", F.array().cast("array<struct<topics:array<string>,weight:int>>")))))
+    pairs = _pairs(spark, sf_dir)
+    scored = pairs.join(matching.best_history(pairs, views.history(spark, sf_dir)), ["topics", "client_key"], "left")
+    scored = scored.withColumn("score", matching.blend(F.col("keyword"), F.coalesce("history", F.lit(0))))
     return matching.shortlist(scored).select("client", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 

@@ -33,12 +33,15 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def history(spark: SparkSession, sf_dir: str, most: int = 12) -> DataFrame:
-    """client_key, history: each client's latest `most` applications as one array."""
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p")), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "part"), F.col("p") == F.col("p_partkey"))
-    rows = rows.select(F.col("o_custkey").alias("client_key"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").alias("key"), F.split("p_name", " ").alias("topics"), F.when(F.col("o_orderstatus") == "F", 120).otherwise(100).alias("weight"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.unix_date("date")).alias("d"), (-F.col("key")).alias("k"), "topics", "weight")))
-    return rows.groupBy("client_key").agg(F.transform(F.slice(ordered, 1, most), lambda h: F.struct(h["topics"].alias("topics"), h["weight"].alias("weight"))).alias("history"))
+def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the part of their first line."""
+    first = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
+    return table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "part"), F.col("p") == F.col("p_partkey"))
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """client_key, topics, weight: a row for each application."""
+    return _applied(spark, sf_dir).select(F.col("o_custkey").alias("client_key"), F.split("p_name", " ").alias("topics"), F.when(F.col("o_orderstatus") == "F", 120).otherwise(100).alias("weight"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,22 +67,24 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clients with the fields that the gates read, and their latest applications."""
+    """Clients with the fields that the gates read."""
     key = F.col("client_key")
     pick = lambda values, n: F.element_at(F.array(*values), (key / 10 % n + 1).cast("int"))
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p")), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "part"), F.col("p") == F.col("p_partkey"))
-    one = F.struct(
-        (-F.unix_date(F.col("o_orderdate").cast("date"))).alias("d"), (-F.col("o_orderkey")).alias("k"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("program"), F.lit(None).cast("string").alias("source"), F.col("o_orderstatus").alias("result"),
-        F.split("p_name", " ").alias("topics"), F.when(F.col("o_orderkey") % 2 == 0, "sme").alias("applicant_type"), (F.col("o_orderkey") % 4 == 0).alias("reusable"), F.when(F.col("o_orderstatus") == "F", 120).otherwise(100).alias("weight"),
-    )
-    latest = F.transform(F.slice(F.array_sort(F.collect_list(one)), 1, 3), lambda h: F.struct(*(h[c].alias(c) for c in ("title", "program", "source", "result", "topics", "applicant_type", "reusable", "weight"))))
-    past = rows.groupBy(F.col("o_custkey").alias("client_key")).agg(latest.alias("history"))
-    return clients(spark, sf_dir).join(past, "client_key", "left").withColumns({
+    return clients(spark, sf_dir).withColumns({
         "organization_type": pick([F.lit("NGO"), F.lit("startup"), F.lit("small business"), F.lit("LLC company"), F.lit(None).cast("string")], 5), "product": F.lit(None).cast("string"),
         "technologies": pick([F.array(F.lit("Economy"), F.lit("ear")), F.array(F.lit("promo")), F.array().cast("array<string>")], 3), "sector": F.when(key % 60 == 0, "Standard").otherwise(F.col("sector")),
     })
 
 
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of the clients' applications, with the fields that the gates read; the latest has the least `order`."""
+    return _applied(spark, sf_dir).select(
+        F.col("o_custkey").alias("client_key"), F.struct((-F.unix_date(F.col("o_orderdate").cast("date"))).alias("d"), (-F.col("o_orderkey")).alias("k")).alias("order"),
+        F.col("p_name").alias("title"), F.lit(None).cast("string").alias("program"), F.lit(None).cast("string").alias("source"), F.col("o_orderstatus").alias("result"),
+        F.split("p_name", " ").alias("topics"), F.when(F.col("o_orderkey") % 2 == 0, "sme").alias("applicant_type"), (F.col("o_orderkey") % 4 == 0).alias("reusable"), F.when(F.col("o_orderstatus") == "F", 120).otherwise(100).alias("weight"),
+    )
+
+
 def named_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as records whose names differ by their numbers; each fiftieth repeats the one before it."""
     key = F.col("c_custkey")
