@@ -4,17 +4,19 @@ import duckdb
 import pytest
 from test_queries import SF, TABLES, rows
 
-from tidemark.operators import gates
+from tidemark.operators import gates, matching
 from tidemark.plans import record_queries, registry
 
 CUTS = {" WHERE c_custkey % 10 = 0": "", " WHERE o_custkey % 10 = 0": "", " WHERE n <= 12)": ")", " WHERE n <= 3)": ")"}
+TOPICS_ONLY = "g JOIN clients c ON list_has_any(g.topics, c.wanted))"
+MET = "list_has_any(g.topics, c.wanted) OR len(list_filter(c.wanted, lambda t: contains(g.body, t))) > 0 OR contains(g.body, lower(c.sector))"
 
 
 def whole(name: str) -> str:
     sql = registry.ORACLE_SQL[name]
     for cut, out in CUTS.items():
         sql = sql.replace(cut, out)
-    return sql
+    return sql.replace(TOPICS_ONLY, f"g JOIN clients c ON {MET})" if name == "keyword_score" else "g CROSS JOIN clients c)")
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +48,11 @@ def test_all_applications_count_in_any_number_of_blocks(spark):
         got = gates.remembered(pair, gates.in_blocks(rows, size)).collect()
         assert [(r.history_score, [h.title for h in r.matched_history]) for r in got] == [(5000, ["t80", "t90"])]
     assert gates.remembered(pair, gates.in_blocks(rows.limit(0))).first().history_score == 0
+
+
+def test_pairs_are_found_by_text_sector_and_history_too(spark):
+    opps = spark.createDataFrame([(1, ["a"], "a"), (2, ["z"], "some solar thing"), (3, ["z"], "farming"), (4, ["h"], "none"), (5, ["q"], "none")], "id int, topics array<string>, body string")
+    clients = spark.createDataFrame([(1, "A", "Farming", ["a", "solar"]), (2, "A", "x", ["a"]), (3, "C", "", ["y"])], "client_key int, client string, sector string, wanted array<string>")
+    best = matching.best_history(opps, spark.createDataFrame([(2, ["h"], 140), (2, ["q", "r", "s"], 100)], "client_key int, topics array<string>, weight int"))
+    got = matching.pairs(opps, clients, matching.by_history(opps, best))
+    assert sorted((r.client_key, r.id) for r in got.collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 4), *((3, k) for k in range(1, 6))]

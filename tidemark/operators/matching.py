@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.gates import terms_in_texts
+
 #: Up to so many clients go to all tasks; more are joined on topics.
 BROADCAST_CLIENTS = 20_000
 
@@ -46,16 +48,25 @@ def gates(opportunities: DataFrame, as_of: str) -> DataFrame:
     return opportunities.filter((F.coalesce("status", F.lit("unknown")) != "closed") & (F.col("deadline").isNull() | (F.col("deadline") >= F.lit(as_of).cast("date"))))
 
 
-def pairs(opportunities: DataFrame, clients: DataFrame) -> DataFrame:
-    """The pairs of an opportunity and a client that share a topic.
+def pairs(opportunities: DataFrame, clients: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """The pairs of an opportunity and a client in which anything wanted is met: a topic, or a wanted word or the sector in the text (body).
 
-    Topics are the equi-join key. A client whose wanted words stand only in the text is not paired here; see
-    gates.candidates for all pairs that can reach the least score. Clients are broadcast only if they are counted
-    to be few.
+    No other pair has a positive keyword score; `more` adds pairs (id, client_key). Topics and the terms' first three
+    characters are equi-join keys. Clients are broadcast only if they are counted to be few.
     """
-    wants = clients.withColumn("topic", F.explode("wanted"))
+    wants = clients.select("client_key", F.explode("wanted").alias("topic"))
+    terms = wants.withColumnRenamed("topic", "term").unionByName(clients.select("client_key", F.lower("sector").alias("term")))
+    by_topic = opportunities.select("id", F.explode("topics").alias("topic")).join(wants, "topic").select("id", "client_key")
+    anywhere = opportunities.select("id").crossJoin(terms.filter("term = ''").select("client_key"))  # an empty term is in every text
+    both = by_topic.unionByName(terms_in_texts(opportunities.select("id", "body"), terms)).unionByName(anywhere)
+    both = (both if more is None else both.unionByName(more.select("id", "client_key"))).distinct()
     few = clients.limit(BROADCAST_CLIENTS + 1).count() <= BROADCAST_CLIENTS
-    return opportunities.withColumn("topic", F.explode(F.array_distinct("topics"))).join(F.broadcast(wants) if few else wants, "topic").drop("topic").dropDuplicates(["id", "client"])
+    return both.join(opportunities, "id").join(F.broadcast(clients) if few else clients, "client_key")
+
+
+def by_history(opportunities: DataFrame, best: DataFrame, least: int = 2500) -> DataFrame:
+    """id, client_key of the pairs that reach the least score by their history (best_history) alone."""
+    return best.filter(blend(F.lit(0), F.col("history")) >= least).join(opportunities.select("id", "topics"), "topics").select("id", "client_key")
 
 
 def shortlist(scored: DataFrame, top: int = 10, least: int = 2500) -> DataFrame:

@@ -27,9 +27,12 @@ V_KEYWORD = """keyword AS (SELECT client_key, client, id, topics, greatest(0, le
   FROM (SELECT *, lower(title || ' ' || coalesce(summary, '')) AS body FROM gated) g JOIN clients c ON list_has_any(g.topics, c.wanted))"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opps = matching.gates(views.opportunities(spark, sf_dir), AS_OF).withColumn("body", F.lower(F.concat_ws(" ", "title", "summary"))).select("id", "topics", "body")
-    return matching.pairs(opps, views.clients(spark, sf_dir)).withColumn("keyword", matching.keyword_score(F.col("topics"), F.col("body"), F.col("wanted"), F.col("sector"), F.col("unwanted")))
+def _open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.gates(views.opportunities(spark, sf_dir), AS_OF).withColumn("body", F.lower(F.concat_ws(" ", "title", "summary"))).select("id", "topics", "body")
+
+
+def _pairs(spark: SparkSession, sf_dir: str, more: DataFrame | None = None) -> DataFrame:
+    return matching.pairs(_open(spark, sf_dir), views.clients(spark, sf_dir), more).withColumn("keyword", matching.keyword_score(F.col("topics"), F.col("body"), F.col("wanted"), F.col("sector"), F.col("unwanted")))
 
 
 @query(f"WITH {V_OPPS}, {V_CLIENTS}, {V_GATED}, {V_KEYWORD} SELECT client, n AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY score DESC, id) AS n FROM keyword WHERE score >= 2500) WHERE n <= 10")
@@ -51,8 +54,9 @@ V_BLEND = """blended AS (SELECT k.client, k.id, floor(k.score * 75 / 100 + coale
 
 @query(f"WITH {V_OPPS}, {V_CLIENTS}, {V_GATED}, {V_KEYWORD}, {V_HISTORY}, {V_BLEND} SELECT client, n AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY score DESC, id) AS n FROM blended WHERE score >= 2500) WHERE n <= 10")
 def shortlist_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
-    scored = pairs.join(matching.best_history(pairs, views.history(spark, sf_dir)), ["topics", "client_key"], "left")
+    opps = _open(spark, sf_dir)
+    best = matching.best_history(opps, views.history(spark, sf_dir))
+    scored = _pairs(spark, sf_dir, matching.by_history(opps, best)).join(best, ["topics", "client_key"], "left")
     scored = scored.withColumn("score", matching.blend(F.col("keyword"), F.coalesce("history", F.lit(0))))
     return matching.shortlist(scored).select("client", F.col("rank").cast("long").alias("rank"), "id", "score")
 
