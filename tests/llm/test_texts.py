@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -148,6 +149,17 @@ def test_fingerprints_against_a_plain_walk(spark):
     assert fingerprints.compare_with_next(odd(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 7, 8, 9, 60, 63, 64, 65, 300])
+def test_edits_stay_near_at_every_length(n):
+    """Also where the text and its edited text have word counts on different sides of any number."""
+    draw = random.Random(n)
+    word = lambda most: "".join(draw.choices("abcdefghijklmnop", k=draw.randint(1, most)))
+    for most_before, most_after in ((9, 9), (9, 2), (9, 40), (3, 9)):
+        text, after = " ".join(word(most_before) for _ in range(n)), " ".join(word(most_after) for _ in range(2 * n))
+        own, other, edited = (fingerprints.fingerprint(x.encode())[0] for x in (text, after, fingerprints._edited(text, after)))
+        assert fingerprints.likeness(own, edited) > max(0.35, fingerprints.likeness(own, other))
+
+
 def test_tree_locates_edits():
     a = b"one\ntwo\n\nthree\nfour\n\nfive"
     assert fingerprints.differing(a, a) == []

@@ -3,9 +3,9 @@
 A document's sections stand apart by blank lines, a section's paragraphs by line breaks. The digest of a
 paragraph is that of its text, the digest of a section that of its paragraphs' digests, and the root that of
 the sections' digests. Roots are equal exactly for equal texts; where they differ, going down the branches
-that differ finds the edited paragraphs. Paragraphs are further cut into pieces at borders that the text
-itself sets, and a bottom-k sample of the pieces' hashes stands beside the root, so that the likeness of two
-documents can be told from their fingerprints alone.
+that differ finds the edited paragraphs. The pieces of a text of any length are its windows of eight bytes, and
+a bottom-k sample of the pieces' hashes stands beside the root, so that the likeness of two documents can be told
+from their fingerprints alone.
 
 Defined results: a null text is empty; documents are in the order of doc_id, null first, then of text, and
 the last is followed by the first; repeated rows follow each other; an empty table gives no rows; other
@@ -21,15 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow, batch_of, chunks, parts, text_bytes
 
 PRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: A piece ends after a word that ends in one of these letters or in punctuation, or after 48 bytes.
-_RUN = re.compile(rb"(?s).{0,44}?[adenrst.,;:!?](?:\s+|$)|.{1,48}")
+WINDOW = 8
 
 
 def tree(text: bytes) -> tuple[bytes, list[tuple[bytes, list[bytes]]]]:
@@ -54,18 +52,33 @@ def differing(a: bytes, b: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """The pieces of a text: words where it has few, single characters where it has very few, else runs of words."""
-    words = text.split()
-    if len(words) < 8:
-        chars = text.decode()
-        return [chars[k : k + 2].encode() for k in range(max(1, len(chars) - 1))] if chars else []
-    return words if len(words) < 64 else _RUN.findall(text)
+def pieces(text: bytes) -> np.ndarray:
+    """The eight bytes that end at each byte of a text, as numbers; zeros stand before it, so that the shortest text has pieces too."""
+    return np.ndarray((len(text),), "<u8", bytes(WINDOW - 1) + text, strides=(1,)) if text else np.empty(0, "u8")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of numbers (the finalizer of splitmix64), the high half."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(32)
+
+
+def _least(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k least distinct hashes in order; most texts need only the least few to be sorted."""
+    for few in (4 * k, 32 * k):
+        if len(hashes) > few:
+            found = np.unique(np.partition(hashes, few)[:few])
+            if len(found) >= k:
+                return found[:k]
+    return np.unique(hashes)[:k]
 
 
 def fingerprint(text: bytes, k: int = 64) -> tuple[str, np.ndarray]:
     """The root and the k least piece hashes, as text and as numbers."""
-    sketch = np.sort(np.fromiter({xxhash.xxh3_64_intdigest(p) >> 32 for p in pieces(text)}, "u8"))[:k].astype(">u4")
+    sketch = _least(_mixed(pieces(text)), k).astype(">u4")
     return f"{tree(text)[0].hex()}:{sketch.tobytes().hex()}", sketch
 
 
