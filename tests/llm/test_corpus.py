@@ -152,6 +152,22 @@ def test_repeated_spans_go_but_for_the_first(spark, words):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0, 1, 5, 7, 11])
+def test_passages_pasted_mid_sentence_are_found(words, shift):
+    """Without sentence ends, after other words than before, and in text without spaces."""
+    draw = random.Random(shift)
+    plain = lambda n: " ".join(draw.choices(words, k=n)).replace(".", "").lower()
+    letters = lambda n: "".join(chr(draw.randrange(0x4E00, 0x5E00)) for _ in range(n))
+    for _ in range(10):
+        passage, signs = plain(90), letters(300)
+        for a, b, part in ((f"{plain(30)} {passage} {plain(9)}.", f"{plain(30 + shift)} {passage} {plain(20)}", passage), (letters(40) + signs, letters(40 + shift) + signs + letters(9), signs)):
+            seen, (spans, found) = {h for h, _, _ in substrings.runs(a.encode())[1]}, substrings.runs(b.encode())
+            gone = {s for h, i, k in found if h in seen for s in range(i, i + k)}
+            cut = sum(spans[s][1] - spans[s][0] for s in gone)
+            assert len(part.encode()) * 0.5 < cut <= len(part.encode()) + 40
+            assert spans[0][0] == 0 and spans[-1][1] == len(b.encode()) and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
 def brute_classes(rows, threshold=0.8):
     sets = {k: frozenset(near_duplicates.shingles((t or "").encode()).tolist()) for k, t in rows}
     rep = {}

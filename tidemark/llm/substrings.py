@@ -1,7 +1,9 @@
 """Substring deduplication over sliding spans of sentences.
 
-A text is cut into sentences (a sentence of more than 12 words into stretches of 12), compared in lower case
-and with single spaces. Every run of at least three consecutive sentences with at least 20 words, as short
+A text is cut into sentences, compared in lower case and with single spaces. A sentence of more than 12 words is
+cut further after each word whose hash is the least among the three words before and after it, and after 12 words
+at most, so that copies are cut alike a few words from where they begin. A word of more than 64 bytes is cut in
+the same way by characters, of which four count as a word. Every run of at least three consecutive sentences with at least 20 words, as short
 as that allows, is hashed to 64 bits; so are the shortest runs that end at a sentence where none of these
 ends. Of the runs with one hash, wherever they are, the first (by doc_id, then place) stays; the sentences of
 all others go.
@@ -14,6 +16,7 @@ occurrence; a document without id keeps its text; an empty table gives no rows;
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,20 +26,63 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow, chunks, saved, text_bytes
 
-#: Up to 12 words that end with the first one that ends a sentence or a line, and the white space after.
-_SENTENCE = re.compile(rb"(?:\S*[^\s.!?][^\S\n]+){0,11}\S+\s*")
+#: Words that end with the first one that ends a sentence or a line, and the white space after.
+_SENTENCE = re.compile(rb"(?:\S*[^\s.!?][^\S\n]+)*\S+\s*")
+_WORD, _LETTER = re.compile(rb"\S+\s*"), re.compile(rb"(?s)[^\x80-\xbf][\x80-\xbf]*\s*|.")
+#: Words, and characters, of a stretch at most, and how far its last one is compared.
+MOST_WORDS, NEAR_WORDS, MOST_LETTERS, NEAR_LETTERS = 12, 3, 32, 8
+LONG_WORD = 64
 RUNS = "hash long, doc_id long, place int, size int"
 REMOVED, COUNTED = "__removed", "__sentences"
 
 
+def _borders(hashes: list[int], near: int, most: int) -> list[int]:
+    """The places after which a row of units is cut: at the least of the hashes around (the first of equal ones), or after `most`."""
+    out, last, n = [], 0, len(hashes)
+    for i in range(n - 1):
+        if i + 1 - last == most or (near <= i < n - near and hashes[i] == min(hashes[i - near : i + near + 1]) and hashes[i] not in hashes[i - near : i]):
+            out.append(i + 1)
+            last = i + 1
+    return out
+
+
+def _cut(text: bytes, spans: list[tuple[int, int]], near: int, most: int, units: int) -> Iterator[tuple[int, int, int]]:
+    """Start, end and number of units of the stretches of a row of spans; a unit's hash is that of the last `units` spans."""
+    at = [s for s, _ in spans] + [spans[-1][1]]
+    hashes = [zlib.crc32(text[at[max(0, i + 1 - units)] : at[i + 1]].strip()) for i in range(len(spans))]
+    cuts = [0, *_borders(hashes, near, most), len(spans)]
+    return ((at[i], at[j], j - i) for i, j in zip(cuts, cuts[1:], strict=False))
+
+
+def stretches(text: bytes) -> Iterator[tuple[int, int, int]]:
+    """Start, end and number of words of a text's sentences, and of the stretches of long ones."""
+    for m in _SENTENCE.finditer(text):
+        words = m[0].split()
+        long = len(m[0]) > LONG_WORD and max(map(len, words)) > LONG_WORD
+        if len(words) <= MOST_WORDS and not long:
+            yield m.start(), m.end(), len(words)
+            continue
+        row: list[tuple[int, int]] = []
+        for w in [*_WORD.finditer(text, m.start(), m.end()), None]:
+            if w and (not long or len(w[0].rstrip()) <= LONG_WORD):
+                row.append(w.span())
+                continue
+            if row:
+                yield from _cut(text, row, NEAR_WORDS, MOST_WORDS, 1) if len(row) > MOST_WORDS else [(row[0][0], row[-1][1], len(row))]
+                row = []
+            if w:
+                letters = [x.span() for x in _LETTER.finditer(text, *w.span())]
+                yield from ((s, e, -(-k // 4)) for s, e, k in _cut(text, letters, NEAR_LETTERS, MOST_LETTERS, 3))
+
+
 def runs(text: bytes, least_sentences: int = 3, least_words: int = 20) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
     """The sentences' byte spans, and the runs as (hash, first sentence, sentences)."""
     spans, keys, words = [], [], [0]
-    for m in _SENTENCE.finditer(text.lower()):
-        own = m[0].split()
-        spans.append(m.span())
-        keys.append(b" ".join(own))
-        words.append(words[-1] + len(own))
+    text = text.lower()
+    for start, end, k in stretches(text):
+        spans.append((start, end))
+        keys.append(b" ".join(text[start:end].split()))
+        words.append(words[-1] + k)
     n, out, ends = len(keys), [], set()
     j = 0
     for i in range(n):
@@ -98,7 +144,7 @@ def remove_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
             texts, n, removed = b.column("text").to_pylist(), [], []
             for k, (raw, gone) in enumerate(zip(text_bytes(b), b.column("__gone").to_pylist(), strict=True)):
                 if not gone:
-                    n.append(sum(1 for _ in _SENTENCE.finditer(raw)) if counts else 0)
+                    n.append(sum(1 for _ in stretches(raw.lower())) if counts else 0)
                     removed.append(0)
                     continue
                 spans, found = runs(raw)
