@@ -17,120 +17,124 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cached_property
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, batch_of, chunks, saved, text_bytes
+from tidemark.llm.common import arrow, batch_of, ragged, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_SPACES = bytes.maketrans(b"\t\n\r", b"   ")
+_SPACE = re.compile(rb"\s")
 
 
 class WordEncoder:
-    """Token ids of texts by way of a memory of words, for a BPE vocabulary with word ends that never joins tokens over white space.
+    """Token ids of texts by way of their distinct words, for a BPE vocabulary with word ends that never joins tokens over white space.
 
-    A word that is not known is encoded: one of printable Latin letters as its runs of letters, digits and
-    signs, which the bare model turns into tokens, any other by the whole tokenizer. Many are encoded in one
-    call; the tokens that end a run, or a mark between words, tell them apart.
+    Arrow cuts the texts of a batch at white space and gives each distinct word once; words of plain Latin
+    characters are put in lower case and cut into runs by the vocabulary's own pattern. Only runs that are not
+    remembered are encoded, a thousand in a line, and told apart by the tokens that end a run. All other words go
+    through the whole tokenizer one by one. The ids of the texts are then gathered by offsets.
     """
 
-    RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")  # as the vocabulary's own splitter does with a word
-    PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\u024f]+")  # no white space, marks or letters whose lower case depends on others
-    #: A byte-level vocabulary writes the bytes of non-ASCII characters so.
-    BYTES = {b: 256 + 34 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 256 + 67}
-    MARK = "\x01"
+    #: No white space and no marks; lower case is one character for one, and the same in every library.
+    PLAIN = "^[\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+$"
+    LINE = 1000
 
-    def __init__(self, path: str, remember: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, remember: int = 400_000, most_bytes: int = 1 << 22):
         from tokenizers import Tokenizer
 
-        self.remember, self.longest = remember, longest
-        self.path = path
-        bare = json.loads(Path(path).read_text())
-        bare |= {"normalizer": None, "added_tokens": [], "post_processor": None}
-        bare["pre_tokenizer"] = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
-        self.bare = Tokenizer.from_str(json.dumps(bare))
-        suffix = bare["model"]["end_of_word_suffix"]
-        vocabulary = bare["model"]["vocab"]
+        self.remember, self.most_bytes = remember, most_bytes
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        parts = json.loads(Path(path).read_text())
+        split, to_bytes = parts["pre_tokenizer"]["pretokenizers"]
+        self.pattern = f"(?:{split['pattern']['Regex']})"
+        at_spaces = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        parts |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [at_spaces, to_bytes]}}
+        self.runs = Tokenizer.from_str(json.dumps(parts))
+        vocabulary, suffix = parts["model"]["vocab"], parts["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.late = 0  # words encoded since the memory is full
-
-    @cached_property
-    def whole(self):
-        """The tokenizer itself, loaded when a word needs it."""
-        from tokenizers import Tokenizer
-
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True
-        return found
-
-    @cached_property
-    def mark(self) -> int:
-        return self.whole.encode(self.MARK, add_special_tokens=False).ids[0]
-
-    def _cut(self, ids: list[int], stops: np.ndarray, keep: int) -> list[bytes]:
-        """The ids between stops, with the stop itself if keep is 1."""
-        array, at = np.array(ids, "<u4"), np.flatnonzero(stops)
-        raw, ends = array.tobytes(), at.tolist()
-        return [raw[4 * s : 4 * (e + keep)] for s, e in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
-
-    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain, other, out = {}, [], {}
-        for w in words:
-            if len(w) <= 1000 and self.PLAIN.fullmatch(t := w.decode()):
-                rs = self.RUNS.findall(t.lower())
-                plain[w] = rs if w.isascii() else [r.encode().decode("latin-1").translate(self.BYTES) for r in rs]
-            else:
-                other.append(w)
-        runs = self.runs
-        missing = list({r for rs in plain.values() for r in rs if r not in runs})
-        if missing:
-            ids = self.bare.encode(" ".join(missing), add_special_tokens=False).ids
-            found = dict(zip(missing, self._cut(ids, self.ends[ids], 1), strict=True))
-            if len(runs) + len(found) > self.remember:
-                runs.clear()
-                found |= {r: None for rs in plain.values() for r in rs if r not in found}
-                if again := [r for r, i in found.items() if i is None]:
-                    ids = self.bare.encode(" ".join(again), add_special_tokens=False).ids
-                    found.update(zip(again, self._cut(ids, self.ends[ids], 1), strict=True))
-            runs.update(found)
-        for w, rs in plain.items():
-            out[w] = runs[rs[0]] if len(rs) == 1 else b"".join([runs[r] for r in rs])
-        texts = [w.decode() for w in other]
-        apart = [(w, t) for w, t in zip(other, texts, strict=True) if self.MARK not in t]
-        if apart:
-            ids = self.whole.encode(f" {self.MARK} ".join([*(t for _, t in apart), ""]), add_special_tokens=False).ids
-            out.update(zip((w for w, _ in apart), self._cut(ids, np.array(ids) == self.mark, 0), strict=True))
-        for w, t in zip(other, texts, strict=True):
-            if self.MARK in t:
-                out[w] = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.translate(_SPACES).split(b" ") for t in texts]
-        known = self.words
-        fresh = self._fresh(list({w for words in split for w in words}.difference(known)))
-        if len(known) < self.remember:
-            known.update((w, i) for w, i in fresh.items() if len(w) <= self.longest)
-        else:
-            self.late += len(fresh)
-        for words in split:
-            try:
-                yield b"".join(map(known.__getitem__, words))
-            except KeyError:
-                yield b"".join([known[w] if w in known else fresh[w] for w in words])
-        if self.late > 10 * self.remember:
-            known.clear()
-            self.late = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.size, self.start, self.held = {"": 0}, np.zeros(0, "<u4"), np.zeros(1, "i8"), np.zeros(1, "i8"), 0
+
+    def _encoded(self, lines: list[str]) -> np.ndarray:
+        return np.fromiter((i for e in self.runs.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids), "<u4")
+
+    def _learn(self, units: list[str], plain: np.ndarray) -> None:
+        """Remembers the ids of units: runs where plain, other words as a whole."""
+        runs, others = [u for u, p in zip(units, plain, strict=True) if p], [u for u, p in zip(units, plain, strict=True) if not p]
+        ids = self._encoded([" ".join(runs[k : k + self.LINE]) for k in range(0, len(runs), self.LINE)])
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        apart = [e.ids for e in self.whole.encode_batch_fast(others, add_special_tokens=False)]
+        sizes = np.concatenate([np.diff(stops, prepend=0), np.array(list(map(len, apart)), "i8")]).astype("i8")
+        self.known.update(zip([*runs, *others], range(len(self.known), len(self.known) + len(sizes)), strict=True))
+        self.flat = np.concatenate([self.flat, ids, *(np.array(x, "<u4") for x in apart)])
+        self.size = np.concatenate([self.size, sizes])
+        self.start = np.cumsum(self.size) - self.size
+        self.held += sum(map(len, units))
+
+    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word: how many remembered units it has, and their places one after another."""
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        cut = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words), self.pattern, "\\0 "), " ")
+        one = pa.LargeListArray.from_arrays(pa.array(np.arange(len(words) + 1)), words)
+        lists = pc.if_else(plain, cut.cast(one.type), one)
+        units = lists.flatten().dictionary_encode()
+        names = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [u for u in names if u not in self.known]
+        if fresh:
+            self._learn(fresh, pc.match_substring_regex(pa.array(fresh, pa.large_string()), self.PLAIN).to_numpy(zero_copy_only=False))
+        place = np.fromiter(map(self.known.__getitem__, names), "i8", len(names))
+        return np.diff(lists.offsets.to_numpy()), place[units.indices.to_numpy()]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has."""
+        if len(self.known) > self.remember or self.held > 32 * self.remember:
+            self._forget()
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        n_units, units = self._units(words.dictionary)
+        size = self.size[units]
+        held = _gathered(self.flat, self.start[units], size)  # the ids of each distinct word
+        n = np.bincount(np.repeat(np.arange(len(n_units)), n_units), size, len(n_units)).astype("i8")
+        at = words.indices.to_numpy()
+        total = np.concatenate([[0], np.cumsum(n[at])])[lists.offsets.to_numpy()]
+        return _gathered(held, (np.cumsum(n) - n)[at], n[at]), np.diff(total)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ids; a text above most_bytes is cut at white space and taken a stretch at a time."""
+        if len(texts) > 1 or len(raw := (texts[0].as_py() if len(texts) else "").encode()) <= self.most_bytes:
+            return self.ids(texts)
+        cuts = [0]
+        while cuts[-1] < len(raw):
+            found = _SPACE.search(raw, cuts[-1] + self.most_bytes)
+            cuts.append(found.start() if found else len(raw))
+        out = np.concatenate([self.ids(pa.array([raw[s:e].decode()], pa.large_string()))[0] for s, e in zip(cuts, cuts[1:], strict=False)])
+        return out, np.array([len(out)])
+
+
+def _gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of each pair, one after another."""
+    return values[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _by_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_id and text of slices with at most so many bytes of text, or of one row; null texts as empty."""
+    for b in batches:
+        texts = pc.fill_null(b.column("text").cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield b.column("doc_id").slice(at, to - at), texts.slice(at, to - at)
+            at = to
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -146,17 +150,18 @@ def encoder(path: str) -> WordEncoder:
 def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -> DataFrame:
     """The pieces of each document: where they start in its ids, their length and the CRC-32 of their ids."""
     schema = arrow(PIECES)
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
-        for b in chunks(batches, 512):
-            out: list[tuple] = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), words.encode(text_bytes(b)), strict=True):
-                ids += end
-                out += [(doc, k, at // 4, len(x := ids[at : at + 4 * size]) // 4, zlib.crc32(x)) for k, at in enumerate(range(0, len(ids), 4 * size))]
-            if out:
-                yield batch_of(schema, *zip(*out, strict=True))
+        for docs, texts in _by_bytes(batches, words.most_bytes):
+            ids, n = words.encode(texts)
+            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            k = -(-n // size)
+            piece = ragged(k)
+            length = np.minimum(size, np.repeat(n, k) - piece * size)
+            ends, raw = (4 * np.cumsum(length)).tolist(), memoryview(ids.tobytes())
+            sums = [zlib.crc32(raw[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+            yield batch_of(schema, docs.take(pa.array(np.repeat(np.arange(len(n)), k))), piece.astype("i4"), piece * size, length, sums)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
