@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -169,31 +170,29 @@ def test_passages_pasted_mid_sentence_are_found(words, shift):
 
 
 def brute_classes(rows, threshold=0.8):
-    sets = {k: frozenset(near_duplicates.shingles((t or "").encode()).tolist()) for k, t in rows}
-    rep = {}
-    for k in sorted(sets):
-        rep.setdefault(sets[k], k)
-    root = {k: k for k in rep.values()}
+    """By sets of word tuples, apart from the operator's own hashes; rows may share ids."""
+    def five(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+    sets = [five(t) for _, t in rows]
+    kinds = sorted(set(sets), key=lambda s: min((k is None, k or 0) for (k, _), x in zip(rows, sets, strict=True) if x == s))
+    root = dict(zip(kinds, range(len(kinds)), strict=True))
 
     links = collections.Counter()
-    for a in rep:
-        for b in rep:
-            if rep[a] < rep[b] and a and b and len(a & b) >= threshold * len(a | b):
-                links[rep[a]] += 1
-                links[rep[b]] += 1
-                x, y = sorted((top(rep[a]), top(rep[b])))
-                root[y] = x
-    n = collections.Counter(sets.values())
-    return {(k, top(rep[s]), links[rep[s]], n[s]) for k, s in sets.items()}
-
-
-def test_near_duplicates_against_all_pairs(spark, words):
-    draw = random.Random(6)
+    for i, a in enumerate(kinds):
+        for b in kinds[i + 1 :]:
+            if a and b and len(a & b) >= threshold * len(a | b):
+                links[a] += 1
+                links[b] += 1
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {s: new if r == old else r for s, r in root.items()}
+    n = collections.Counter(sets)
+    least = {r: min((k for (k, _), s in zip(rows, sets, strict=True) if root[s] == r and k is not None), default=None) for r in root.values()}
+    return collections.Counter((k, least[root[s]], links[s], n[s]) for (k, _), s in zip(rows, sets, strict=True))
+
+
+def near_rows(draw, words):
     rows, k = [], 0
     for size in [1] * 20 + [2] * 10 + [5, 90]:
         base = prose(draw, words, 120).split()
@@ -203,13 +202,39 @@ def test_near_duplicates_against_all_pairs(spark, words):
                 own[draw.randrange(len(own))] = draw.choice(words)
             rows.append((k, " ".join(own)))
             k += 1
-    rows += [(900, None), (901, ""), (902, "..."), (903, "one two"), (904, "One, TWO!"), (905, "one two three")]
+    return rows
+
+
+def test_near_duplicates_against_all_pairs(spark, words):
+    rows = near_rows(random.Random(6), words)
+    rows += [(900, None), (901, ""), (902, "..."), (903, "one two"), (904, "One, TWO!"), (905, "one two three"), (906, "One, TWO!"), (906, "One, TWO!")]
+    rows += [(907, "long " * 90_000), (None, rows[3][1]), (None, rows[3][1]), (None, "alone and without an id")]
     docs = docs_of(spark, rows)
-    found = near_duplicates.classes(docs, small=8, lot=40, block=16)
-    assert {(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in found.collect()} == brute_classes(rows)
-    kept = near_duplicates.keep_one(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, c, _, _ in brute_classes(rows)}
-    assert near_duplicates.classes(docs.limit(0)).count() == 0
+    want = brute_classes(rows)
+    for lot in (40, 3):
+        found = near_duplicates.classes(docs, small=8 if lot > 8 else 2, lot=lot, block=16)
+        assert collections.Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in found.collect()) == want
+    kept = near_duplicates.keep_one(docs.withColumns({"gone": F.lit(1), "print": F.lit(2), "row": F.lit(3)}))
+    assert kept.columns == [*docs.columns, "gone", "print", "row"]
+    assert {r.doc_id for r in kept.collect()} == {c for _, c, _, _ in want} | {None} and kept.filter("doc_id is null").count() == 3
+    assert near_duplicates.classes(docs.limit(0)).count() == 0 and near_duplicates.keep_one(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id_keep_their_links(spark, words):
+    draw = random.Random(16)
+    a, b = prose(draw, words, 400), prose(draw, words, 400)
+    rows = [(1, a), (1, b), (2, f"{a} more"), (3, f"{b} more")]
+    got = collections.Counter(map(tuple, near_duplicates.classes(docs_of(spark, rows)).collect()))
+    assert got == brute_classes(rows) == {(1, 1, 1, 1): 2, (2, 1, 1, 1): 1, (3, 1, 1, 1): 1}
+    assert sorted(r.doc_id for r in near_duplicates.keep_one(docs_of(spark, rows)).collect()) == [1, 1]
+
+
+def test_runs_reach_the_target_recall(spark):
+    assert near_duplicates.runs_for(0.999, 0.8) == 10 and near_duplicates.runs_for(0.9, 0.8) == 4
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want, got = ({k: n for k, _, n, _ in x} for x in (brute_classes(rows), map(tuple, near_duplicates.classes(docs).collect())))
+    assert sum(want.values()) and sum(min(n, got[k]) for k, n in want.items()) >= 0.99 * sum(want.values()) and all(got[k] <= n for k, n in want.items())
 
 
 def test_components(spark):

@@ -18,14 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one that becomes the checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir, or the checkpoint folder set on the context; one machine alone may do with a temporary one."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tidemark-"))
-        root = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tidemark-"))
+        root = context.getCheckpointDir()
     return root
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until df has no such column in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
@@ -76,11 +89,13 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 class Marks:
     """A bit map of ids: tells that an id is not among them for certain, or that it may be, wrongly with a chance of ids / bits.
 
-    It has bits / 8 bytes for any number of ids; with very many, the test lets all pass, and the join that
-    follows it does all the work.
+    It has some bits for each id, up to `most` bits in all (16 MB); with very many ids the test lets all pass, and the
+    join that follows it does all the work.
     """
 
-    def __init__(self, ids: DataFrame, column: str, bits: int = 1 << 26):
+    def __init__(self, ids: DataFrame, column: str, bits: int | None = None, most: int = 1 << 27):
+        if bits is None:
+            bits = min(most, max(1 << 20, 1 << (16 * ids.count()).bit_length()))
         self.bits = bits
         set_bits = ids.select(self.place(column).alias("p")).selectExpr("p div 64 AS word", "shiftleft(1L, cast(p % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
         table = np.zeros(bits // 64, "i8")

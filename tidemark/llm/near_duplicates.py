@@ -5,22 +5,28 @@ one run). Documents with equal sets are one class of copies, which its least doc
 every set goes down a tree: at a node it follows one of its members, sampled by a hash that the node seeds,
 so that sets which share most members mostly take the same branch. A bucket of at most `small` sets is
 searched by brute force; a larger one splits on the next sampled member, three levels deep. What is larger
-even then is dealt at random into lots, anew in each run.
+even then is still searched whole: above `lot` sets in pairs of blocks, each a task of its own.
+
+A pair of similarity t follows one branch through `level` levels in a run with a chance of t ** level. The runs
+are repeated until the target recall is reached even for a pair that ends at the deepest level: `runs_for`
+gives their number, ten for 0.999 at a similarity of 0.8.
 
 Sets in a bucket are compared by 128-byte sketches with a margin below the threshold, which only groups them.
 The sets of each group then meet once, and all pairs in the group are compared exactly, in blocks; what
-leaves a task are numbers of links and labels, never pairs. A pair of similarity 0.8 shares its branch in a
-run with a chance of 0.8 at the first level, 0.64 at the second and 0.51 at the third, so ten runs miss it
-with a chance of 1e-7, 4e-5 and 8e-4.
+leaves a task are numbers of links and labels, never pairs. A group of n sets that all differ costs n * n / 2
+comparisons in blocks, as its number of links does.
 
-A group of n sets that all differ costs n * n / 2 comparisons in blocks, as its number of links does.
+Sets are told apart by 128-bit hashes of their members, not by doc_id: documents that share an id and differ
+in text keep their own sets and links, a row each.
 
 Defined results: a text without words (null too) has the empty set; such documents are copies of each other;
-repeated rows are copies; a null doc_id has null ids; an empty table gives no rows; other columns are not read.
+repeated rows are copies; a null doc_id has a null id, and counts last where a class takes its least one; an empty
+table gives no rows; other columns are not read by `classes` and pass through `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,11 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Marks, arrow, chunks, marked, parts, saved, text_bytes
+from tidemark.llm.common import Marks, arrow, chunks, marked, parts, saved, text_bytes, unused
 from tidemark.llm.components import components
 from tidemark.llm.decontamination import words
 
 PRINTS = "doc_id long, print binary, sketch binary, tokens array<long>"
+NO_ID = -(2**63)
 _K = np.uint64(0x9E3779B97F4A7C15)
 BINS, LEVELS = 128, 3
 
@@ -71,6 +78,11 @@ def alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((one == many) & (one > 0)).sum(1) / np.maximum(either, 1)
 
 
+def runs_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
+    """So many runs find a pair at the threshold with a chance of `recall`, at the deepest level too."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels))
+
+
 def prints(docs: DataFrame, runs: int) -> DataFrame:
     schema = arrow(PRINTS)
     seeds = _mix(np.arange(1, LEVELS * runs + 1, dtype="u8") * _K)
@@ -154,9 +166,11 @@ def _buckets(reps: DataFrame, runs: int, small: int, lot: int) -> DataFrame:
             ends.append(at.filter(F.col("n") <= small).select("path", "rep"))
             at = at.filter(F.col("n") > small).drop("n").withColumn("path", F.xxhash64("path", F.col(f"t{level + 1}")))
         else:
-            # what no member splits: in lots by a hash that each run seeds
-            lots = F.ceil(F.col("n") / lot)
-            ends.append(at.select(F.xxhash64("path", F.pmod(F.xxhash64("rep", "run"), lots)).alias("path"), "rep"))
+            # what no member splits: whole up to `lot` sets, beyond in pairs of blocks, so that every two sets still meet
+            blocks = F.ceil(F.col("n") / lot)
+            own = F.pmod(F.xxhash64("rep"), blocks)
+            pair = at.select("path", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+            ends.append(pair.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "rep"))
     out = ends[0]
     for e in ends[1:]:
         out = out.unionByName(e)
@@ -199,47 +213,53 @@ def _linked(threshold: float) -> Callable:
     return work
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, runs: int = 10, small: int = 64, lot: int = 4096, block: int = 512) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, small: int = 64, lot: int = 2048, block: int = 512) -> DataFrame:
     """doc_id, class_id (the least doc_id that links lead to), n_links (other sets linked with its own), n_copies (documents with its set)."""
-    printed = saved(prints(docs, runs), "prints")
-    copies = printed.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    members = saved(printed.select("doc_id", "print").join(copies, "print").select("doc_id", "rep", "n_copies"), "members")
-    reps = printed.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    runs = runs_for(recall, threshold)
+    printed = saved(prints(docs, runs).withColumn("row", F.monotonically_increasing_id()), "prints")
+    copies = saved(printed.groupBy("print").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")), "copies")
+    reps = printed.join(copies.select(F.col("rep").alias("row")), "row", "left_semi").withColumnRenamed("row", "rep")
     reps = saved(reps.select("rep", "sketch", "tokens"), "sets")
     buckets = _buckets(reps, runs, small, lot).join(reps.select("rep", "sketch"), "rep")
     groups = components(_by_group(buckets.select("path", "rep", "sketch"), ["path"], _near(threshold - 0.2), "a long, b long"))
-    groups = saved(groups.select(F.col("node").alias("rep"), F.col("root").alias("group")), "groups")
+    groups = groups.select(F.col("node").alias("rep"), F.col("root").alias("group")).join(copies.select("rep", "print", F.coalesce("first_id", F.lit(NO_ID)).alias("first_id")), "rep")
+    groups = saved(groups, "groups")
     n = groups.groupBy("group").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = groups.join(n, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    kinds = arrow("rep long, shingles array<int>")
+    dealt = groups.join(n, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("first_id")
+    kinds = arrow("print binary, shingles array<int>")
 
-    members_only = Marks(groups, "rep")
+    members_only = Marks(groups, "first_id")
     held = members_only.table
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             b = b.filter(pa.array(marked(held.value, b.column("place").to_numpy())))
-            own = [(shingles(t) >> np.uint64(32)).astype("u4").view("i4") for t in text_bytes(b)]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(own, kinds.field(1).type)], schema=kinds)
+            own = [shingles(t) for t in text_bytes(b)]
+            names = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], kinds.field(0).type)
+            yield pa.RecordBatch.from_arrays([names, pa.array([(x >> np.uint64(32)).astype("u4").view("i4") for x in own], kinds.field(1).type)], schema=kinds)
 
-    # only sets that are in a group take part in the shuffle, but for few that the bit map lets pass
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("place", members_only.place("rep"))
-    small_sets = texts.mapInArrow(sets, "rep long, shingles array<int>").join(dealt, "rep").dropDuplicates(["rep"])
+    # of each set in a group the text of its least id takes part in the shuffle, and few others that the bit map lets pass
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("first_id"), "text").withColumn("place", members_only.place("first_id"))
+    small_sets = texts.mapInArrow(sets, "print binary, shingles array<int>").join(dealt, "print").dropDuplicates(["print"])
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     paired = small_sets.withColumn("other", other).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("side"), "rep", "blocks", "shingles")
     links = saved(_by_group(paired, ["group", "i", "j"], _linked(threshold), "rep long, label long, links long"), "links")
     total = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
     roots = components(links.select(F.col("rep").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "rep")
-    found = members.join(total, "rep", "left").join(roots, "rep", "left")
-    return found.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"))
+    linked = saved(copies.join(total, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "linked")
+    least = linked.filter("root <> rep or n_links > 0").groupBy("root").agg(F.min("first_id").alias("least"))
+    named = linked.join(least, "root", "left").select("print", F.coalesce("least", "first_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"))
+    return printed.select("doc_id", "print").join(named, "print").select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs without those whose class has a document with a lesser id; documents without id stay.
 
-    Documents that are certainly not among those pass by the join.
+    Rows that share an id go only where all of them do. Documents that are certainly not among those pass by the join.
     """
-    gone = saved(classes(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    may_go = Marks(gone, "__gone").may_have("doc_id")
-    rest = docs.filter(may_go).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    (mark,) = unused(docs, "gone")
+    found = classes(docs, threshold).filter("doc_id is not null").groupBy("doc_id").agg(F.max("class_id").alias("last"))
+    gone = saved(found.filter("last < doc_id").select(F.col("doc_id").alias(mark)), "gone")
+    may_go = Marks(gone, mark).may_have("doc_id")
+    rest = docs.filter(may_go).join(gone, F.col("doc_id") == F.col(mark), "left_anti")
     return docs.filter(~may_go).unionByName(rest)
