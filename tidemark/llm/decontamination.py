@@ -18,11 +18,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, saved, text_bytes
+from tidemark.llm.common import chunks, saved, text_bytes, unused
 
 #: A-Z to a-z; ASCII that is neither digit nor letter to a space; the bytes of other code points as they are.
 _WORDS = bytes(32 if b < 128 and not chr(b).isalnum() else ord(chr(b).lower()) if b < 128 else b for b in range(256))
@@ -154,28 +155,34 @@ def _shards(benchmark: DataFrame, window: int, shard_words: int) -> Iterator[lis
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = 200_000) -> DataFrame:
-    """docs with __n_words, __hits (stretches of word numbers, ascending and apart) and __items (ids, sorted as strings)."""
+    """docs with __n_words, __hits (stretches of word numbers, ascending and apart) and __items (ids, sorted as strings).
+
+    Where docs has columns of these names, the new ones get more underscores.
+    """
     context = docs.sparkSession.sparkContext
+    names = unused(docs, N_WORDS, HITS, ITEMS)
     none = F.array().cast("array<struct<start:long,end:long>>")
-    state = docs.withColumns({N_WORDS: F.lit(0).cast("long"), HITS: none, ITEMS: F.array().cast("array<string>")})
+    state = docs.withColumns(dict(zip(names, (F.lit(0).cast("long"), none, F.array().cast("array<string>")), strict=True)))
     schema = state.schema
     for k, lot in enumerate(_shards(benchmark, window, shard_words)):
-        state = (saved(state, "hits") if k else state).mapInArrow(_pass(context.broadcast(Automaton(lot, window))), schema)
+        state = (saved(state, "hits") if k else state).mapInArrow(_pass(context.broadcast(Automaton(lot, window)), names), schema)
     return state
 
 
-def _pass(automaton):
+def _pass(automaton, columns: list[str]):
+    _, hits_, items_ = columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton.value
         for b in chunks(batches):
             n, hits, items = [], [], []
-            for text, old, names in zip(text_bytes(b), b.column(HITS).to_pylist(), b.column(ITEMS).to_pylist(), strict=True):
+            for text, old, names in zip(text_bytes(b), b.column(hits_).to_pylist(), b.column(items_).to_pylist(), strict=True):
                 own = words(text)
                 new, which = found.scan(own)
                 n.append(len(own))
                 hits.append([{"start": s, "end": e} for s, e in merged([*new, *((h["start"], h["end"]) for h in old)])])
                 items.append(sorted({*names, *which}))
-            for name, values in ((N_WORDS, n), (HITS, hits), (ITEMS, items)):
+            for name, values in zip(columns, (n, hits, items), strict=True):
                 k = b.schema.names.index(name)
                 b = b.set_column(k, b.schema.field(k), pa.array(values, b.schema.field(k).type))
             yield b
@@ -193,13 +200,13 @@ def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def n_hit() -> Column:
-    return F.aggregate(HITS, F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
+def n_hit(hits: str = HITS) -> Column:
+    return F.aggregate(hits, F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
 
 
-def over(coverage: int) -> Column:
+def over(coverage: int, n_words: str = N_WORDS, hits: str = HITS) -> Column:
     """Whether one word in `coverage` or more is hit."""
-    return (n_hit() > 0) & (n_hit() * coverage >= F.col(N_WORDS))
+    return (n_hit(hits) > 0) & (n_hit(hits) * coverage >= F.col(n_words))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20) -> DataFrame:
@@ -215,11 +222,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
 
     With cut_spans, those over the limit stay, without the hit stretches.
     """
+    n_words, hits, _ = unused(docs, N_WORDS, HITS, ITEMS)
     found = find_spans(docs, benchmark, window)
     if not cut_spans:
-        return found.filter(~over(coverage)).select(*docs.columns)
-    cut = F.udf(lambda t, hits: without(t, [(h["start"], h["end"]) for h in hits]), "string")
-    return found.withColumn("text", F.when(over(coverage), cut("text", HITS)).otherwise(F.col("text"))).select(*docs.columns)
+        return found.filter(~over(coverage, n_words, hits)).select(*docs.columns)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([without(t, [(h["start"], h["end"]) for h in own]) if len(own) else t for t, own in zip(texts, hits, strict=True)], dtype="object")
+
+    kept = F.when(over(coverage, n_words, hits), F.col(hits)).otherwise(F.array().cast("array<struct<start:long,end:long>>"))
+    return found.withColumn("text", cut("text", kept)).select(*docs.columns)
 
 
 def without(text: str, hits: list[tuple[int, int]]) -> str:

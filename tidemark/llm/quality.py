@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, chunks, fold, saved, text_bytes
+from tidemark.llm.common import Marks, arrow, chunks, fold, saved, text_bytes
 
 _KINDS = ("letters", "upper", "digits", "marks", "ends", "signs", "bars", "spaces", "lines", "other")
 
@@ -156,8 +156,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without those scored below the threshold. Scores are worked out again beside the texts, which then need no shuffle."""
-    model = fit(saved(features(docs), "quality"), labels)
+    """docs without those scored below the threshold.
+
+    The model is fitted on the statistics of labelled documents alone, which a bit map of their ids picks out;
+    scores are then worked out beside the texts, which need no shuffle.
+    """
+    known = labels.filter(F.col("quality").cast("int").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"))
+    model = fit(features(docs.filter(Marks(known, "doc_id").may_have("doc_id"))), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, chunks, saved, text_bytes
+from tidemark.llm.common import Marks, arrow, chunks, saved, text_bytes, unused
 
 #: Words that end with the first one that ends a sentence or a line, and the white space after.
 _SENTENCE = re.compile(rb"(?:\S*[^\s.!?][^\S\n]+)*\S+\s*")
@@ -120,29 +120,42 @@ def all_runs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, RUNS)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, hot: int = 1000) -> DataFrame:
     """hash, doc_id, place, size, kept_doc_id: the runs that are not the first with their hash.
 
-    Equal runs are first added up by hash (within tasks, then across), and only hashes that occur twice meet
-    the runs again, in a join whose hot hashes Spark can split.
+    Equal runs are first added up by hash (within tasks, then across). Of all runs, only those that a bit map of
+    the repeated hashes lets pass meet the firsts again. A hash with more than `hot` runs, or a ten-thousandth of
+    all if that is more, is dealt out by salts; there are ten thousand such hashes at most, which are broadcast.
     """
     found = saved(all_runs(docs), "runs")
-    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, "hash").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
+    limit = max(hot, found.count() // 10_000)
+    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = saved(first.withColumn("salts", F.ceil(F.col("n") / limit)).drop("n"), "repeated")
+    again = found.filter(Marks(first, "hash").may_have("hash"))
+    again = again.join(F.broadcast(first.filter("salts > 1").select("hash", "salts")), "hash", "left")
+    again = again.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "place"), F.col("salts")), F.lit(0).cast("long"))).drop("salts")
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    later = again.join(salted, ["hash", "salt"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
     return later.select("hash", "doc_id", "place", "size", F.col("first.doc_id").alias("kept_doc_id"))
 
 
 def remove_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """docs with the repeated sentences cut from text; with counts also __sentences and __removed."""
-    gone = repeats(docs).groupBy("doc_id").agg(F.collect_set(F.struct("hash", "place", "size")).alias("__gone"))
-    joined = docs.join(gone, "doc_id", "left")
-    out = joined.select(*docs.columns, F.lit(0).cast("int").alias(COUNTED), F.lit(0).cast("int").alias(REMOVED))
-    schema = out.schema
+    """docs with the repeated sentences cut from text; with counts also __sentences and __removed (with more underscores where docs has these names).
+
+    Documents that certainly lose nothing pass by the join.
+    """
+    gone_, counted, removed_ = unused(docs, "__gone", COUNTED, REMOVED)
+    gone = repeats(docs).groupBy("doc_id").agg(F.collect_set(F.struct("hash", "place", "size")).alias(gone_))
+    gone = saved(gone.filter("doc_id is not null"), "repeats")
+    may_lose = Marks(gone, "doc_id").may_have("doc_id")
+    rest = docs.filter(~may_lose).withColumn(gone_, F.lit(None).cast(gone.schema[gone_].dataType))
+    joined = docs.filter(may_lose).join(gone, "doc_id", "left").select(*docs.columns, gone_).unionByName(rest)
+    schema = joined.select(*docs.columns, F.lit(0).cast("int").alias(counted), F.lit(0).cast("int").alias(removed_)).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             texts, n, removed = b.column("text").to_pylist(), [], []
-            for k, (raw, gone) in enumerate(zip(text_bytes(b), b.column("__gone").to_pylist(), strict=True)):
+            for k, (raw, gone) in enumerate(zip(text_bytes(b), b.column(gone_).to_pylist(), strict=True)):
                 if not gone:
                     n.append(sum(1 for _ in stretches(raw.lower())) if counts else 0)
                     removed.append(0)
@@ -157,8 +170,8 @@ def remove_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
                 texts[k] = b"".join([*out, raw[at:]]).decode()
                 n.append(len(spans))
                 removed.append(len(bad))
-            columns = [pa.array(texts, pa.string()) if f.name == "text" else b.column(f.name) for f in schema if f.name not in (COUNTED, REMOVED)]
+            columns = [pa.array(texts, pa.string()) if f.name == "text" else b.column(f.name) for f in schema if f.name not in (counted, removed_)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(removed, pa.int32())], names=schema.names)
 
-    whole = joined.select(*docs.columns, "__gone").mapInArrow(cut, schema)
+    whole = joined.mapInArrow(cut, schema)
     return whole if counts else whole.select(*docs.columns)
