@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,50 @@ def test_toxicity_and_its_place(spark, words):
     assert toxicity.classify(docs, labels.limit(0)).filter("score <> 0.5").count() == 0
 
 
+def test_noisy_or_loss_against_a_plain_loop():
+    """The loss by its definition, and the gradient by differences; then what the steps reach."""
+    draw = random.Random(8)
+    docs = [(int(k < 6), [(draw.randint(1, 3), draw.sample(range(5), draw.randint(0, 3))) for _ in range(draw.randint(1, 5))]) for k in range(20)]
+    weight = {0: 0.03, 1: 0.09}
+
+    def plain(point):
+        total = 0.0
+        for y, lines in docs:
+            clean = math.prod((1 - 1 / (1 + math.exp(-point[-1] - sum(point[w] for w in own)))) ** n for n, own in lines)
+            total -= weight[y] * math.log(1 - clean if y else clean)
+        return total
+
+    bags = pa.RecordBatch.from_pydict({"label": [y for y, _ in docs], "times": [[n for n, _ in x] for _, x in docs], "sizes": [[len(w) for _, w in x] for _, x in docs], "words": [[w for _, own in x for w in own] for _, x in docs]})
+    point = np.array([0.3, -0.2, 1.1, 0.0, -0.7, -1.2])
+    value, slope = toxicity.bag_loss(bags, point, weight)
+    assert math.isclose(value, plain(point), rel_tol=1e-9)
+    assert np.allclose(slope, [(plain(point + d) - plain(point - d)) / 2e-6 for d in np.eye(6) * 1e-6], atol=1e-6)
+    found = toxicity.minimised(lambda x: (float(((x - 3) ** 4).sum()), 4 * (x - 3) ** 3), np.zeros(4), 60)
+    assert np.allclose(found, 3, atol=0.1)
+
+
+def test_toxicity_edge_cases(spark, words):
+    assert toxicity.forms("жовтня".encode()) == ("жовтня".encode(), "жовт-".encode(), "жовтн-".encode()) and toxicity.forms(b"ab") == (b"ab", b"ab-", b"ab-")
+    draw = random.Random(12)
+    rows = [(k, f"{prose(draw, words, 20)}. {'zorgax now' if k % 3 == 0 else 'fine'}.") for k in range(60)]
+    rows += [(None, rows[0][1]), (5, rows[5][1]), (5, rows[5][1])]
+    docs, labels = docs_of(spark, rows), labels_of(spark, [(k, 0, int(k % 3 == 0)) for k in range(60)] + [(None, 0, 1), (7, 0, None)])
+    got = toxicity.classify(docs, labels).toPandas()
+    assert len(got) == 63 and (got[got.doc_id == 5].score.nunique(), got.doc_id.isna().sum()) == (1, 1)
+    assert got[got.doc_id.isna()].score.item() == got[got.doc_id == 0].score.item()
+    assert toxicity.classify(docs.limit(0), labels).count() == 0 and toxicity.locate(docs.limit(0), toxicity.Model({}, 0.0)).count() == 0
+
+
+def test_class_sums_of_spark_equal_plain_ones(spark, words):
+    draw = random.Random(13)
+    texts = [prose(draw, words, draw.randint(5, 80)) for _ in range(120)]
+    docs, labels = docs_of(spark, list(enumerate(texts))), labels_of(spark, [(k, k % 2, 0) for k in range(120)])
+    learn = [k for k in range(120) if zlib.crc32(str(k).encode()) % 5]
+    x = {y: np.array([quality.statistics(texts[k].encode()) for k in learn if k % 2 == y], "f4").astype("f8") for y in (0, 1)}
+    want = quality.Discriminant({y: (len(v), v.sum(0), v.T @ v) for y, v in x.items()}).scores(x[1])
+    assert np.allclose(quality.fit(quality.features(docs), labels).scores(x[1]), want, atol=1e-9)
+
+
 def test_lattice_sums_all_segmentations():
     pieces, logs = ["▁", "▁a", "a", "ab", "b", "<0x63>"], np.log([0.1, 0.2, 0.15, 0.25, 0.1, 0.2])
     p = dict(zip(pieces, np.exp(logs)))

@@ -5,12 +5,14 @@ P = 1 - prod(1 - p). The words' weights are fitted so that P explains the docume
 sentences' own scores then tell which ones offend.
 
 The fit uses at most `sample` labelled documents outside the held-out fold, half of each label, those with
-the least hashes of their ids; their weights restore the labels' shares. A word has itself and its first
-four and five letters as features, so that forms never seen count by their stems. Features are those of at
-least `least` sample documents with the strongest association with toxic ones, `words` at most.
+the least hashes of their ids; together the documents of either label weigh the same. A word has itself and
+its first four and five code points as features, so that forms never seen count by their stems. Features are
+those of at least `least` sample documents with the strongest association with toxic ones, `words` at most.
+Loss and gradient are added up by the executors over the sample's bags of sentences; a row of sums for each of
+`tasks` tasks comes to the driver a round, which takes the steps (L-BFGS).
 
 Defined results: a null or empty text has no sentences and scores 0; without labelled rows of both kinds
-every score is the share of toxic ones, 0.5 without any; repeated rows are scored each by itself; an empty
+every score is the share of toxic ones, 0.5 without any; a null id is an id of its own and has no labels; repeated rows are scored each by itself; an empty
 table gives no rows; other columns are not read.
 """
 
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +41,11 @@ def sentences(text: bytes) -> list[bytes]:
 
 
 def forms(word: bytes) -> tuple[bytes, ...]:
-    """A word's features: itself, and its stems, which end in a mark that no word has."""
-    return word, word[:4] + b"-", word[:5] + b"-"
+    """A word's features: itself, and its stems of code points, which end in a mark that no word has."""
+    if word.isascii():
+        return word, word[:4] + b"-", word[:5] + b"-"
+    text = word.decode()
+    return word, text[:4].encode() + b"-", text[:5].encode() + b"-"
 
 
 class Model:
@@ -78,7 +84,7 @@ def _sample(labels: DataFrame, label: str, held_out: int, sample: int) -> DataFr
     return own.filter("label = 0").orderBy("h", "doc_id").limit(sample // 2).unionByName(own.filter("label = 1").orderBy("h", "doc_id").limit(sample // 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, sample: int = 12_000, words: int = 4096, least: int = 4, rounds: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, sample: int = 12_000, words: int = 4096, least: int = 4, rounds: int = 40, tasks: int = 12) -> Model:
     shares = {r["label"]: r["n"] for r in labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label in (0, 1)").filter(fold() != held_out).groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         return Model({}, 0.0, 1.0 if shares.get(1) else 0.0 if shares else 0.5)
@@ -119,39 +125,81 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int
             if out:
                 yield batch_of(bags_schema, *zip(*out, strict=True))
 
-    rows = texts.select("text", "label").mapInArrow(bags, BAGS).toArrow()
-    weight = {k: shares[k] / (shares[0] + shares[1]) / sizes[k] * (n0 + n1) for k in (0, 1)}
-    w, bias = _descend(rows, len(vocabulary), weight, rounds)
-    return Model({v: float(x) for v, x in zip(vocabulary, w, strict=True) if abs(x) > 0.02}, float(bias))
+    held = saved(texts.select("text", "label").mapInArrow(bags, BAGS).repartition(tasks), "bags")
+    weight = {0: 0.5 / n0, 1: 0.5 / n1}
+    sums_schema = arrow(SUMS)
 
+    def loss(point: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, slope = 0.0, np.zeros(len(point))
+            for b in batches:
+                value, g = bag_loss(b, point, weight)
+                total, slope = total + value, slope + g
+            yield batch_of(sums_schema, [total], [slope])
 
-BAGS = "label int, times array<int>, sizes array<int>, words array<int>"
+        sums = held.mapInArrow(run, SUMS).collect()  # a row a task
+        w = np.append(point[:-1], 0.0)
+        return sum(r["loss"] for r in sums) + L2 / 2 * w @ w, np.sum([r["slope"] for r in sums], 0) + L2 * w
+
+    start = np.zeros(len(vocabulary) + 1)
+    mean = texts.select(F.avg(F.size(F.split("text", "[.!?\n]")))).first()[0]
+    start[-1] = math.log(0.1 / max(1.0, mean or 1.0))
+    *w, bias = minimised(loss, start, rounds).tolist()
+    return Model({v: x for v, x in zip(vocabulary, w, strict=True) if abs(x) > 0.02}, bias)
 
 
-def _flat(column) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+BAGS = "label int, times array<int>, sizes array<int>, words array<int>"
+SUMS = "loss double, slope array<double>"
+L2 = 1e-4
 
 
-def _descend(rows: pa.Table, n_words: int, weight: dict[int, float], rounds: int, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Adam on the weighted log loss of noisy-or over the sample's bags of sentences."""
-    y = rows.column("label").to_numpy()
-    times, sizes, words = (_flat(rows.column(c)) for c in ("times", "sizes", "words"))
-    doc = np.repeat(np.arange(len(y)), [len(x) for x in rows.column("times").to_pylist()])
+def bag_loss(bags: pa.RecordBatch, point: np.ndarray, weight: dict[int, float]) -> tuple[float, np.ndarray]:
+    """The weighted log loss of noisy-or over documents' bags of sentences, and its gradient by the words' weights and the bias."""
+    y = bags.column("label").to_numpy()
+    times, sizes, words = (bags.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("times", "sizes", "words"))
+    doc = np.repeat(np.arange(len(y)), pc.list_value_length(bags.column("times")).to_numpy())
     sentence = np.repeat(np.arange(len(times)), sizes)
     each = np.where(y == 1, weight[1], weight[0])
-    each = each / each.sum()
-    w, bias = np.zeros(n_words), math.log(0.1 / max(1.0, times.sum() / len(y)))
-    m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
-    for t in range(1, rounds + 1):
-        a = bias + np.bincount(sentence, w[words], len(times))
-        total = np.maximum(np.bincount(doc, times * _softplus(a), len(y)), 1e-12)
-        slope = each * np.where(y == 1, -1 / np.expm1(np.minimum(total, 500)), 1.0)
-        by_sentence = slope[doc] * times / (1 + np.exp(-np.clip(a, -500, 500)))
-        g = np.concatenate([np.bincount(words, by_sentence[sentence], n_words) + l2 * w, [by_sentence.sum()]])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
-    return w, bias
+    a = point[-1] + np.bincount(sentence, point[words], len(times))
+    total = np.maximum(np.bincount(doc, times * _softplus(a), len(y)), 1e-12)
+    value = each @ np.where(y == 1, -np.log(-np.expm1(-total)), total)
+    slope = each * np.where(y == 1, -1 / np.expm1(np.minimum(total, 500)), 1.0)
+    by_sentence = slope[doc] * times / (1 + np.exp(-np.clip(a, -500, 500)))
+    return float(value), np.append(np.bincount(words, by_sentence[sentence], len(point) - 1), by_sentence.sum())
+
+
+def minimised(loss, point: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """The point that L-BFGS reaches in so many evaluations of loss (value and gradient)."""
+    value, slope = loss(point)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    length = 1.0
+    for _ in range(rounds):
+        way, kept = slope.copy(), []
+        for s, g in reversed(steps):
+            kept.append(s @ way / (s @ g))
+            way -= kept[-1] * g
+        if steps:
+            s, g = steps[-1]
+            way *= s @ g / (g @ g)
+        else:
+            way /= max(np.abs(way).max(), 1e-12)
+        for (s, g), k in zip(steps, reversed(kept), strict=True):
+            way += (k - g @ way / (s @ g)) * s
+        after = point - length * way
+        new, new_slope = loss(after)
+        if not new <= value - 1e-4 * length * (slope @ way):
+            length /= 4
+            if length < 1e-4:
+                break
+            continue
+        s, g = after - point, new_slope - slope
+        if s @ g > 1e-12:
+            steps = [*steps[1 - memory :], (s, g)]
+        point, slope, length = after, new_slope, 1.0
+        if value - new < 1e-7 * max(value, 1e-12):
+            break
+        value = new
+    return point
 
 
 def score(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
