@@ -132,6 +132,44 @@ def test_token_counts_against_each_token(spark, rule):
     assert {(r.k, r.field): r.n_tokens for r in fields.collect()} == {("1", "x"): 3, ("1", "y"): 0, ("2", "x"): 2, ("2", "y"): 3}
 
 
+def plain_sections(text):
+    """Sections end after a row of line breaks of two or more; paragraphs are their lines, in bytes."""
+    out, rest = [], text.encode()
+    while m := re.search(rb"\n\n+(?=[^\n])", rest):
+        out, rest = [*out, rest[: m.end()]], rest[m.end() :]
+    return [s.splitlines(True) or [b""] for s in [*out, rest]]
+
+
+def plain_root(text):
+    sha = lambda x: hashlib.sha256(x).digest()
+    return sha(b"".join(sha(b"".join(sha(p) for p in s)) for s in plain_sections(text))).hex()
+
+
+def plain_likeness(a, b):
+    """The share of common windows among the 64 least hashes of both, by sorted sets of window hashes."""
+    def hashes(t):
+        raw = bytes(7) + t.encode()
+        out = set()
+        for k in range(len(raw) - 7):
+            x = (int.from_bytes(raw[k : k + 8], "little") + 0x9E3779B97F4A7C15) % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            out.add((x ^ x >> 31) >> 32)
+        return set(sorted(out)[:64])
+
+    if a == b:
+        return 1.0
+    x, y = hashes(a), hashes(b)
+    both = sorted(x | y)[:64]
+    return sum(h in x and h in y for h in both) / len(both) if both else 1.0
+
+
+def plain_places(a, b):
+    x, y = ({(s, p): line for s, lines in enumerate(plain_sections(t)) for p, line in enumerate(lines)} for t in (a, b))
+    places = sorted(k for k in x.keys() | y.keys() if x.get(k) != y.get(k))
+    return len(plain_sections(a)), len(x), len(places), *(places[0] if places else (None, None))
+
+
 def test_fingerprints_against_a_plain_walk(spark):
     for docs in [*both(spark), odd(spark, [(5, "alone", *[None] * 5)]), odd(spark, [(None, "b", *[None] * 5), (None, "a", *[None] * 5), (4, "c" * 8, *[None] * 5)])]:
         rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
@@ -141,9 +179,11 @@ def test_fingerprints_against_a_plain_walk(spark):
             n = len(text) // 4
             edited = text[: len(text) - n] + after[:n]
             a, b, c = (fingerprints.fingerprint(x.encode())[0] for x in (text, edited, after))
-            want[doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, round(fingerprints.likeness(a, b), 9), round(fingerprints.likeness(a, c), 9)] += 1
-        got = fingerprints.compare_with_next(docs, rows_a_task=7).toPandas()
-        assert collections.Counter((None if pd.isna(d) else int(d), *x, round(n, 9), round(m, 9)) for d, *x, n, m in got.itertuples(index=False)) == want
+            want[doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, round(plain_likeness(text, edited), 9), round(plain_likeness(text, after), 9), *plain_places(text, edited)] += 1
+            assert a[:64] == plain_root(text) and round(fingerprints.likeness(a, c), 9) == round(plain_likeness(text, after), 9)
+        got = fingerprints.compare_with_next(docs, lots=9).toPandas()
+        none = lambda x: None if pd.isna(x) else int(x)
+        assert collections.Counter((none(d), *x, round(n, 9), round(m, 9), s, p, k, none(fs), none(fp)) for d, *x, n, m, s, p, k, fs, fp in got.itertuples(index=False)) == want
         big = got[got.n_chars >= 40] if len(rows) > 100 else []
         assert not len(big) or (big.near_edited > big.near_next).mean() > 0.9
     assert fingerprints.compare_with_next(odd(spark, [])).count() == 0
@@ -167,6 +207,17 @@ def test_tree_locates_edits():
     assert fingerprints.differing(a, a + b"\n\nsix") == [(2, 0), (2, 1), (3, 0)]
 
 
+def test_joins_of_trees_locate_edits(spark):
+    a = "one\ntwo\n\nthree\nfour\n\nfive"
+    before = odd(spark, [(1, a, *[None] * 5), (2, a, *[None] * 5), (3, None, *[None] * 5), (4, a, *[None] * 5), (4, a, *[None] * 5), (None, "x", *[None] * 5), (6, "gone", *[None] * 5)])
+    after = odd(spark, [(1, a.replace("three", "3"), *[None] * 5), (2, a, *[None] * 5), (3, "", *[None] * 5), (4, f"{a}\n\nsix", *[None] * 5), (None, "y", *[None] * 5), (7, "new", *[None] * 5)])
+    got = sorted(map(tuple, fingerprints.edits(before, after).collect()))
+    assert got == [(1, 1, 0, "changed"), (4, 2, 0, "changed"), (4, 2, 1, "added"), (4, 3, 0, "added"), (6, 0, 0, "removed"), (7, 0, 0, "added")]
+    assert fingerprints.edits(before.limit(0), after.limit(0)).count() == 0
+    rows = fingerprints.trees(before.filter("doc_id = 1")).orderBy("section", "paragraph").collect()
+    assert [(r.section, r.paragraph, r.start) for r in rows] == [(0, 0, 0), (0, 1, 4), (0, 2, 8), (1, 0, 9), (1, 1, 15), (1, 2, 20), (2, 0, 21)]
+
+
 def test_chat_matches_sql_and_reads_back(spark):
     got = registry.op8_chat_formatting(spark, SF).toPandas()
     con = duckdb.connect()
@@ -183,7 +234,36 @@ def test_chat_matches_sql_and_reads_back(spark):
     assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def plain_fold(log):
+    """Messages by a plain walk over the log in order of turn and sequence."""
+    out = {}
+    for conv, turn, _, kind, role, text in sorted(log, key=lambda e: (e[1], e[2])):
+        own = out.setdefault((conv, turn), ["", None])
+        own[0] = role or own[0]
+        if kind == "regenerate":
+            own[1] = None
+        elif kind == "delta":
+            own[1] = (own[1] or "") + (text or "")
+        else:
+            own[1] = text or ""
+    return sorted((c, t, role, text) for (c, t), (role, text) in out.items() if text is not None)
+
+
 def test_events_fold_to_final_messages(spark):
     log = [(1, 0, 0, "message", "user", "hi"), (1, 1, 1, "delta", "assistant", "a"), (1, 1, 2, "delta", None, "b"), (1, 1, 3, "regenerate", "assistant", None), (1, 1, 5, "delta", "assistant", "d"), (1, 1, 4, "delta", "assistant", "c"), (1, 2, 6, "message", "user", "x"), (1, 2, 7, "edit", None, "y"), (1, 2, 8, "delta", None, "z"), (1, 3, 9, "message", "user", "gone"), (1, 3, 10, "regenerate", "user", None)]
-    got = chat.fold_events(spark.createDataFrame(log, "conv_id long, turn long, seq long, kind string, role string, text string"))
+    kinds = "conv_id long, turn long, seq long, kind string, role string, text string"
+    got = chat.fold_events(spark.createDataFrame(log, kinds))
     assert sorted(map(tuple, got.collect())) == [(1, 0, "user", "hi"), (1, 1, "assistant", "cd"), (1, 2, "user", "yz")]
+    draw = random.Random(9)
+    many = [(c, draw.randrange(6), n, draw.choice(["message", "delta", "delta", "delta", "edit", "regenerate"]), draw.choice(["user", "assistant", None, ""]), draw.choice(["a", "<b", "", None, "c " * 50_000 if n % 97 == 0 else "d"])) for c in range(40) for n in range(30)]
+    want = [m for c in range(40) for m in plain_fold([e for e in many if e[0] == c])]
+    draw.shuffle(many)
+    events = spark.createDataFrame(many, kinds).withColumns({"log": F.lit(1), "kept": F.lit(2), "said": F.lit("x")})
+    assert sorted(map(tuple, chat.fold_events(events).collect())) == sorted(want)
+    assert chat.fold_events(events.limit(0)).count() == 0
+
+
+def test_rows_as_events_keep_every_turn(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, None, None, None), (None, 3, "user", "c"), (2, 1, "user", "x" * 300_000)]
+    got = chat.fold_events(chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, "", ""), (1, 2, "assistant", "b"), (1, 3, "user", "a"), (1, 4, "user", "a"), (None, 1, "user", "c"), (2, 1, "user", "x" * 300_000)], key=str)

@@ -19,7 +19,7 @@ text is one value; the events of a turn are folded before, by (conversation, tur
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD, COLON, END = "### ", ":\n", "</turn>\n"
@@ -37,6 +37,15 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def as_events(rows: DataFrame) -> DataFrame:
+    """The event log of a table of finished turns (conv_id, turn, role, text): each row is a `message`, in a turn of its own.
+
+    Turns are numbered anew in the order of turn, role and text, so that rows which share a turn follow each other.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")))
+    return rows.select("conv_id", place.cast("long").alias("turn"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: a row for each turn that has a message at the end of its events."""
     text = F.coalesce("text", F.lit(""))
