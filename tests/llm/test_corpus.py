@@ -151,7 +151,7 @@ def test_lm_scores(spark, words):
     draw = random.Random(3)
     shared = prose(draw, words, 12).replace(".", "") + "."
     rows = [(k, prose(draw, words[:200], 40) + " " + (shared if k % 4 == 0 else "")) for k in range(120)]
-    rows += [(500, None), (501, ""), (7, rows[7][1]), (502, "É\u0085né! " * 3 + "\x1c unseenwordunseen"), (None, "a b c")]
+    rows += [(500, None), (501, ""), (7, rows[7][1]), (502, "É\u0085né! " * 3 + "\x1c unseenwordunseen"), (None, "a b c"), (503, f"{shared} {shared} rareone raretwo and more words that only this text has here. {shared}"), (504, "rareone raretwo and more words that only this text has here."), (505, "word " * 60_000)]
     docs = docs_of(spark, rows)
     count, ends = collections.Counter(), 0
     for k, t in rows:
@@ -160,17 +160,63 @@ def test_lm_scores(spark, words):
             ends += 1
     n, v = sum(count.values()) + ends, len(count) + 1
     base = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    scores = []
-    for hot in (10, 100_000):
-        got = lattice.score_documents(docs, PIECES, hot=hot).collect()
+    want_score = plain_scores(rows)
+    for hot, longest in ((10, 64), (10, 4), (100_000, 64)):
+        got = lattice.score_documents(docs, PIECES, hot=hot, hot_bytes=longest).collect()
         want = collections.Counter((k, len(w := (t or "").encode().lower().split()) + 1, sum(count[x] > 0 for x in w) + 1, n, round(sum(base(count[x]) for x in w) + base(ends), 6)) for k, t in rows)
         assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-        assert all(r.score < 0 for r in got)
-        scores.append({r.doc_id: r.score for r in got})
-    assert all(math.isclose(scores[0][k], scores[1][k], rel_tol=1e-3) for k in scores[0])
+        assert all(math.isclose(r.score, want_score[r.doc_id], rel_tol=1e-9) for r in got)
+    clash = docs.withColumns({c: F.lit("x") for c in ("unit", "rare", "late", "score", "copies")})
+    assert lattice.score_documents(clash, PIECES).count() == len(rows)
     assert lattice.score_documents(docs.limit(0), PIECES).count() == 0
 
 
+def plain_scores(rows, floor=0.01):
+    """The model by its definition, with probabilities of words by plain recursion over all segmentations."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    learn = [(t or "").encode().lower().split() for k, t in rows if zlib.crc32(("" if k is None else str(k)).encode()) % 5 != 1]
+    cut = lambda w: re.split(rb"(?<=[.!?]) ", b" ".join(w)) if w else []
+    words, said = collections.Counter(x for w in learn for x in w), [s for w in learn for s in cut(w)]
+    long = collections.Counter(s for s in said if len(s.split()) >= 8)
+    ends = len(learn)
+
+    def discount(c):
+        once, twice = (sum(n == k for n in c.values()) for k in (1, 2))
+        return min(0.95, (once + 1) / (once + 2 * twice + 2))
+
+    mass = collections.Counter(i for w in words for i in model.encode(w.decode()))
+    all_mass = sum(mass.values()) + floor * model.get_piece_size() + len(words) + 1
+    p = {model.id_to_piece(i): (mass[i] + floor) / all_mass for i in range(model.get_piece_size())}
+    longest = max(map(len, p))
+    total, starts = sum(words.values()) + ends + 1, len(said) + ends + 1
+    d, dl = discount(words), discount(long)
+    by_words = (starts - sum(long.values()) + dl * len(long)) / starts
+    spelt = (d * len(words) + 0.5) / total * (len(words) + 1) / all_mass
+
+    def spelling(text):
+        got = [1.0] + [0.0] * len(text)
+        for i, c in enumerate(text):
+            for j in range(i + 1, min(len(text), i + longest) + 1):
+                if text[i:j] in p and not text[i:j].startswith("<"):
+                    got[j] += got[i] * p[text[i:j]]
+            if c not in p or c == "<":
+                got[i + 1] += got[i] * math.prod(p[f"<0x{b:02X}>"] for b in c.encode())
+        return got[-1]
+
+    word = {x: (words[x] - d) / total * (x in words) + spelt * spelling("\u2581" + x.decode()) for x in {x for _, t in rows for x in (t or "").encode().lower().split()}}
+    out = {}
+    for k, t in rows:
+        own = (t or "").encode().lower().split()
+        score = math.log10((ends + 0.5) / total) + (math.log10(by_words) if not own or own[-1][-1:] in b".!?" else 0)
+        for s in cut(own):
+            written = math.log10(by_words) + sum(math.log10(word[x]) for x in s.split())
+            score += math.log10((long[s] - dl) / starts + 10**written) if s in long else written
+        out[k] = score
+    return out
+
+
 def brute_removed(rows):
     seen, gone = {}, collections.defaultdict(set)
     for k, t in sorted(rows, key=lambda r: r[0]):

@@ -7,13 +7,13 @@ added up by a forward recursion in log space. The end may stand for any word. Ea
 so the probabilities of all texts add up to one at most.
 
 Counts: of words and sentences seen c times in the training texts, c - d goes to the unit itself and d to
-what comes below it (d is estimated from how many are seen once and twice). The pieces' scores come from
-the vocabulary's tokenizer on each kind of training word once, as spelling is for words not seen. Where a
-sentence is taken whole, writing it by words is added too if all of these are among the `hot` most frequent,
-and else left out (by eight words or more it adds next to nothing).
+what comes below it (d is estimated from how many are seen once and twice). The scores stored in the vocabulary
+at hand are minus the ranks of its merges, not log probabilities, so they cannot weigh segmentations: a piece's
+score is estimated anew, from how often the vocabulary's own tokenizer cuts it from the kinds of training words,
+each taken once, as spelling is for words not seen. The pieces stay those of the vocabulary.
 
-All words, sentences and their counts are kept. The `hot` words are looked up in the tasks, all other words
-and all sentences by joins.
+All words, sentences and their counts are kept. The `hot` most frequent words of at most `hot_bytes` bytes are
+looked up in the tasks, all other words and all sentences by joins; which way a word goes changes no score.
 
 Defined results: a null text is empty and scores the end alone; rows equal in id and text each get the same
 result; without training texts words are spelt with equal scores; an empty table gives no rows; other columns
@@ -93,6 +93,7 @@ class Lattice:
     def __init__(self, pieces: list[str], logs: np.ndarray):
         """Pieces `<0xNN>` stand for bytes; a character without a piece is written by its bytes."""
         self.trie: dict = {}
+        self.longest = max(map(len, pieces), default=1)
         self.bytes = [-math.inf] * 256
         for piece, p in zip(pieces, logs.tolist(), strict=True):
             if re.fullmatch("<0x[0-9A-F]{2}>", piece):
@@ -120,7 +121,7 @@ class Lattice:
                 alpha = top + math.log(sum([math.exp(t - top) for t in terms]))
             into[i] = terms[:0]
             node, j, single = self.trie, i, False
-            for c in text[i : i + 64]:
+            for c in text[i : i + self.longest]:
                 node = node.get(c)
                 if node is None:
                     break
@@ -171,7 +172,7 @@ def _add10(a, b):
     return F.greatest(a, b) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(a - b)))
 
 
-def score_documents(docs: DataFrame, vocabulary: str, held_out: int = 1, least_words: int = 8, floor: float = 0.01, hot: int = 300_000) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: str, held_out: int = 1, least_words: int = 8, floor: float = 0.01, hot: int = 300_000, hot_bytes: int = 64) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -211,7 +212,7 @@ def score_documents(docs: DataFrame, vocabulary: str, held_out: int = 1, least_w
             yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("n"), pa.array(out, pa.float64())], schema=scored_schema)
 
     scored = saved(words.mapInArrow(word_scores, "unit binary, n long, score double"), "words")
-    most = scored.orderBy(F.col("n").desc(), "unit").limit(hot).toArrow()  # `hot` rows at most
+    most = scored.filter(F.length("unit") <= hot_bytes).orderBy(F.col("n").desc(), "unit").limit(hot).toArrow()  # `hot` rows of at most `hot_bytes` and two numbers
     lookups = context.broadcast((most.column("unit").to_pylist(), most.column("n").to_numpy(), most.column("score").to_numpy()))
     base_end = math.log10((ends + 0.5) / rest)
 
@@ -255,25 +256,35 @@ def score_documents(docs: DataFrame, vocabulary: str, held_out: int = 1, least_w
     rows = docs.mapInArrow(look_up, row).join(sentences.select("unit", F.col("n").alias("c")), "unit", "left")
     own = F.log10((F.col("c") - d_long) / whole)
     seen = F.col("c").isNotNull() & (F.col("n_tokens") == 0)
-    taken = F.when(F.size("rare") == 0, _add10(own, F.col("score"))).otherwise(own)
+    late = seen & (F.size("rare") > 0)  # by words too, once the rare ones are known
     said = rows.select(
-        "doc_id", "text_hash", "n_tokens", "n_known", "base_score", F.when(seen, taken).otherwise(F.col("score")).alias("score"),
-        F.transform("rare", lambda w: F.struct(w.alias("unit"), (~seen).cast("int").alias("n_score"))).alias("rare"),
+        "doc_id", "text_hash", "n_tokens", "n_known", "base_score", F.when(late, 0.0).when(seen, _add10(own, F.col("score"))).otherwise(F.col("score")).alias("score"),
+        F.when(F.size("rare") > 0, F.struct("rare", F.when(late, F.struct(own.alias("whole"), F.col("score").alias("words"))).alias("late"))).alias("rare"),
     )
     by_doc = said.groupBy("doc_id", "text_hash").agg(
         F.count_if(F.col("n_tokens") > 0).alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-        F.flatten(F.collect_list("rare")).alias("rare"),
+        F.collect_list("rare").alias("rare"),
     )
+    # each rare word with the place of the sentence that waits for it, or -1
+    rare = F.flatten(F.transform("rare", lambda r, k: F.transform(r["rare"], lambda w: F.struct(w.alias("unit"), F.when(r["late"].isNull(), -1).otherwise(k).alias("place")))))
     # the document's own row goes along with its rare words, under a unit that no word equals
-    alone = F.struct(F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("text_hash").cast("string")).cast("binary").alias("unit"), F.lit(-1).alias("n_score"))
-    each = by_doc.withColumn("word", F.explode(F.concat("rare", F.array(alone)))).select("doc_id", "text_hash", "word.unit", "word.n_score", *(F.when(F.col("word.n_score") < 0, F.col(c)).alias(c) for c in ("copies", "n_tokens", "n_known", "base_score", "score")))
+    alone = F.struct(F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("text_hash").cast("string")).cast("binary").alias("unit"), F.lit(-2).alias("place"))
+    mine = F.col("word.place") == -2
+    each = by_doc.withColumn("word", F.explode(F.concat(rare, F.array(alone)))).select(
+        "doc_id", "text_hash", "word.unit", "word.place", *(F.when(mine, F.col(c)).alias(c) for c in ("copies", "n_tokens", "n_known", "base_score", "score")), F.when(mine, F.transform("rare", lambda r: r["late"])).alias("late")
+    )
     found = each.join(scored.select("unit", F.col("n").alias("c"), F.col("score").alias("word_score")), "unit", "left")
+    mine = F.col("place") == -2
     summed = found.groupBy("doc_id", "text_hash").agg(
         F.max("copies").alias("copies"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(F.col("n_score") < 0, F.col("n_known")).otherwise((F.col("c") > 0).cast("long"))).alias("n_known"),
-        F.sum(F.when(F.col("n_score") < 0, F.col("base_score")).otherwise(F.log10((F.col("c") + 0.5) / F.lit(float(rest))))).alias("base_score"),
-        F.sum(F.when(F.col("n_score") < 0, F.col("score")).otherwise(F.col("n_score") * F.col("word_score"))).alias("score"),
+        F.sum(F.when(mine, F.col("n_known")).otherwise((F.col("c") > 0).cast("long"))).alias("n_known"),
+        F.sum(F.when(mine, F.col("base_score")).otherwise(F.log10((F.col("c") + 0.5) / F.lit(float(rest))))).alias("base_score"),
+        F.sum(F.when(mine, F.col("score")).when(F.col("place") == -1, F.col("word_score")).otherwise(0.0)).alias("score"),
+        F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "word_score"))).alias("waited"), F.flatten(F.collect_list("late")).alias("late"),
     )
+    words_of = lambda x, k: F.aggregate(F.filter("waited", lambda w: w["place"] == k), x["words"], lambda a, w: a + w["word_score"])
+    waited = F.aggregate(F.transform("late", lambda x, k: F.when(x.isNull(), 0.0).otherwise(_add10(x["whole"], words_of(x, k)))), F.lit(0.0), lambda a, x: a + x)
+    summed = summed.withColumn("score", F.col("score") + waited)
     one = lambda c: F.col(c) / F.col("copies")
     return summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id", (fold() == held_out).alias("held_out"), one("n_tokens").cast("long").alias("n_tokens"), one("n_known").cast("long").alias("n_known"),
