@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import components, lattice, near_duplicates, quality, substrings, toxicity
+from tidemark.llm import components, lattice, near_duplicates, packing, quality, substrings, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sketch int, label int, n int"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -219,7 +219,7 @@ def plain_scores(rows, floor=0.01):
 
 def brute_removed(rows):
     seen, gone = {}, collections.defaultdict(set)
-    for k, t in sorted(rows, key=lambda r: r[0]):
+    for k, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         for h, i, size in sorted(substrings.runs((t or "").encode())[1], key=lambda r: r[1]):
             if seen.setdefault(h, (k, i)) != (k, i):
                 gone[k] |= {*range(i, i + size)}
@@ -230,18 +230,25 @@ def test_repeated_spans_go_but_for_the_first(spark, words):
     draw = random.Random(4)
     passage = " ".join(prose(draw, words, 14).replace(".", "") + "." for _ in range(5))
     rows = [(k, f"{prose(draw, words, 60)}. {passage if k % 3 == 0 else ''} {prose(draw, words, 30)}.") for k in range(30)]
-    rows += [(40, None), (41, ""), (42, passage), (43, "short. line. here."), (44, "short. line. here.")]
+    rows += [(40, None), (41, ""), (42, passage), (43, "short. line. here."), (44, "short. line. here."), (44, "short. line. here."), (None, passage), (None, passage), (45, "one two three four. " * 20_000)]
     docs = docs_of(spark, rows)
     out = substrings.remove_repeats(docs)
     assert out.columns == docs.columns
-    got, gone = {r.doc_id: r.text for r in out.collect()}, brute_removed(rows)
+    found = out.collect()
+    assert len(found) == len(rows) and [r.text for r in found if r.doc_id is None] == [passage, passage]
+    got, gone = {r.doc_id: r.text for r in found}, brute_removed(rows)
     for k, t in rows:
+        if k is None:
+            continue
         spans = substrings.runs((t or "").encode())[0]
         raw = (t or "").encode()
         want = "".join(chr(b) for b in b"".join([raw[: spans[0][0] if spans else 0], *(raw[s:e] for n, (s, e) in enumerate(spans) if n not in gone[k])]))
         assert (got[k] or "") == want
-    assert sum(passage in (t or "") for t in got.values()) == 1 and got[42] == "" and got[40] is None and got[44] == rows[-1][1]
+    assert sum(passage in (t or "") for k, t in got.items() if k is not None) == 1 and got[42] == "" and got[40] is None and got[44] == "short. line. here." and len(got[45]) < 500
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
+    clash = docs.withColumns({"__gone": F.lit(1), "__removed": F.lit(2), "__sentences": F.lit(3), "hash": F.lit(4), "salt": F.lit(5)})
+    counted = substrings.remove_repeats(clash, counts=True)
+    assert counted.columns == [*clash.columns, "__sentences_", "__removed_"] and collections.Counter(r.text for r in counted.collect()) == collections.Counter(r.text for r in found)
 
 
 @pytest.mark.parametrize("shift", [0, 1, 5, 7, 11])
@@ -334,6 +341,70 @@ def test_components(spark):
     assert {r.node: r.root for r in got.collect()} == {k: 0 for k in range(21)} | {50: 50, 60: 50} and got.count() == 23
 
 
+def test_pipeline_against_plain_stages(spark, words, tmp_path):
+    """Every stage of a small table with nulls, ties, repeated rows, long texts and clashing columns, against a plain version of it."""
+    from test_texts import brute_contamination
+
+    draw = random.Random(21)
+    junk = lambda: " | ".join(draw.choices(words, k=60))
+    rows = [(k, prose(draw, words, draw.randint(30, 150)) if k % 4 else junk()) for k in range(160)]
+    passage = " ".join(prose(draw, words, 14).replace(".", "") + "." for _ in range(5))
+    rows += [(k, f"{prose(draw, words, 60)}. {passage} {prose(draw, words, 60)}.") for k in range(200, 206)]
+    items = [(k, " ".join(draw.choices(words, k=20))) for k in range(4)] + [(9, None), (10, "")]
+    rows += [(k, f"{prose(draw, words, 60)}. {items[k % 4][1]} {prose(draw, words, 60)}.") for k in range(300, 306)]
+    rows += [(400, rows[1][1]), (401, rows[2][1] + " more"), (402, None), (403, ""), (1, rows[1][1]), (None, prose(draw, words, 90)), (404, "the and of " * 9000)]
+    clash = {c: F.lit(1) for c in ("label", "print", "hash", "length", "bucket", "__gone", "__hits", "__n_words", "__removed", "rep", "features")}
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns(clash)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels_of(spark, [(k, int(k % 4 > 0), 0) for k in range(160)]).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    plain = lambda d: collections.Counter((r.doc_id, r.text) for r in d.select("doc_id", "text").collect())
+    took = [spark.read.parquet(str(tmp_path / "documents.parquet"))]
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, took[-1], str(tmp_path))
+        out.write.parquet(str(tmp_path / f"stage{len(took)}"))
+        took.append(spark.read.parquet(str(tmp_path / f"stage{len(took)}")))
+    good, one, cut, clean, packed = took[1:]
+    assert all(x.columns == docs.columns for x in took[:-1])
+
+    stats = {t: np.array(quality.statistics((t or "").encode()), "f4").astype("f8") for _, t in rows}
+    x = {y: np.array([stats[t] for k, t in rows if k is not None and k < 160 and int(k % 4 > 0) == y and zlib.crc32(str(k).encode()) % 5]) for y in (0, 1)}
+    model = quality.Discriminant({y: (len(v), v.sum(0), v.T @ v) for y, v in x.items()})
+    want = collections.Counter((k, t) for k, t in rows if model.scores(stats[t][None])[0] >= 0.3)
+    assert plain(good) == want and 100 < sum(want.values()) < len(rows)
+
+    kept = list(want.elements())
+    class_of = {k: c for k, c, _, _ in brute_classes(kept)}
+    want = collections.Counter((k, t) for k, t in kept if k is None or class_of[k] == k)
+    assert plain(one) == want and sum(want.values()) < len(kept)
+
+    kept = list(want.elements())
+    gone, want = brute_removed(kept), collections.Counter()
+    for k, t in kept:
+        raw = (t or "").encode()
+        spans = substrings.runs(raw)[0] if k in gone else []
+        want[k, None if t is None else b"".join([raw[: spans[0][0]] if spans else raw, *(raw[s:e] for n, (s, e) in enumerate(spans) if n not in gone[k])]).decode()] += 1
+    assert plain(cut) == want and sum(passage in (t or "") for _, t in want) == 1
+
+    flags = collections.Counter((k, n, hit) for k, n, hit, _, _, over in brute_contamination(list(want), [(str(i), t) for i, t in items]) if over)
+    over = {k for k, _, _ in flags}
+    want = collections.Counter({x: n for x, n in want.items() if x[0] not in over})
+    assert plain(clean) == want and over
+
+    whole = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).whole
+    lengths = collections.Counter((k, len(whole.encode(t or "", add_special_tokens=False).ids) + 1) for k, t in want.elements())
+    got = packed.groupBy("doc_id", F.col("start") - F.col("piece") * 4096).agg(F.sum("length").alias("n"), F.count_if(F.col("piece") == 0).alias("docs")).collect()
+    assert collections.Counter((r.doc_id, r.n) for r in got if r.docs == 1) == collections.Counter({x: n for x, n in lengths.items() if n == 1})
+    assert packed.groupBy("sequence_id").agg((F.sum("length") == F.max(F.col("offset") + F.col("length"))).alias("ok"), F.sum("length").alias("n")).filter("not ok or n > 4096").count() == 0
+
+
+def test_pipeline_of_empty_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.count() == 0
+
+
 def test_pipeline_stage_by_stage(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -10,7 +10,7 @@ all others go.
 
 Defined results: a null text is empty and stays null; a text that loses all its sentences becomes empty and
 its row stays; rows that share an id count as one document, so a run at the same place in both is one
-occurrence; a document without id keeps its text; an empty table gives no rows; other columns pass through.
+occurrence; a document without id keeps its text, and no other loses to it; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def repeats(docs: DataFrame, hot: int = 1000) -> DataFrame:
     the repeated hashes lets pass meet the firsts again. A hash with more than `hot` runs, or a ten-thousandth of
     all if that is more, is dealt out by salts; there are ten thousand such hashes at most, which are broadcast.
     """
-    found = saved(all_runs(docs), "runs")
+    found = saved(all_runs(docs.filter("doc_id is not null")), "runs")
     limit = max(hot, found.count() // 10_000)
     first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = saved(first.withColumn("salts", F.ceil(F.col("n") / limit)).drop("n"), "repeated")
