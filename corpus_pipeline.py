@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and gives a table that is written before the next one reads it. All
 but the last keep the columns of documents. A text that loses all its sentences to an earlier copy stays as
 an empty row, which packing turns into its end token.
+
+Defined results: a null text counts as empty, is scored and packed as such and stays null until then; repeated
+rows are copies, of which those with the least id stay (rows that share that id all do); rows without id are
+never removed as copies; where texts of one id differ, the id goes only if all of them are copies of others;
+ties in packing are between equal pieces; empty tables give no rows at every stage; other columns pass through
+all stages but the last, whatever their names. A stage reads labels or benchmark whole; without labels nothing
+is rejected.
 """
 
 from __future__ import annotations
