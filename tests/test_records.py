@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_operators import values
 
 from tidemark.functions import extraction as x
-from tidemark.functions import text
+from tidemark.functions import rules, text
 from tidemark.operators import audit, classification, dedup, embedding, enrich, external, gates, profiles, quality, reports
 
 
@@ -27,10 +27,10 @@ def test_deadlines(spark):
 def test_money(spark):
     assert values(spark, x.amount_text, ["from 100 and EUR 15 000 to spend", "1234 people", "none", None]) == ["EUR 15 000", "1234", None, None]
     assert values(spark, x.clean_amount_text, ["Budget: <b>EUR 5 000</b> 01.02.2026", "2026 EUR", '{"budgetTopicActionMap":{}}', None, "", "7" * 400]) == ["EUR 5 000", None, None, None, None, "7" * 300]
-    sums = values(spark, x.amounts, ["up to €15,000.50 and 2.5 million", "NACE 01.11 EUR", "year 2026 grant EUR 500", "funding 20000 for 30 people", "20 тис. грн, 5 March", "EUR " + "9" * 17, "", None])
+    sums = values(spark, x.amounts, ["up to €15,000.50 and 2.5 million", "NACE 01.11 EUR", "year 2026 award EUR 500", "funding 20000 for 30 people", "20 тис. грн, 5 March", "EUR " + "9" * 17, "", None])
     assert sums == [[d("15000.50"), d("2500000")], [], [d("500")], [d("20000")], [d("20000"), d("5")], [], None, None]
-    got = values(spark, x.funding, ["up to €15,000", "EUR 1 000 - 5 000", '{"minContribution":"1000","maxContribution": 5000}', "budget 500", "grant of $100", "plain", "{}", None])
-    assert [r and (r.amount_min, r.amount_max, r.currency) for r in got] == [(None, d("15000"), "EUR"), (d("1000"), d("5000"), "EUR"), (d("1000"), d("5000"), "EUR"), (None, None, None), (d("100"), d("100"), "USD"), None, None, None]
+    got = values(spark, x.funding, ["up to €15,000", "EUR 1 000 - 5 000", '{"minContribution":"1000","maxContribution": 5000}', "budget 500", "award of $100", "plain", "{}", '{"a": [{"maxContribution": 100}, {"minContribution": 500, "maxContribution": 1000}]}', None])
+    assert [r and (r.amount_min, r.amount_max, r.currency) for r in got] == [(None, d("15000"), "EUR"), (d("1000"), d("5000"), "EUR"), (d("1000"), d("5000"), "EUR"), (None, None, None), (d("100"), d("100"), "USD"), None, None, (d("100"), d("1000"), "EUR"), None]
     far = "word " * 5000 + "€ 70 000 " + "word " * 5000
     assert values(spark, x.amounts, [far]) == [[d("70000")]]
 
@@ -38,13 +38,15 @@ def test_money(spark):
 def test_titles_and_kinds(spark):
     assert values(spark, x.funder_in_title, ["Call (deadline 2026) (USAID)", "A (B C)", "none", None]) == ["USAID", "B C", None, None]
     assert values(spark, lambda c: x.repaired_title(F.lit("Login"), c), ["https://x.org/programs/green-energy_fund/?q=1", "https://x.org/all", None]) == ["Green energy fund", "Login", "Login"]
-    assert values(spark, lambda c: x.support_type(c, F.lit("plain")), ["loan for a grant", "odd kind", None, ""]) == ["loan", "odd kind", None, None]
+    assert values(spark, lambda c: x.support_type(c, F.lit("plain")), ["loan for an award", "odd kind", None, ""]) == ["loan", "odd kind", None, None]
     assert values(spark, lambda c: text.snippet(c, ["eligible"]), ["a" * 300 + " Eligible: all", "none", None]) == ["a" * 119 + " Eligible: all", None, None]
 
 
+OFFICIAL = rules.OFFICIAL_SOURCES[1]
+EMPTY = next(s for s, f in rules.FAMILY_BY_SOURCE.items() if f == "empty_or_problem")
 RAW = [
-    (1, "diia-business", "Grant for startups in Kyiv (USAID)", "Ukraine startups can apply. Deadline: 5 March 2026. Funding: up to EUR 50 000. Eligible applicants are small business. Not eligible: military.", "https://a.org/1"),
-    (2, None, None, None, None), (3, "gurt", "Дайджест новин", "коротко", "http://b"), (3, "gurt", "Дайджест новин", "коротко", "http://b"),
+    (1, OFFICIAL, "Funding for startups in Kyiv (USAID)", "Ukraine startups can apply. Deadline: 5 March 2026. Funding: up to EUR 50 000. Eligible applicants are small business. Not eligible: military.", "https://a.org/1"),
+    (2, None, None, None, None), (3, EMPTY, "Дайджест новин", "коротко", "http://b"), (3, EMPTY, "Дайджест новин", "коротко", "http://b"),
 ]
 
 
@@ -57,15 +59,15 @@ def test_enrich_and_grade(spark):
     e = enrich.enrich(raw(spark), "2026-01-01", seen)
     one, none, digest, again = sorted(e.collect(), key=lambda r: r.id)
     assert (one.status, one.deadline, one.currency, one.amount_min, one.amount_max) == ("open", date(2026, 3, 5), "EUR", None, d("50000"))
-    assert (one.funder, one.support_type, one.opportunity_type, one.countries, one.regions) == ("Diia Business", "grant", "grant", ["Ukraine"], [])
+    assert (one.funder, one.support_type, one.opportunity_type, one.countries, one.regions) == (rules.FUNDERS_BY_SOURCE[OFFICIAL], None, None, ["Ukraine"], [])
     assert one.applicant_types == ["SME", "startup", "company"] and not one.needs_manual_review and digest == again
     assert none.title == "Untitled opportunity" and none.needs_manual_review and none.confidence == Decimal("0.2000") and none.topics == []
     assert none.review_reason == "generic title; very short extracted text; no applicant/topic taxonomy detected"
     assert seen.get["records"] == 4 and seen.get["to_review"] == 3
     c = classification.contract(classification.classify(e)).orderBy("id").collect()
-    assert [(r["class"], r.quality_tier, r.eligible) for r in c[:3]] == [("grant", "usable_with_warnings", True), ("unknown", "needs_review", False), ("digest", "noise_rejected", False)]
+    assert [(r["class"], r.quality_tier, r.eligible) for r in c[:3]] == [(rules.DIRECT_CLASS, "usable_with_warnings", True), ("unknown", "needs_review", False), ("digest", "noise_rejected", False)]
     assert c[1].blockers == ["missing_source_url", "missing_context_text", "needs_manual_review", "low_extraction_confidence"] and not c[1].core_complete
-    assert c[2].review_rules == ["explicit_manual_review", "low_extraction_confidence", "noise_or_non_grant"]
+    assert c[2].review_rules == ["explicit_manual_review", "low_extraction_confidence", rules.NOISE_RULE]
     assert enrich.enrich(raw(spark, []), "2026-01-01").count() == 0 and quality.score(classification.contract(classification.classify(e))).count() == 4
     a = audit.audited(e).withColumn("ok", audit.approved(e)).orderBy("id").collect()
     assert [r.ok for r in a[:3]] == [True, False, False] and a[0].weak_reasons == [] and a[2].noise_reasons == ["possible_digest", "possible_news"]
@@ -73,9 +75,9 @@ def test_enrich_and_grade(spark):
 
 
 def test_stated_classes(spark):
-    rows = [("Tender of services", "Business-Support", None), ("Tender of services", "odd", None), ("A grant for music", "unknown", "news"), ("Online webinar on law", None, None), ("A tender with funding", None, None), (None, None, None)]
+    rows = [("Tender of services", "Business-Support", None), ("Tender of services", "odd", None), ("An award for music", "unknown", "news"), ("Online webinar on law", None, None), ("A tender with funding", None, None), (None, None, None)]
     got = classification.classify(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, title string, opportunity_type string, support_type string")).orderBy("id").collect()
-    assert [r["class"] for r in got] == ["business_support", "tender", "grant", "webinar", "grant", "unknown"]
+    assert [r["class"] for r in got] == ["business_support", "tender", rules.DIRECT_CLASS, "webinar", rules.DIRECT_CLASS, "unknown"]
 
 
 def test_external_answers(spark):
@@ -94,8 +96,8 @@ HISTORY = "array<struct<title:string,program:string,source:string,result:string,
 
 def test_gates(spark):
     offers = [
-        (1, "Energy grant", ["Energy"], ["SME"], ["EU"], None, "open", date(2026, 5, 1), False), (2, "Energy grant closed", ["energy"], ["SME"], [], None, "closed", date(2026, 5, 1), False), (3, "Energy grant late", ["energy"], [], [], None, "open", date(2025, 5, 1), False),
-        (4, "Energy grant here", ["energy"], ["NGO"], [], None, "open", None, False), (5, "Energy grant barred", ["energy"], [], [], "An sme is not eligible", "open", None, False), (6, "Solar panel grant", ["sun"], None, None, None, "open", None, False), (7, "Energy grant again", ["energy"], [], [], None, "open", None, True),
+        (1, "Energy award", ["Energy"], ["SME"], ["EU"], None, "open", date(2026, 5, 1), False), (2, "Energy award closed", ["energy"], ["SME"], [], None, "closed", date(2026, 5, 1), False), (3, "Energy award late", ["energy"], [], [], None, "open", date(2025, 5, 1), False),
+        (4, "Energy award here", ["energy"], ["NGO"], [], None, "open", None, False), (5, "Energy award barred", ["energy"], [], [], "An sme is not eligible", "open", None, False), (6, "Solar panel award", ["sun"], None, None, None, "open", None, False), (7, "Energy award again", ["energy"], [], [], None, "open", None, True),
     ]
     table = spark.createDataFrame([(*o, "http://a", 1 if o[8] else None) for o in offers], "id int, title string, topics array<string>, applicant_types array<string>, countries array<string>, restrictions string, status string, deadline date, is_duplicate boolean, source_url string, primary_id int")
     past = [("Solar panel", None, None, "won", ["solar"], None, True, None)]
@@ -103,7 +105,7 @@ def test_gates(spark):
     people = spark.createDataFrame(clients, f"client_key int, client string, country string, sector string, organization_type string, product string, wanted array<string>, unwanted array<string>, technologies array<string>, history {HISTORY}")
     ready = classification.contract(classification.classify(table))
     reasons = {r.id: [c for c in r.reasons] for r in gates.opportunity_gates(ready, "2026-01-01").collect()}
-    assert reasons[1] == [] and reasons[2] == ["closed_grant"] and reasons[3] == ["deadline_passed"] and reasons[7] == ["duplicate_grant:1"]
+    assert reasons[1] == [] and reasons[2] == [rules.CLOSED_REASON] and reasons[3] == ["deadline_passed"] and reasons[7] == [f"{rules.DUPLICATE_REASON}1"]
     got = {r.id: r for r in gates.report(gates.match(ready, people, "2026-01-01")).collect()}
     assert set(got) == {1, 6} and got[1].client == "A"
     # topic 0.45 and type 0.15, times 0.75; reusable material 0.15, times 0.25; a check for the EU takes 0.05

@@ -136,7 +136,7 @@ def funding(c: Column, source: Column | None = None) -> Column:
     kind = "struct<amount_min:decimal(14,2),amount_max:decimal(14,2),currency:string>"
     made = lambda low, high, unit: F.struct(low.cast("decimal(14,2)").alias("amount_min"), high.cast("decimal(14,2)").alias("amount_max"), unit.alias("currency"))
     none = F.lit(None).cast(kind)
-    marks_only = None if source is None else source == "eu-funding"
+    marks_only = None if source is None else source.isin(rules.MARKS_ONLY_SOURCES)
 
     def prose(cleaned: Column) -> Column:
         read = lambda lower, sums, unit: (
@@ -150,8 +150,8 @@ def funding(c: Column, source: Column | None = None) -> Column:
 
     def read(cleaned: Column) -> Column:
         given = lambda key: F.filter(F.transform(F.regexp_extract_all(cleaned, F.lit(rf'"{key}"\s*:\s*"?(\d+(?:\.\d+)?)'), 1), lambda x: x.try_cast("decimal(14,2)")), lambda x: x > 0)
-        ends = F.struct(F.array_min(given("minContribution")).alias("low"), F.array_max(given("maxContribution")).alias("high"))
-        budget = lambda e: F.when(e["low"].isNotNull() | e["high"].isNotNull(), made(F.coalesce(e["low"], e["high"]), F.coalesce(e["high"], e["low"]), F.lit("EUR")))
+        ends = F.concat(given("minContribution"), given("maxContribution"))
+        budget = lambda e: F.when(F.size(e) > 0, made(F.array_min(e), F.array_max(e), F.lit("EUR")))
         return F.coalesce(let(ends, budget), F.when(~F.startswith(cleaned, F.lit("{")), prose(cleaned)))
 
     return let(clean_text(c), read)
@@ -186,5 +186,5 @@ def repaired_title(title: Column, url: Column) -> Column:
 def funder_in_title(c: Column) -> Column:
     """The last parenthesis of a title that reads as a name: capitals in a row, or five words at most."""
     inner = F.transform(F.regexp_extract_all(clean_text(c), F.lit(r"\(([^()]{2,80})\)"), 1), clean_text)
-    named = F.filter(inner, lambda x: ~has_any(F.lower(x), ["grant", "грант", "202", "до "]) & (F.regexp_like(x, F.lit("[A-ZА-ЯІЇЄҐ]{2,}")) | (F.size(F.split(x, " ")) <= 5)))
+    named = F.filter(inner, lambda x: ~has_any(F.lower(x), rules.NOT_FUNDER_WORDS) & (F.regexp_like(x, F.lit("[A-ZА-ЯІЇЄҐ]{2,}")) | (F.size(F.split(x, " ")) <= 5)))
     return F.try_element_at(named, F.lit(-1))

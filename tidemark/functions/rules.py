@@ -52,7 +52,7 @@ OPEN_WORDS = ["open", "active", "ongoing", "forthcoming", "upcoming", "відк
 CLOSED_WORDS = ["closed", "expired", "archived", "закрит", "заверш", "архів"]
 TRAINING_TITLES = ["тренінг", "тренинг", "training", "workshop", "семінар"]
 TRAINING_INTRO = r"(запрошує|реєстрац|набір)[^.]{0,160}(тренінг|тренинг|training|курс|семінар|workshop)"
-GRANT_TITLES = ["грант", "конкурс", "запит на подання", "rfa", "request for applications"]
+OFFER_TITLES = ["грант", "конкурс", "запит на подання", "rfa", "request for applications"]
 TENDER_TITLES = ["тендер", "tender", "procurement", "закупів"]
 
 # Labels and the words that give them, in lower-case text with a space before and after.
@@ -107,11 +107,11 @@ CLASS_ALIASES = {
 }
 NOISE_CLASSES = ["digest", "news", "article", "event", "webinar", "training", "tender"]
 # Marks of each class; those of a direct grant in the whole text, all others in the title with a space before and after.
-GRANT_MARKS = [
+DIRECT_MARKS = [
     "grant", "grants", "грант", "грантов", "call for proposals", "call for applications", "open call", "applications open", "apply now", "cfa", "cfas", "rfp", "rfps",
     "request for proposals", "funding", "fund", "фінанс", "конкурс", "конкурсний", "прийом заяв", "подати заявку", "подання заяв", "відбір заяв", "award", "awards", "prize",
 ]
-GRANT_TITLE_MARKS = [" grant", " грант", " funding", " фінанс"]
+DIRECT_TITLE_MARKS = [" grant", " грант", " funding", " фінанс"]
 CLASS_MARKS = {
     "digest": [" дайджест ", " добірка ", " digest ", " roundup ", " грантовий гід ", " grant guide ", " opportunities currently open ", " opportunities closing "],
     "webinar": [" вебінар", " webinar", " online seminar", " семінар"],
@@ -134,7 +134,7 @@ NOISE_MARKS = [
     ("possible_webinar", ["webinar", "вебінар"]), ("possible_event", ["event", "подія", "conference", "конференц", "воркшоп", "workshop"]),
 ]
 AUDIT_TRAINING_TITLES = ["тренінг", "training", "course", "курс", "семінар"]
-AUDIT_GRANT_TITLES = ["grant", "грант", "конкурс", "call for proposals"]
+AUDIT_OFFER_TITLES = ["grant", "грант", "конкурс", "call for proposals"]
 UNAPPROVED_TITLES = ["grant", "grants", "funding", "opportunity", "opportunities", "грант", "гранти", "конкурс", "можливості"]
 UNAPPROVED_TITLE_WORDS = [
     "добірка", "дайджест", "підсумк", "вебінар", "запрошуємо на", "долучився", "долучилась", "відбулася", "воркшоп", "конференц", "презентац", "презентуємо",
@@ -149,13 +149,52 @@ APPROVED_SUMMARY_WORDS = ["оголошує конкурс", "прийом за
 
 # Words of the gates between an opportunity and a client.
 NONPROFIT_ONLY = ["non-profit", "nonprofit", "non profit", "неприбутков", "громадські організації", "благодійні фонди", " огс ", "civil society", "charitable foundations"]
-NOT_GRANT_TITLES = [" набір на ", " табір ", " стипенді", " тренінг", " training", " workshop"]
+COURSE_TITLES = [" набір на ", " табір ", " стипенді", " тренінг", " training", " workshop"]
 ACADEMY_TITLES = [" академі", " academy"]
-ACADEMY_GRANT_TITLES = ["грант", "grant"]
-NOT_GRANT_INTRO = ["запрошує на тренінг", "реєстрація на тренінг", "набір учасників"]
+ACADEMY_OFFER_TITLES = ["грант", "grant"]
+COURSE_INTRO = ["запрошує на тренінг", "реєстрація на тренінг", "набір учасників"]
 RESTRICTION_CHECKS = ["не можуть", "не допуска"]
 CLIENT_TYPES = [
     ("ngo", ["ngo", "non-profit", "nonprofit", "громад", "благод"]), ("startup", ["startup", "стартап"]), ("sme", ["sme", "мсп", "мсб", "small", "medium"]),
     ("company", ["company", "business", "підприєм", "компан", "llc", "тов"]),
 ]
 ACCEPTED_TYPES = {"ngo": ["ngo"], "company": ["company", "sme", "startup"], "sme": ["sme", "company", "startup"], "startup": ["startup", "company", "sme"]}
+
+# Query keys that only track a visit.
+TRACKING_KEYS = ["fbclid", "gclid", "gbraid", "wbraid", "mc_cid", "mc_eid", "yclid"]
+# Currency aliases, the first one contained wins.
+CURRENCY_ALIASES = [
+    ("EUR", "EUR"), ("EURO", "EUR"), ("ЄВРО", "EUR"), ("€", "EUR"), ("C$", "CAD"), ("CAD", "CAD"), ("CANADIAN DOLLAR", "CAD"),
+    ("USD", "USD"), ("US DOLLAR", "USD"), ("DOLLAR", "USD"), ("ДОЛАР", "USD"), ("ДОЛ.", "USD"), ("$", "USD"), ("UAH", "UAH"),
+    ("ГРН", "UAH"), ("ГРИВ", "UAH"), ("₴", "UAH"), ("GBP", "GBP"), ("POUND", "GBP"), ("ФУНТ", "GBP"), ("£", "GBP"),
+    ("PLN", "PLN"), ("ZLOTY", "PLN"), ("ЗЛОТ", "PLN"),
+]
+# Words that say nothing about which opportunity a title names.
+TITLE_STOP_WORDS = [
+    "the", "a", "an", "and", "or", "for", "of", "to", "in", "on", "with", "grant", "grants", "funding", "support", "programme",
+    "program", "call", "open", "для", "та", "і", "у", "в", "на", "до", "грант", "гранти", "грантів", "конкурс", "програма", "підтримка",
+]
+
+# Sources of each family.
+FAMILY_BY_SOURCE = {
+    "diia-business": "structured_direct", "eu-funding": "structured_direct", "grantforward": "structured_direct", "chas-zmin": "useful_incomplete", "grant-market": "useful_incomplete",
+    "prostir": "useful_incomplete", "nipo": "digest_heavy", "hromady": "digest_heavy", "fundsforngos": "digest_heavy", "opportunitydesk": "digest_heavy",
+    "eufundingportal-eu": "aggregator", "gurt": "empty_or_problem",
+}
+# Two sources of which one lists what the other publishes.
+LINKED_SOURCES = ("eu-funding", "eufundingportal-eu")
+# Sources whose sums count only near a mark of money.
+MARKS_ONLY_SOURCES = ["eu-funding"]
+
+# Columns of landed CSV files.
+CLIENT_COLUMNS = ["name", "country", "sector", "organization_type", "technologies", "product_description", "risks", "target_topics", "excluded_topics", "source_documents", "confidence", "extraction_notes"]
+HISTORY_COLUMNS = ["client_name", "grant_title", "grant_source", "program_name", "application_date", "result", "country", "applicant_type", "topics", "project_summary", "reusable_materials", "similarity_weight", "notes", "source_documents", "confidence"]
+
+# Names and reasons that results carry.
+DIRECT_CLASS, DIRECT_REASON, NOISE_RULE = "grant", "text:direct_grant_signal", "noise_or_non_grant"
+TRAINING_NOISE = "possible_training_not_grant"
+DUPLICATE_REASON, CLOSED_REASON, NONPROFIT_REASON = "duplicate_grant:", "closed_grant", "nonprofit_only_grant"
+STATUS_CHECK, COUNTRY_CHECK, TYPE_CHECK, RESTRICTION_CHECK = "grant status is unknown", "grant countries missing", "grant applicant types missing", "grant restrictions require review"
+APPLICATION_TITLE, APPLICATION_SOURCE = "Grant title", "Grant source"
+# Words that keep a parenthesis of a title from naming a funder.
+NOT_FUNDER_WORDS = ["grant", "грант", "202", "до "]

@@ -7,22 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.rules import MONTHS, MONTHS_UK
-
-# Query keys that only track a visit.
-TRACKING_KEYS = ["fbclid", "gclid", "gbraid", "wbraid", "mc_cid", "mc_eid", "yclid"]
-# Currency aliases, the first one contained wins.
-CURRENCY_ALIASES = [
-    ("EUR", "EUR"), ("EURO", "EUR"), ("ЄВРО", "EUR"), ("€", "EUR"), ("C$", "CAD"), ("CAD", "CAD"), ("CANADIAN DOLLAR", "CAD"),
-    ("USD", "USD"), ("US DOLLAR", "USD"), ("DOLLAR", "USD"), ("ДОЛАР", "USD"), ("ДОЛ.", "USD"), ("$", "USD"), ("UAH", "UAH"),
-    ("ГРН", "UAH"), ("ГРИВ", "UAH"), ("₴", "UAH"), ("GBP", "GBP"), ("POUND", "GBP"), ("ФУНТ", "GBP"), ("£", "GBP"),
-    ("PLN", "PLN"), ("ZLOTY", "PLN"), ("ЗЛОТ", "PLN"),
-]
-# Words that say nothing about which opportunity a title names.
-TITLE_STOP_WORDS = [
-    "the", "a", "an", "and", "or", "for", "of", "to", "in", "on", "with", "grant", "grants", "funding", "support", "programme",
-    "program", "call", "open", "для", "та", "і", "у", "в", "на", "до", "грант", "гранти", "грантів", "конкурс", "програма", "підтримка",
-]
+from tidemark.functions.rules import CURRENCY_ALIASES, MONTHS, MONTHS_UK, TITLE_STOP_WORDS, TRACKING_KEYS
+
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
 

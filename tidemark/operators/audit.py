@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions.extraction import has_any
-from tidemark.operators.classification import column
-from tidemark.operators.quality import present
+from tidemark.operators.quality import column, present
 
 
 def weak_reasons(df: DataFrame) -> Column:
@@ -29,7 +28,7 @@ def noise_reasons(df: DataFrame) -> Column:
     kind = lambda c, names: F.when(column(df, c).isin(names), F.concat(F.lit(f"unsupported_{c}:"), column(df, c)))
     return F.array_compact(F.array(
         *(F.when(has_any(text, words), name) for name, words in rules.NOISE_MARKS),
-        F.when(has_any(title, rules.AUDIT_TRAINING_TITLES) & ~has_any(title, rules.AUDIT_GRANT_TITLES), "possible_training_not_grant"),
+        F.when(has_any(title, rules.AUDIT_TRAINING_TITLES) & ~has_any(title, rules.AUDIT_OFFER_TITLES), rules.TRAINING_NOISE),
         kind("opportunity_type", ["training", "tender"]), kind("support_type", ["training", "procurement"]),
     ))
 

@@ -8,15 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules
 from tidemark.functions.extraction import has_any, padded
 from tidemark.functions.text import clean_text
-from tidemark.operators.quality import present
+from tidemark.operators.quality import column, present
 from tidemark.operators.reports import counted
 
-# Sources of each family.
-FAMILY_BY_SOURCE = {
-    "diia-business": "structured_direct", "eu-funding": "structured_direct", "grantforward": "structured_direct", "chas-zmin": "useful_incomplete", "grant-market": "useful_incomplete",
-    "prostir": "useful_incomplete", "nipo": "digest_heavy", "hromady": "digest_heavy", "fundsforngos": "digest_heavy", "opportunitydesk": "digest_heavy",
-    "eufundingportal-eu": "aggregator", "gurt": "empty_or_problem",
-}
 # Flags in order, and those that keep a record from matching or send it to review.
 MISSING_FIELDS = [
     ("deadline", "missing_deadline", ["deadline", "deadline_text"]), ("funding_amount_text", "missing_amount", ["amount_text"]), ("currency", "missing_currency", ["currency"]),
@@ -28,25 +22,20 @@ REVIEW_FLAGS = ["needs_manual_review", "invalid_status", "missing_context_text",
 BLOCKERS = ["weak_title", "missing_source_url", "invalid_status", "closed_status", "missing_context_text", "needs_manual_review", "low_extraction_confidence", "noise_rejected", "source_classification_uncertain"]
 REVIEW_RULES = {
     "invalid_status": "invalid_status", "missing_context_text": "core_context_missing", "needs_manual_review": "explicit_manual_review", "low_extraction_confidence": "low_extraction_confidence",
-    "noise_rejected": "noise_or_non_grant", "source_classification_uncertain": "source_classification_uncertain",
+    "noise_rejected": rules.NOISE_RULE, "source_classification_uncertain": "source_classification_uncertain",
 }
 POSSIBLE = ["digest", "news", "event", "webinar", "training", "tender"]
 
 
-def column(df: DataFrame, name: str, kind: str = "string") -> Column:
-    """The column, or null of the kind where the table lacks it."""
-    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
-
-
 def family(source: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FAMILY_BY_SOURCE.items() for x in kv]), source), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.FAMILY_BY_SOURCE.items() for x in kv]), source), F.lit("unknown"))
 
 
 def classify(df: DataFrame) -> DataFrame:
     """df with `family`, `class` and `class_reason`.
 
     The first stated class that has a known name counts, unless it is `unknown`: then, and without one, the text
-    decides. Words of a direct grant win over all others but a digest, save a tender whose title names no grant.
+    decides. Words of a direct offer win over all others but a digest, save a tender whose title names no offer.
     """
     aliases = F.create_map(*[F.lit(x) for kv in rules.CLASS_ALIASES.items() for x in kv])
     named = lambda c: F.try_element_at(aliases, F.replace(F.replace(F.lower(clean_text(c)), F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_")))
@@ -58,11 +47,11 @@ def classify(df: DataFrame) -> DataFrame:
     })
     title, mark = F.col("__title"), rules.CLASS_MARKS
     say = lambda name, why: F.struct(F.lit(name).alias("class"), F.lit(why).alias("reason"))
-    direct = has_any(F.col("__text"), rules.GRANT_MARKS)
+    direct = has_any(F.col("__text"), rules.DIRECT_MARKS)
     read = (
         F.when(has_any(title, mark["digest"]), say("digest", "text:digest_marker"))
-        .when(direct & has_any(title, mark["tender"]) & ~has_any(title, rules.GRANT_TITLE_MARKS), say("tender", "text:tender_marker"))
-        .when(direct, say("grant", "text:direct_grant_signal"))
+        .when(direct & has_any(title, mark["tender"]) & ~has_any(title, rules.DIRECT_TITLE_MARKS), say("tender", "text:tender_marker"))
+        .when(direct, say(rules.DIRECT_CLASS, rules.DIRECT_REASON))
     )
     for name in ("webinar", "training", "event", "tender", "news", "article", "finance_program"):
         read = read.when(has_any(title, mark[name]), say(name, f"text:{name}_marker"))

@@ -6,85 +6,143 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import rules
 from tidemark.functions.text import canonical_url, clean_text, normalized_title
-from tidemark.operators.graph import connected
+from tidemark.operators.graph import connected, kept
+from tidemark.operators.quality import column, present
 
 # Points of a pair, and the thresholds of a candidate and of a duplicate.
-URL_POINTS, TITLE_POINTS = "0.55", [("1.0", "0.45"), ("0.92", "0.40"), ("0.84", "0.32"), ("0.76", "0.22")]
+URL_POINTS, TITLE_POINTS = "0.55", [("1.0", "0.45", "exact_normalized_title"), ("0.92", "0.40", "very_similar_title"), ("0.84", "0.32", "similar_title"), ("0.76", "0.22", "weak_title_similarity")]
 DEADLINE_POINTS, FUNDER_POINTS, PROGRAM_POINTS = "0.14", "0.10", "0.08"
 AMOUNT_POINTS, CURRENCY_POINTS, TAXONOMY_POINTS = "0.09", "0.03", "0.04"
+PAIR_POINTS, SOURCE_POINTS = ("0.76", "0.07"), ("0.84", "0.05")
 CANDIDATE, DUPLICATE = "0.74", "0.86"
+TAXONOMY = ["countries", "regions", "topics", "applicant_types"]
+# Priorities of a group's first record, and the fields that count as structured.
+TIER_ORDER = {"match_ready": 50, "usable_with_warnings": 40, "needs_review": 20, "noise_rejected": 0}
+FAMILY_ORDER = {"structured_direct": 50, "useful_incomplete": 35, "aggregator": 25, "digest_heavy": 15, "unknown": 10, "empty_or_problem": 5}
+STATUS_ORDER = {"open": 30, "unknown": 10, "closed": 0}
+STRUCTURED = ["deadline", "deadline_text", "amount_text", "currency", "funder", "application_url", "eligibility"]
 
-
-def prepare(records: DataFrame) -> DataFrame:
-    """records with title_key, title_words, url_keys, deadline_keys, funder_key."""
-    urls = F.array_distinct(F.filter(F.array(*(canonical_url(F.col(c)) for c in ("source_url", "application_url") if c in records.columns)), lambda u: u.isNotNull() & F.startswith(u, F.lit("http"))))
-    return records.withColumns({
-        "title_key": normalized_title(F.col("title")), "url_keys": urls, "funder_key": F.lower(clean_text(F.col("funder"))),
-        "deadline_keys": F.array_compact(F.array(F.concat(F.lit("D:"), F.col("deadline").cast("string")))),
-    }).withColumn("title_words", F.array_distinct(F.filter(F.split("title_key", " "), lambda w: w != "")))
+FEATURES = ["title_key", "title_words", "url_keys", "deadline_keys", "funder_key", "program_key", "amount_keys", "currency", "source_key", "taxonomy"]
 
 
-def title_similarity(left: Column, right: Column) -> Column:
-    """The larger of the sequence ratio and the words' Jaccard, at four places; only for pairs that blocking left."""
+def prepare(records: DataFrame) -> DataFrame:
+    """id, place (the side that a record takes in its pairs: later updates first, then by id) and what pairs compare."""
+    text = lambda c: F.lower(clean_text(column(records, c)))
+    urls = F.filter(F.array(*(canonical_url(F.col(c)) for c in ("source_url", "application_url") if c in records.columns)), lambda u: u.isNotNull() & F.startswith(u, F.lit("http")))
+    # keys of two kinds: two records with values of the first kind compare these, else their texts
+    keys = lambda value, name: F.array_compact(F.array(F.concat(F.lit("V:"), column(records, value).cast("string")), F.concat(F.lit("T:"), text(name))))
+    values = lambda c: F.filter(F.coalesce(column(records, c, "array<string>"), F.array().cast("array<string>")), lambda x: clean_text(x).isNotNull())
+    labels = F.flatten(F.array(*(F.transform(values(c), lambda x, c=c: F.concat(F.lit(f"{c}:"), F.lower(x))) for c in TAXONOMY)))
+    later = -F.unix_micros(column(records, "updated_at", "timestamp").cast("timestamp"))
+    return records.select(
+        "id", F.struct(F.coalesce(later, F.lit(2**62)).alias("later"), F.col("id")).alias("place"), normalized_title(F.col("title")).alias("title_key"), F.array_distinct(urls).alias("url_keys"),
+        text("funder").alias("funder_key"), text("program").alias("program_key"), keys("deadline", "deadline_text").alias("deadline_keys"), keys("amount_max", "amount_text").alias("amount_keys"),
+        F.nullif(column(records, "currency"), F.lit("")).alias("currency"), clean_text(column(records, "source")).alias("source_key"), F.array_distinct(labels).alias("taxonomy"),
+    ).withColumn("title_words", F.array_distinct(F.filter(F.split("title_key", " "), lambda w: w != "")))
+
+
+def same_key(a: Column, b: Column) -> Column:
+    """Whether two records' keys of two kinds agree: by their values if both have one, else by their texts."""
+    kind = lambda c, k: F.get(F.filter(c, lambda x: F.startswith(x, F.lit(k))), 0)
+    valued = kind(a, "V:").isNotNull() & kind(b, "V:").isNotNull()
+    return F.coalesce(F.when(valued, kind(a, "V:") == kind(b, "V:")).otherwise(kind(a, "T:") == kind(b, "T:")), F.lit(False))
+
+
+def title_ratio(left: Column, right: Column) -> Column:
+    """The sequence ratio; only for pairs that all bounds left."""
 
     @F.pandas_udf("double")
     def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in pairs:
             yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    jaccard = F.size(F.array_intersect(words(left), words(right))) / F.size(F.array_union(words(left), words(right)))
-    return F.round(F.greatest(ratio(left, right), jaccard), 4)
+    return ratio(left, right)
 
 
-def candidates(records: DataFrame, exact_titles_only: bool = False) -> DataFrame:
-    """left_id, right_id, score, reasons of the pairs that reach CANDIDATE.
+def block_keys() -> Column:
+    """The keys of a prepared record; every pair that can reach CANDIDATE shares one.
 
-    A pair can reach it only if it shares an address, a title, or a title word together with the deadline or
-    the funder; so those keys block, and nothing is lost. Each record is compared within its blocks only.
+    Without a shared address or an equal title, the title gives 0.40 at most, and the others but the deadline 0.38.
+    So 0.34 more is needed. With an equal deadline, funder, programme and amount without any of the three give at most
+    0.03 + 0.04 + 0.07 besides, less than the 0.20 still needed: one of the three must agree. With no equal deadline,
+    the amount (else 0.32 at most) and both funder (0.28) and programme (0.30) must agree.
     """
-    ready = prepare(records)
-    keys = F.array_distinct(F.concat(
-        F.transform("url_keys", lambda u: F.concat(F.lit("u:"), u)), F.when(F.col("title_key") != "", F.array(F.concat(F.lit("t:"), "title_key"))).otherwise(F.array()),
-        *([] if exact_titles_only else [
-            F.flatten(F.transform("deadline_keys", lambda d: F.transform("title_words", lambda w: F.concat_ws("|", F.lit("d"), d, w)))),
-            F.when(F.col("funder_key").isNotNull(), F.transform("title_words", lambda w: F.concat_ws("|", F.lit("f"), "funder_key", w))).otherwise(F.array()),
-        ]),
+    key = lambda kind, *parts: F.concat_ws("|", F.lit(kind), *parts)
+    each = lambda c, f: F.transform(c, f)
+    dated = lambda kind, part: F.when(part.isNotNull(), each("deadline_keys", lambda d: key(kind, d, part))).otherwise(F.array())
+    return F.array_distinct(F.concat(
+        each("url_keys", lambda u: key("u", u)), F.when(F.col("title_key") != "", F.array(key("t", "title_key"))).otherwise(F.array()),
+        dated("df", F.col("funder_key")), dated("dp", F.col("program_key")), F.flatten(each("deadline_keys", lambda d: each("amount_keys", lambda m: key("da", d, m)))),
+        F.when(F.col("funder_key").isNotNull() & F.col("program_key").isNotNull(), each("amount_keys", lambda m: key("fpa", "funder_key", "program_key", m))).otherwise(F.array()),
     ))
-    held = ready.select("id", F.explode(keys).alias("key"))
-    pairs = held.alias("a").join(held.alias("b"), "key").filter("a.id < b.id").select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
-    fields = ["title_key", "title_words", "url_keys", "deadline", "funder_key", "program", "amount_max", "currency", "topics"]
-    side = lambda s: ready.select(F.col("id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in fields))
-    return score_pairs(pairs.join(side("left"), "left_id").join(side("right"), "right_id")).filter(F.col("score") >= F.lit(CANDIDATE).cast("decimal(5,4)"))
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
+def candidates(records: DataFrame, linked_sources: tuple[str, str] | None = rules.LINKED_SOURCES) -> DataFrame:
+    """left_id, right_id, score, reasons of the pairs that reach CANDIDATE, each once; the left one is the later updated.
+
+    Pairs come from equi-joins on `block_keys`, as ids alone. Then the JVM bounds each score by all that but the
+    titles' sequence ratio, whose own bound comes from lengths; the ratio is worked out for what is left.
+    """
+    ready = prepare(records)
+    held = ready.select("id", "place", F.explode(block_keys()).alias("key"))
+    pairs = held.alias("a").join(held.alias("b"), "key").filter("a.place < b.place").select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
+    side = lambda s: ready.select(F.col("id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in FEATURES))
+    return score_pairs(pairs.join(side("left"), "left_id").join(side("right"), "right_id"), linked_sources, CANDIDATE)
+
+
+def score_pairs(pairs: DataFrame, linked_sources: tuple[str, str] | None = rules.LINKED_SOURCES, least: str = "0") -> DataFrame:
+    """left_id, right_id, score, reasons of the pairs with a score of `least` or more."""
     left, right = (lambda c, s=s: F.col(f"{s}_{c}") for s in ("left", "right"))
     d = lambda x: F.lit(x).cast("decimal(5,4)")
-    same = lambda c: left(c).isNotNull() & (left(c) == right(c))
-    pairs = pairs.withColumn("similarity", title_similarity(left("title_key"), right("title_key")))
-    url = F.arrays_overlap(left("url_keys"), right("url_keys"))
-    weak = ~url & ((F.size(left("title_words")) < 2) | (F.size(right("title_words")) < 2) | ~F.arrays_overlap(left("title_words"), right("title_words")))
-    title = F.when(left("title_key") == right("title_key"), d(TITLE_POINTS[0][1]))
-    for least, points in TITLE_POINTS[1:]:
-        title = title.when(F.col("similarity") >= float(least), d(points))
-    money = F.when(same("amount_max") & same("currency"), d(AMOUNT_POINTS)).when(same("currency"), d(CURRENCY_POINTS)).otherwise(d("0"))
-    points = {
-        "same_canonical_or_application_url": F.when(url, d(URL_POINTS)), "title": title, "same_deadline": F.when(same("deadline"), d(DEADLINE_POINTS)),
-        "same_funder": F.when(same("funder_key"), d(FUNDER_POINTS)), "same_program": F.when(same("program"), d(PROGRAM_POINTS)),
-        "money": F.when(money > 0, money), "taxonomy_overlap": F.when(F.arrays_overlap(left("topics"), right("topics")), d(TAXONOMY_POINTS)),
-    }
-    total = F.least(sum((F.coalesce(p, d("0")) for p in points.values()), d("0")), d("1"))
-    reasons = F.array_compact(F.array(*(F.when(p.isNotNull(), name) for name, p in points.items())))
-    return pairs.select("left_id", "right_id", F.when(weak, d("0")).otherwise(total).cast("decimal(5,4)").alias("score"), reasons.alias("reasons"))
+    same = lambda c: F.coalesce(left(c) == right(c), F.lit(False))
+    shared = F.array_intersect(left("title_words"), right("title_words"))
+    length = lambda c: F.char_length(c("title_key"))
+    other_currency = F.coalesce(left("currency") != right("currency"), F.lit(False))
+    linked = F.lit(False) if linked_sources is None else F.coalesce(F.sort_array(F.array(left("source_key"), right("source_key"))) == F.array(*map(F.lit, sorted(linked_sources))), F.lit(False))
+    labels = F.array_sort(F.array_distinct(F.transform(F.array_intersect(left("taxonomy"), right("taxonomy")), lambda x: F.regexp_replace(x, "^[^:]*:", ""))))
+    pairs = pairs.withColumns({
+        "url": F.arrays_overlap(left("url_keys"), right("url_keys")), "titled": (left("title_key") != "") & (right("title_key") != ""), "exact": left("title_key") == right("title_key"),
+        "words_alike": F.coalesce(F.size(shared) / F.size(F.array_union(left("title_words"), right("title_words"))), F.lit(0.0)), "linked": linked, "labels": labels,
+        "money": F.when(~other_currency & same_key(left("amount_keys"), right("amount_keys")), "same_amount_and_currency").when(same("currency"), "same_currency"), "dated": same_key(left("deadline_keys"), right("deadline_keys")),
+        "one_source": left("source_key").eqNullSafe(right("source_key")),
+    })
+    told = (F.size(left("title_words")) >= 2) & (F.size(right("title_words")) >= 2) & (F.size(shared) > 0)
+    pairs = pairs.filter(F.col("url") | told)
+
+    def points(similarity: Column) -> dict[str, Column]:
+        """Reason and points of each term, for a similarity of titles or a bound of it."""
+        title = F.when(F.col("exact"), d(TITLE_POINTS[0][1]))
+        reason = F.when(F.col("exact"), TITLE_POINTS[0][2])
+        for bound, p, name in TITLE_POINTS[1:]:
+            title = title.when(similarity >= d(bound), d(p))
+            reason = reason.when(similarity >= d(bound), F.concat(F.lit(f"{name}:"), similarity.cast("string")))
+        money = F.when(F.col("money") == "same_amount_and_currency", d(AMOUNT_POINTS)).when(F.col("money") == "same_currency", d(CURRENCY_POINTS))
+        by_source = F.when(F.col("linked") & (similarity >= d(PAIR_POINTS[0])), F.struct(F.lit("official_eu_aggregator_pair").alias("r"), d(PAIR_POINTS[1]).alias("p"))).when(
+            F.col("one_source") & (similarity >= d(SOURCE_POINTS[0])), F.struct(F.lit("same_source_similar_title").alias("r"), d(SOURCE_POINTS[1]).alias("p"))
+        )
+        one = lambda test, name, p: (F.when(test, F.lit(name)), F.when(test, d(p)))
+        return [
+            one(F.col("url"), "same_canonical_or_application_url", URL_POINTS), (F.when(F.col("titled"), reason), F.when(F.col("titled"), title)), one(F.col("dated"), "same_deadline", DEADLINE_POINTS),
+            one(same("funder_key"), "same_funder", FUNDER_POINTS), one(same("program_key"), "same_program", PROGRAM_POINTS), (F.col("money"), money),
+            (F.when(F.size("labels") > 0, F.concat(F.lit("taxonomy_overlap:"), F.array_join(F.slice("labels", 1, 4), ","))), F.when(F.size("labels") > 0, d(TAXONOMY_POINTS))), (by_source["r"], by_source["p"]),
+        ]
+
+    total = lambda similarity: F.least(sum((F.coalesce(p, d("0")) for _, p in points(similarity)), d("0")), d("1")).cast("decimal(5,4)")
+    rounded = lambda c: F.when(F.col("titled"), F.round(c, 4)).otherwise(0.0).cast("decimal(5,4)")
+    bound = 2 * F.least(length(left), length(right)) / F.greatest(length(left) + length(right), F.lit(1))
+    pairs = pairs.filter(total(rounded(F.greatest(bound, F.col("words_alike")))) >= d(least))
+    pairs = pairs.withColumn("similarity", rounded(F.greatest(title_ratio(left("title_key"), right("title_key")), F.col("words_alike"))))
+    reasons = F.array_compact(F.array(*(r for r, _ in points(F.col("similarity")))))
+    return pairs.select("left_id", "right_id", total(F.col("similarity")).alias("score"), reasons.alias("reasons")).filter(F.col("score") >= d(least))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
-    """id, root, group_id, size of records joined by pairs that reach DUPLICATE."""
+    """id, root, group_id, size of records joined by pairs that reach DUPLICATE; pairs are best kept, as each round of the search reads them."""
     linked = connected(pairs.filter(F.col("score") >= F.lit(DUPLICATE).cast("decimal(5,4)")))
     named = linked.groupBy("root").agg(F.count("*").alias("size"), F.concat(F.lit("dup-"), F.left(F.sha1(F.concat_ws("|", F.array_sort(F.collect_list(F.col("id").cast("string"))))), F.lit(12))).alias("group_id"))
     return linked.join(named, "root")
@@ -95,19 +153,56 @@ def primaries(members: DataFrame, records: DataFrame, order: list[Column]) -> Da
     return members.join(records, "id").groupBy("group_id").agg(F.max_by("id", F.struct(*order, "id")).alias("primary_id"))
 
 
-def annotate(records: DataFrame, pairs: DataFrame, order: list[Column]) -> DataFrame:
-    """records (id and the order's columns) with what duplicates were found: group_id, group_size, primary_id, is_primary, is_duplicate, potential_duplicate, candidate_count, max_candidate_score.
+def primary_order(df: DataFrame) -> list[Column]:
+    """The order of the records of a group, the greatest first: tier, family, status, structured fields, confidence, length of text, time of update, id as text."""
+    pick = lambda table, c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.lit(0))
+    text = F.concat_ws(" ", *(F.nullif(column(df, c), F.lit("")) for c in ("summary", "description", "eligibility")))
+    return [
+        pick(TIER_ORDER, column(df, "quality_tier")), pick(FAMILY_ORDER, column(df, "family")), pick(STATUS_ORDER, F.coalesce(F.nullif(column(df, "status"), F.lit("")), F.lit("unknown"))),
+        sum((present(df, c).cast("int") for c in STRUCTURED), F.lit(0)), F.coalesce(column(df, "confidence", "decimal(5,4)").cast("decimal(5,4)"), F.lit(0).cast("decimal(5,4)")), F.char_length(text),
+        F.coalesce(F.unix_micros(column(df, "updated_at", "timestamp").cast("timestamp")), F.lit(0)), F.col("id").cast("string"),
+    ]
+
+
+def annotate(records: DataFrame, pairs: DataFrame, order: list[Column] | None = None, most: int = 5) -> DataFrame:
+    """records with what duplicates were found: group_id, group_size, primary_id, is_primary, is_duplicate, potential_duplicate, candidate_count, max_candidate_score, and the best `most` candidates.
 
-    A record without candidates has false, 0 and nulls. pairs are from candidates(), where each pair stands once.
+    records has the columns of the order, that of primary_order if none is given, which then needs the contract's.
+    A record without candidates has false, 0 and nulls. pairs are from candidates(), where each pair stands once;
+    they are worked out once.
     """
-    ends = F.explode(F.array("left_id", "right_id")).alias("id")
-    own = pairs.select(ends, "score").groupBy("id").agg(F.count("*").alias("candidate_count"), F.max("score").alias("max_candidate_score"))
-    members = groups(pairs)
+    order = primary_order(records) if order is None else order
+    pairs = kept(pairs)
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("left_id").alias("id"), F.col("right_id").alias("other")), F.struct(F.col("right_id").alias("id"), F.col("left_id").alias("other")))).alias("e"), "score", "reasons")
+    ends = ends.select("e.id", "score", F.col("e.other").alias("other_id"), "reasons", (F.col("score") >= F.lit(DUPLICATE).cast("decimal(5,4)")).alias("duplicate"))
+    best = ends.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "other_id"))).filter(F.col("n") <= most)
+    best = best.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "other_id", "score", "duplicate", "reasons"))), lambda c: c.dropFields("n")).alias("candidates"))
+    own = ends.groupBy("id").agg(F.count("*").alias("candidate_count"), F.max("score").alias("max_candidate_score")).join(best, "id")
+    members = kept(groups(pairs))
     first = primaries(members.select("id", "group_id"), records, order)
     held = members.join(first, "group_id").select("id", "group_id", F.col("size").alias("group_size"), "primary_id")
     out = records.join(own, "id", "left").join(held, "id", "left")
     primary = F.coalesce(F.col("primary_id") == F.col("id"), F.lit(False))
     return out.withColumns({
-        "is_primary": primary, "is_duplicate": F.col("primary_id").isNotNull() & ~primary, "potential_duplicate": F.coalesce(F.col("candidate_count") > 0, F.lit(False)) & F.col("group_id").isNull(),
+        "is_primary": primary, "is_duplicate": F.col("primary_id").isNotNull() & ~primary, "potential_duplicate": F.coalesce(F.col("candidate_count") > 0, F.lit(False)),
         "candidate_count": F.coalesce("candidate_count", F.lit(0)),
     })
+
+
+def totals(marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: records, candidate pairs, pairs of duplicates, groups, and records that are duplicates of a primary one."""
+    own = marked.agg(F.count("*").alias("processed"), F.count_distinct("group_id").alias("groups"), F.count_if("is_duplicate").alias("duplicate_records"))
+    found = pairs.agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= F.lit(DUPLICATE).cast("decimal(5,4)")).alias("duplicate_pairs"))
+    return own.crossJoin(found)  # a row each
+
+
+def best_groups(marked: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
+    """The largest groups, by size and id from the last, with their primary record and the best score of a pair inside."""
+    inside = marked.filter("group_id is not null").select(F.col("id").alias("left_id"), "group_id", "group_size", "primary_id")
+    scores = pairs.filter(F.col("score") >= F.lit(DUPLICATE).cast("decimal(5,4)")).join(inside, "left_id")
+    return scores.groupBy("group_id").agg(F.max("group_size").alias("size"), F.max("primary_id").alias("primary_id"), F.max("score").alias("best_score")).orderBy(F.col("size").desc(), F.col("group_id").desc()).limit(most)
+
+
+def best_pairs(pairs: DataFrame, most: int = 10) -> DataFrame:
+    """The pairs with the greatest scores."""
+    return pairs.orderBy(F.col("score").desc(), "left_id", "right_id").limit(most)

@@ -39,7 +39,7 @@ def read_fields(df: DataFrame, as_of: str) -> DataFrame:
     sums = F.coalesce("__funding.amount_min", "__funding.amount_max").isNotNull()
     df = df.withColumn("amount_text", F.coalesce("amount_text", F.when(sums, x.amount_text(x.without_dates(F.col("__money"))))))
     intro = F.lower(F.left("text", F.lit(900)))
-    training = x.has_any(F.col("__title"), rules.TRAINING_TITLES) | (F.regexp_like(intro, F.lit(f"(?iu){rules.TRAINING_INTRO}")) & ~x.has_any(F.col("__title"), rules.GRANT_TITLES))
+    training = x.has_any(F.col("__title"), rules.TRAINING_TITLES) | (F.regexp_like(intro, F.lit(f"(?iu){rules.TRAINING_INTRO}")) & ~x.has_any(F.col("__title"), rules.OFFER_TITLES))
     tender = x.has_any(F.col("__title"), rules.TENDER_TITLES)
     topics = F.filter(F.transform("topics", clean_text), lambda t: t.isNotNull() & ~F.lower(t).isin(rules.GENERIC_TOPICS))
     passage = lambda c, words: F.coalesce(c, snippet(F.col("text"), words))

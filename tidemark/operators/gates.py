@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules
 from tidemark.functions.extraction import has_any, labels, padded
 from tidemark.functions.text import clean_text, cosine
-from tidemark.operators.classification import column
+from tidemark.operators.quality import column
 from tidemark.operators.reports import counted
 
 MIN_QUALITY, MIN_SCORE = 40, 2500
@@ -36,20 +36,20 @@ def opportunity_gates(df: DataFrame, as_of: str, include_low_quality: bool = Fal
     other = yes("is_duplicate") & primary.isNotNull() & (primary != F.col("id").cast("string"))
     tier, score, kind, support = F.col("quality_tier"), column(df, "quality_score", "int"), column(df, "opportunity_type"), column(df, "support_type")
     df = df.withColumns({"body": text, "__title": title})
-    course = has_any(F.col("__title"), rules.NOT_GRANT_TITLES) | (has_any(F.col("__title"), rules.ACADEMY_TITLES) & ~has_any(F.col("__title"), rules.ACADEMY_GRANT_TITLES)) | has_any(F.left("body", F.lit(900)), rules.NOT_GRANT_INTRO)
+    course = has_any(F.col("__title"), rules.COURSE_TITLES) | (has_any(F.col("__title"), rules.ACADEMY_TITLES) & ~has_any(F.col("__title"), rules.ACADEMY_OFFER_TITLES)) | has_any(F.left("body", F.lit(900)), rules.COURSE_INTRO)
     unsupported = F.coalesce(kind.isin("training", "tender"), F.lit(False)) | F.coalesce(support.isin("training", "procurement"), F.lit(False)) | course
     late = F.col("deadline") < F.lit(as_of).cast("date")
     one = lambda test, value: F.when(test, F.array(value)).otherwise(F.array().cast("array<string>"))
     reasons = F.concat(
-        one(other, F.concat(F.lit("duplicate_grant:"), primary)), one(tier == "noise_rejected", F.concat(F.lit("quality_gate:noise_rejected:"), F.col("class"))), one(tier == "needs_review", F.lit("quality_gate:needs_review")),
+        one(other, F.concat(F.lit(rules.DUPLICATE_REASON), primary)), one(tier == "noise_rejected", F.concat(F.lit("quality_gate:noise_rejected:"), F.col("class"))), one(tier == "needs_review", F.lit("quality_gate:needs_review")),
         F.transform(F.array_remove("blockers", "closed_status"), lambda b: F.concat(F.lit("quality_gate:"), b)),
         one(F.coalesce(score < least_quality, F.lit(False)) & F.lit(not include_low_quality), F.concat(F.lit("quality_gate:low_quality_score:"), score.cast("string"))),
-        one(F.col("status") == "closed", F.lit("closed_grant")), one(unsupported, F.concat(F.lit("unsupported_opportunity_type:"), F.coalesce(kind, support, F.lit("")))), one(late, F.lit("deadline_passed")),
+        one(F.col("status") == "closed", F.lit(rules.CLOSED_REASON)), one(unsupported, F.concat(F.lit("unsupported_opportunity_type:"), F.coalesce(kind, support, F.lit("")))), one(late, F.lit("deadline_passed")),
     )
     checks = F.concat(
         one(~other & yes("potential_duplicate") & ~yes("is_primary"), F.lit("potential duplicate requires review")),
         F.when(tier == "usable_with_warnings", F.transform("flags", lambda f: F.concat(F.lit("quality warning: "), f))).otherwise(F.array().cast("array<string>")),
-        one(F.col("status") == "unknown", F.lit("grant status is unknown")), one(F.col("deadline").isNull(), F.lit("deadline missing")),
+        one(F.col("status") == "unknown", F.lit(rules.STATUS_CHECK)), one(F.col("deadline").isNull(), F.lit("deadline missing")),
     )
     return df.withColumns({
         "reasons": reasons, "checks": checks, "topic_set": normal_set(column(df, "topics", "array<string>")), "country_set": normal_set(column(df, "countries", "array<string>")), "type_set": normal_set(column(df, "applicant_types", "array<string>")),
@@ -115,12 +115,12 @@ def pair_gates(pairs: DataFrame) -> DataFrame:
     hard = F.concat(
         F.col("reasons"), one(land.isNotNull() & placed & ~here & ~europe, F.concat(F.lit("country_mismatch:"), F.col("country"))),
         one((F.size(types) > 0) & (F.size(kinds) > 0) & ~F.arrays_overlap("accepted_types", kinds), F.concat(F.lit("applicant_type_mismatch:"), F.coalesce("organization_type", F.lit("unknown")))),
-        one(F.col("nonprofit_only") & ~F.array_contains(types, "ngo"), F.lit("nonprofit_only_grant")),
+        one(F.col("nonprofit_only") & ~F.array_contains(types, "ngo"), F.lit(rules.NONPROFIT_REASON)),
     )
     soft = F.transform(F.array_sort(F.array_intersect("unwanted", "topic_set")), lambda t: F.concat(F.lit("excluded_topic:"), t))
     checks = F.concat(
-        F.col("checks"), one(land.isNotNull() & europe & ~here, F.lit("EU geography may require eligibility check")), one(land.isNotNull() & ~placed, F.lit("grant countries missing")),
-        one((F.size(types) > 0) & (F.size(kinds) == 0), F.lit("grant applicant types missing")), one(~barred & has_any(F.col("restricted"), rules.RESTRICTION_CHECKS), F.lit("grant restrictions require review")),
+        F.col("checks"), one(land.isNotNull() & europe & ~here, F.lit("EU geography may require eligibility check")), one(land.isNotNull() & ~placed, F.lit(rules.COUNTRY_CHECK)),
+        one((F.size(types) > 0) & (F.size(kinds) == 0), F.lit(rules.TYPE_CHECK)), one(~barred & has_any(F.col("restricted"), rules.RESTRICTION_CHECKS), F.lit(rules.RESTRICTION_CHECK)),
     )
     stop = one(barred, F.lit("restriction_conflict"))
     return pairs.withColumns({"passed": (F.size(hard) == 0) & ~barred, "reasons": F.concat(hard, soft, stop), "checks": checks})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import rules
 from tidemark.functions.text import clean_text
 
 # The labels of each kind's lines, in order, and their columns.
@@ -18,7 +19,7 @@ CLIENT = [
     ("Product", "product"), ("Risks", "risks"), ("Previous submissions", "previous_submissions"),
 ]
 APPLICATION = [
-    ("Client", "client"), ("Grant title", "title"), ("Grant source", "source"), ("Program", "program"), ("Result", "result"), ("Country", "country"), ("Applicant type", "applicant_type"), ("Topics", "topics"),
+    ("Client", "client"), (rules.APPLICATION_TITLE, "title"), (rules.APPLICATION_SOURCE, "source"), ("Program", "program"), ("Result", "result"), ("Country", "country"), ("Applicant type", "applicant_type"), ("Topics", "topics"),
     ("Project summary", "project_summary"), ("Reusable materials", "reusable_materials"), ("Notes", "notes"),
 ]
 LONGEST = 12_000

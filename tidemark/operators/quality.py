@@ -1,4 +1,4 @@
-"""The grade of a record: flags for what it lacks, a score from 0 to 100, and a tier."""
+"""The score of a record from 0 to 100, from the flags of its contract and from what it has."""
 
 from __future__ import annotations
 
@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_text
 
-# Points of the score, by flag that must be absent, by signal, and taken off by flag.
-CORE_POINTS = {"weak_title": 10, "missing_source_url": 10, "missing_context_text": 10, "invalid_status": 10}
-IMPORTANT_POINTS = {"missing_deadline": 8, "missing_funder": 4, "missing_amount": 4, "missing_currency": 2, "missing_country": 4, "missing_region": 1, "missing_eligibility": 4, "missing_application_url": 2, "missing_published_at": 1}
+# Names and points of the score, by flag that must be absent, by signal, and taken off by flag.
+CORE_POINTS = {"weak_title": ("core_title", 10), "missing_source_url": ("core_source_url", 10), "missing_context_text": ("core_context_text", 10), "invalid_status": ("core_valid_status", 10)}
+IMPORTANT_POINTS = {
+    "missing_deadline": ("important_deadline", 8), "missing_funder": ("important_funder", 4), "missing_amount": ("important_amount", 4), "missing_currency": ("important_currency", 2), "missing_country": ("important_country", 4),
+    "missing_region": ("important_region", 1), "missing_eligibility": ("important_eligibility", 4), "missing_application_url": ("important_application_url", 2), "missing_published_at": ("important_published_at", 1),
+}
 ADVANCED_FIELDS = ["program", "keywords", "restrictions", "amount_max", "documents"]
 STATUS_POINTS = {"open": 5, "unknown": 2, "closed": 0}
 FAMILY_POINTS = {"structured_direct": 10, "useful_incomplete": 7, "unknown": 5, "aggregator": 4, "digest_heavy": 2, "empty_or_problem": 0}
-PENALTY_POINTS = {"noise_rejected": 60, "needs_manual_review": 15, "source_classification_uncertain": 10, "low_extraction_confidence": 10, "possible_duplicate": 10, "broad_finance_program": 5}
+PENALTY_POINTS = {
+    "noise_rejected": ("penalty_noise_classification", 60), "needs_manual_review": ("penalty_manual_review", 15), "source_classification_uncertain": ("penalty_classification_uncertain", 10),
+    "low_extraction_confidence": ("penalty_low_extraction_confidence", 10), "possible_duplicate": ("penalty_possible_duplicate", 10), "broad_finance_program": ("penalty_broad_finance_program", 5),
+}
 MIN_MATCHING_SCORE = 40
 
 
@@ -25,33 +31,26 @@ def present(df: DataFrame, name: str) -> Column:
     return (F.coalesce(F.size(name), F.lit(0)) > 0) if kind.startswith("array") else clean_text(F.col(name)).isNotNull() if kind == "string" else F.col(name).isNotNull()
 
 
-def flags(df: DataFrame) -> DataFrame:
-    """df with `flags`, in a fixed order."""
-    missing = {f"missing_{n}": ~present(df, c) for n, c in (("deadline", "deadline"), ("funder", "funder"), ("amount", "amount_max"), ("currency", "currency"), ("country", "countries"), ("region", "regions"), ("eligibility", "eligibility"), ("application_url", "application_url"), ("published_at", "published_at"))}
-    length = lambda c: F.coalesce(F.char_length(clean_text(F.col(c))), F.lit(0)) if c in df.columns else F.lit(0)
-    tests = {
-        "weak_title": length("title") < 8, "missing_source_url": ~present(df, "source_url"), "missing_context_text": length("summary") + length("description") < 20,
-        "invalid_status": ~F.coalesce(F.col("status"), F.lit("")).isin("open", "closed", "unknown"), **missing,
-    }
-    for name in PENALTY_POINTS:
-        if name in df.columns:
-            tests[name] = F.coalesce(F.col(name), F.lit(False))
-    return df.withColumn("flags", F.array_compact(F.array(*(F.when(t, n) for n, t in tests.items()))))
+def column(df: DataFrame, name: str, kind: str = "string") -> Column:
+    """The column, or null of the kind where the table lacks it."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
 def score(df: DataFrame) -> DataFrame:
-    """df with quality_score, quality_tier and matching_ready from its flags."""
+    """A table with the contract's columns, with quality_score, components, penalties (without zeros) and matching_ready; the tier stays the contract's."""
     has = lambda f: F.array_contains("flags", f)
-    length = lambda c: F.coalesce(F.char_length(clean_text(F.col(c))), F.lit(0)) if c in df.columns else F.lit(0)
+    length = lambda c: F.coalesce(F.char_length(clean_text(column(df, c))), F.lit(0))
     pick = lambda table, c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.lit(0))
-    plus = sum((F.when(~has(f), p).otherwise(0) for f, p in (CORE_POINTS | IMPORTANT_POINTS).items()), F.lit(0))
-    plus += sum((present(df, c).cast("int") for c in ADVANCED_FIELDS), F.lit(0))
-    plus += F.when(length("summary") >= 80, 5).otherwise(0) + F.when(length("description") >= 300, 5).otherwise(0)
-    plus += pick(STATUS_POINTS, F.coalesce("status", F.lit("unknown"))) + pick(FAMILY_POINTS, F.coalesce("family", F.lit("unknown")) if "family" in df.columns else F.lit("unknown"))
-    minus = sum((F.when(has(f), p).otherwise(0) for f, p in PENALTY_POINTS.items()), F.lit(0))
-    tier = F.when(has("noise_rejected"), "noise_rejected").when(has("needs_manual_review") | has("weak_title") | has("missing_source_url"), "needs_review").when(F.size("flags") > 0, "usable_with_warnings").otherwise("match_ready")
-    out = df.withColumns({"quality_score": F.greatest(F.lit(0), F.least(F.lit(100), plus - minus)).cast("int"), "quality_tier": tier})
-    return out.withColumn("matching_ready", F.col("quality_tier").isin("match_ready", "usable_with_warnings") & (F.col("quality_score") >= MIN_MATCHING_SCORE))
+    plus = [(name, F.when(~has(flag), p)) for flag, (name, p) in (CORE_POINTS | IMPORTANT_POINTS).items()]
+    plus += [
+        ("advanced_fields", sum((present(df, c).cast("int") for c in ADVANCED_FIELDS), F.lit(0))), ("text_summary", F.when(length("summary") >= 80, 5)), ("text_description", F.when(length("description") >= 300, 5)),
+        ("status", pick(STATUS_POINTS, F.coalesce(clean_text(column(df, "status")), F.lit("unknown")))), ("source_family", pick(FAMILY_POINTS, F.coalesce(column(df, "family"), F.lit("unknown")))),
+    ]
+    minus = [(name, F.when(has(flag), p)) for flag, (name, p) in PENALTY_POINTS.items()]
+    listed = lambda parts: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(n).alias("name"), F.coalesce(p, F.lit(0)).cast("int").alias("points")) for n, p in parts)), lambda e: e["points"] != 0))
+    total = lambda parts: sum((F.coalesce(p, F.lit(0)) for _, p in parts), F.lit(0))
+    out = df.withColumns({"quality_score": F.greatest(F.lit(0), F.least(F.lit(100), total(plus) - total(minus))).cast("int"), "components": listed(plus), "penalties": listed(minus)})
+    return out.withColumn("matching_ready", F.col("eligible") & (F.col("quality_score") >= MIN_MATCHING_SCORE))
 
 
 def prepared(df: DataFrame, least: int | None = None, include_unscored: bool = True) -> DataFrame:

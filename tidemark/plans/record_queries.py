@@ -49,19 +49,19 @@ def support_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_sql(title: str, body: str) -> str:
     """The text rules as a CASE; the family of the sources at hand is unknown."""
-    mark, direct = rules.CLASS_MARKS, holds(body, rules.GRANT_MARKS)
+    mark, direct = rules.CLASS_MARKS, holds(body, rules.DIRECT_MARKS)
     rest = " ".join(f"WHEN {holds(title, mark[n])} THEN '{n}'" for n in ("webinar", "training", "event", "tender", "news", "article", "finance_program"))
-    return f"CASE WHEN {holds(title, mark['digest'])} THEN 'digest' WHEN {direct} AND {holds(title, mark['tender'])} AND NOT {holds(title, rules.GRANT_TITLE_MARKS)} THEN 'tender' WHEN {direct} THEN 'grant' {rest} ELSE 'unknown' END"
+    return f"CASE WHEN {holds(title, mark['digest'])} THEN 'digest' WHEN {direct} AND {holds(title, mark['tender'])} AND NOT {holds(title, rules.DIRECT_TITLE_MARKS)} THEN 'tender' WHEN {direct} THEN '{rules.DIRECT_CLASS}' {rest} ELSE 'unknown' END"
 
 
-@query(f"WITH {BODIES} SELECT class, count(*) AS n, min(id) AS first_id FROM (SELECT id, {class_sql('head', 'head')} AS class FROM bodies) GROUP BY class")
+@query(f"WITH {BODIES} SELECT class, count(*) AS n, min(id) AS first_id FROM (SELECT id, {class_sql('head', 'head || body')} AS class FROM bodies) GROUP BY class")
 def record_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by class: the first 80 characters are the title, the whole text is the description."""
     docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), F.col("text").alias("description"))
     return classification.classify(docs).groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-OFFERS = """offers AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 17 WHEN 0 THEN ' grant fund' WHEN 1 THEN ' training course' WHEN 2 THEN ' digest ' ELSE '' END AS title, string_split(p_name, ' ') AS topics, p_brand AS funder,
+OFFERS = """offers AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 17 WHEN 0 THEN ' award fund' WHEN 1 THEN ' training course' WHEN 2 THEN ' digest ' ELSE '' END AS title, string_split(p_name, ' ') AS topics, p_brand AS funder,
   lower(p_type) AS support_type, DATE '1998-01-01' + p_size::INT AS deadline, 'src' || (p_partkey % 5) AS source, CASE WHEN p_partkey % 7 = 0 THEN 'closed' WHEN p_partkey % 11 <> 0 THEN 'open' END AS status,
   CASE WHEN p_partkey % 3 <> 0 THEN p_name || ' ' || p_type END AS summary, 'https://example.org/' || (p_partkey % 500) AS source_url, CASE WHEN p_partkey % 2 = 0 THEN 'EUR' END AS currency,
   CASE WHEN p_partkey % 23 = 0 THEN 'For civil society only' END AS description, CASE p_partkey % 4 WHEN 0 THEN ['SME', 'company'] WHEN 1 THEN ['NGO'] WHEN 2 THEN [] ELSE ['startup'] END AS applicant_types,
@@ -92,7 +92,7 @@ WEAK = {
     "missing_currency": "currency IS NULL", "missing_geography": "len(countries) = 0", "missing_eligibility": "true",
 }
 NOISE = {n: holds("lower(concat_ws(' ', title, summary, description, support_type))", words) for n, words in rules.NOISE_MARKS} | {
-    "possible_training_not_grant": f"{holds('lower(title)', rules.AUDIT_TRAINING_TITLES)} AND NOT {holds('lower(title)', rules.AUDIT_GRANT_TITLES)}"
+    rules.TRAINING_NOISE: f"{holds('lower(title)', rules.AUDIT_TRAINING_TITLES)} AND NOT {holds('lower(title)', rules.AUDIT_OFFER_TITLES)}"
 }
 
 
@@ -113,15 +113,15 @@ PROFILES = """profiles AS (SELECT c_custkey AS client_key, c_name AS client, n_n
   CASE c_custkey // 10 % 3 WHEN 0 THEN ['economy', 'ear'] WHEN 1 THEN ['promo'] ELSE [] END AS technologies,
   CASE c_custkey // 10 % 5 WHEN 0 THEN ['ngo'] WHEN 1 THEN ['startup'] WHEN 2 THEN ['sme', 'company'] WHEN 3 THEN ['company'] ELSE [] END AS client_types,
   CASE c_custkey // 10 % 5 WHEN 0 THEN ['ngo'] WHEN 1 THEN ['startup', 'company', 'sme'] WHEN 2 THEN ['sme', 'company', 'startup'] WHEN 3 THEN ['company', 'sme', 'startup'] ELSE [] END AS accepted
-  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0),
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
 past AS (SELECT client_key, title, string_split(title, ' ') AS topics, kind, reusable, weight FROM (SELECT o_custkey AS client_key, p_name AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'sme' END AS kind, o_orderkey % 4 = 0 AS reusable,
-    CASE WHEN o_orderstatus = 'F' THEN 120 ELSE 100 END AS weight, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) AS n
-  FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON o_orderkey = l_orderkey JOIN part ON p = p_partkey WHERE o_custkey % 10 = 0) WHERE n <= 3)"""
+    CASE WHEN o_orderstatus = 'F' THEN 120 ELSE 100 END AS weight
+  FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON o_orderkey = l_orderkey JOIN part ON p = p_partkey))"""
 OPEN = f"""open_offers AS (SELECT *, ' ' || lower(concat_ws(' ', trim(title), summary, description, array_to_string(topics, ' '), nullif(array_to_string(applicant_types, ' '), ''))) || ' ' AS body, list_transform(applicant_types, lambda t: lower(t)) AS kinds, list_transform(countries, lambda t: lower(t)) AS lands
   FROM judged WHERE {TIER} = 'usable_with_warnings' AND coalesce(status, '') <> 'closed' AND quality_score >= 40 AND NOT is_duplicate AND deadline >= DATE '{AS_OF}' AND NOT contains(' ' || lower(title), ' training'))"""
-FITTING = """fitting AS (SELECT *, list_sort(list_intersect(topics, wanted)) AS topic_hits, list_sort(list_filter(technologies, lambda t: contains(body, t))) AS technology_hits, list_has_any(accepted, kinds) AS type_hit, contains(body, sector) AS sector_hit, list_has_any(topics, unwanted) AS unwanted_hit,
-    list_filter([CASE WHEN status IS NULL THEN NULL END, CASE WHEN list_contains(lands, 'eu') THEN 'EU geography may require eligibility check' END, CASE WHEN len(lands) = 0 THEN 'grant countries missing' END,
-      CASE WHEN len(client_types) > 0 AND len(kinds) = 0 THEN 'grant applicant types missing' END, CASE WHEN contains(restrictions, 'не можуть') THEN 'grant restrictions require review' END], lambda x: x IS NOT NULL) AS checks
+FITTING = f"""fitting AS (SELECT *, list_sort(list_intersect(topics, wanted)) AS topic_hits, list_sort(list_filter(technologies, lambda t: contains(body, t))) AS technology_hits, list_has_any(accepted, kinds) AS type_hit, contains(body, sector) AS sector_hit, list_has_any(topics, unwanted) AS unwanted_hit,
+    list_filter([CASE WHEN status IS NULL THEN NULL END, CASE WHEN list_contains(lands, 'eu') THEN 'EU geography may require eligibility check' END, CASE WHEN len(lands) = 0 THEN '{rules.COUNTRY_CHECK}' END,
+      CASE WHEN len(client_types) > 0 AND len(kinds) = 0 THEN '{rules.TYPE_CHECK}' END, CASE WHEN contains(restrictions, 'не можуть') THEN '{rules.RESTRICTION_CHECK}' END], lambda x: x IS NOT NULL) AS checks
   FROM open_offers CROSS JOIN profiles WHERE (len(lands) = 0 OR list_contains(lands, land) OR list_contains(lands, 'eu')) AND (len(client_types) = 0 OR len(kinds) = 0 OR list_has_any(accepted, kinds))
     AND NOT (contains(body, 'civil society') AND NOT list_contains(client_types, 'ngo')) AND NOT (coalesce(contains(restrictions, 'not eligible'), false) AND list_contains(client_types, 'company'))),
 worded AS (SELECT f.*, greatest(0, least(10000, round_even((len(topic_hits) * 4500 * greatest(len(technologies), 1) + len(technology_hits) * 3000 * len(wanted) + (type_hit::INT * 1500 + sector_hit::INT * 1000 - unwanted_hit::INT * 2000) * len(wanted) * greatest(len(technologies), 1))::DOUBLE / (len(wanted) * greatest(len(technologies), 1)), 0)))::INT AS keyword FROM fitting f),
@@ -171,7 +171,7 @@ def external_work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records in groups of duplicates, each with its primary: here the greater id, as all else is equal."""
     records = views.named_records(spark, sf_dir)
-    marked = dedup.annotate(records.select("id"), dedup.candidates(records), [])
+    marked = dedup.annotate(records.select("id"), dedup.candidates(records), [])  # no order but the id
     return marked.filter("group_id is not null").select("id", "primary_id", "is_primary", "is_duplicate")
 
 
@@ -190,7 +190,7 @@ def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'client', c_custkey::VARCHAR, concat_ws(' ', 'Client: ' || c_name, 'Country: ' || n_name, 'Sector: ' || CASE WHEN c_custkey % 60 = 0 THEN 'Standard' ELSE c_mktsegment END,
     'Organization type: ' || CASE c_custkey // 10 % 5 WHEN 0 THEN 'NGO' WHEN 1 THEN 'startup' WHEN 2 THEN 'small business' WHEN 3 THEN 'LLC company' END, trim('Technologies: ' || CASE c_custkey // 10 % 3 WHEN 0 THEN 'Economy, ear' WHEN 1 THEN 'promo' ELSE '' END),
     'Target topics: ' || CASE c_custkey % 4 WHEN 0 THEN 'ring, blue' WHEN 1 THEN 'bolt, red, small' WHEN 2 THEN 'gear, hot, large' ELSE 'widget, cold' END, 'Excluded topics: ' || CASE c_custkey % 4 WHEN 0 THEN 'old' WHEN 1 THEN 'plate' WHEN 2 THEN 'new' ELSE 'anvil' END)
-    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT 'application', o_orderkey::VARCHAR, concat_ws(' ', 'Client: ' || o_custkey, 'Result: ' || o_orderstatus) FROM orders""")
 def profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     applications = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("client"), F.col("o_orderstatus").alias("result"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
-from tidemark.operators import change, dedup, embedding, matching, quality, reports
-from tidemark.plans import record_queries  # noqa: F401
+from tidemark.functions import rules, text
+from tidemark.operators import change, classification, dedup, embedding, matching, quality, reports
+from tidemark.plans import list_queries, record_queries  # noqa: F401
 from tidemark.plans.base import AS_OF, ORACLE_SQL, QUERIES, query  # noqa: F401
 from tidemark.sources import files, views
 
@@ -19,12 +19,12 @@ V_OPPS = """opps AS (SELECT p_partkey AS id, p_name AS title, string_split(p_nam
 V_CLIENTS = """clients AS (SELECT c_custkey AS client_key, c_name AS client, c_mktsegment AS sector, n_name AS country,
   CASE c_custkey % 4 WHEN 0 THEN ['ring','blue'] WHEN 1 THEN ['bolt','red','small'] WHEN 2 THEN ['gear','hot','large'] ELSE ['widget','cold'] END AS wanted,
   CASE c_custkey % 4 WHEN 0 THEN ['old'] WHEN 1 THEN ['plate'] WHEN 2 THEN ['new'] ELSE ['anvil'] END AS unwanted
-  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0)"""
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 V_GATED = f"gated AS (SELECT * FROM opps WHERE coalesce(status, 'unknown') <> 'closed' AND (deadline IS NULL OR deadline >= DATE '{AS_OF}'))"
-V_KEYWORD = """keyword AS (SELECT client_key, client, id, topics, greatest(0, least(10000,
+V_KEYWORD = """keyword AS (SELECT client_key, client, id, topics, list_has_any(topics, wanted) OR len(list_filter(wanted, lambda t: contains(body, t))) > 0 OR contains(body, lower(sector)) AS met, greatest(0, least(10000,
     floor(len(list_intersect(topics, wanted)) * 4500 / len(wanted)) + floor(len(list_filter(wanted, lambda t: contains(body, t))) * 3000 / len(wanted))
     + CASE WHEN contains(body, lower(sector)) THEN 1000 ELSE 0 END - CASE WHEN list_has_any(topics, unwanted) THEN 2000 ELSE 0 END))::INT AS score
-  FROM (SELECT *, lower(title || ' ' || coalesce(summary, '')) AS body FROM gated) g JOIN clients c ON list_has_any(g.topics, c.wanted))"""
+  FROM (SELECT *, lower(title || ' ' || coalesce(summary, '')) AS body FROM gated) g CROSS JOIN clients c)"""
 
 
 def _open(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +40,13 @@ def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.shortlist(_pairs(spark, sf_dir).withColumnRenamed("keyword", "score")).select("client", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
-@query(f"WITH {V_OPPS}, {V_CLIENTS}, {V_GATED}, {V_KEYWORD} SELECT client, count(*) AS n, sum(score)::BIGINT AS total, max(score) AS best FROM keyword GROUP BY client")
+@query(f"WITH {V_OPPS}, {V_CLIENTS}, {V_GATED}, {V_KEYWORD} SELECT client, count(*) AS n, sum(score)::BIGINT AS total, max(score) AS best FROM keyword WHERE met GROUP BY client")
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).groupBy("client").agg(F.count("*").alias("n"), F.sum("keyword").cast("long").alias("total"), F.max("keyword").alias("best"))
 
 
 V_HISTORY = """hist AS (SELECT client_key, topics, weight FROM (SELECT o_custkey AS client_key, string_split(p_name, ' ') AS topics, CASE WHEN o_orderstatus = 'F' THEN 120 ELSE 100 END AS weight,
-    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) AS n
-  FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON o_orderkey = l_orderkey JOIN part ON p = p_partkey) WHERE n <= 12)"""
+    o_orderkey FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON o_orderkey = l_orderkey JOIN part ON p = p_partkey))"""
 V_BLEND = """blended AS (SELECT k.client, k.id, floor(k.score * 75 / 100 + coalesce(max(least(10000, floor((len(list_intersect(k.topics, h.topics)) * 5000 / len(h.topics) + CASE WHEN list_has_any(k.topics, h.topics) THEN 2500 ELSE 0 END) * h.weight / 100))) FILTER (h.topics IS NOT NULL), 0) * 25 / 100)::INT AS score
   FROM keyword k LEFT JOIN hist h USING (client_key) GROUP BY k.client, k.id, k.score)"""
 
@@ -81,13 +80,15 @@ def search_opps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.search(views.opportunities(spark, sf_dir), "RING", status="open", topic="Blue").select("id", "title", "source")
 
 
-SCORED = """scored AS (SELECT *, greatest(0, least(100, (length(title) >= 8)::INT * 10 + 10 + (length(coalesce(summary, '')) >= 20)::INT * 10 + (coalesce(status, '') IN ('open', 'closed', 'unknown'))::INT * 10
-  + 8 + 4 + 4 + (currency IS NOT NULL)::INT * 2 + 1 + CASE coalesce(status, 'unknown') WHEN 'open' THEN 5 WHEN 'unknown' THEN 2 ELSE 0 END + 5))::INT AS quality_score,
-  CASE WHEN length(title) < 8 THEN 'needs_review' ELSE 'usable_with_warnings' END AS quality_tier FROM opps)"""
+SCORED = f"""judged AS (SELECT *, {record_queries.class_sql("' ' || lower(title) || ' '", "' ' || lower(concat_ws(' ', title, summary, funder)) || ' '")} AS class FROM opps),
+  graded AS (SELECT *, list_contains({record_queries.quoted(rules.NOISE_CLASSES)}, class) AS noise, length(title) < 8 AND summary IS NULL AS no_context FROM judged),
+  scored AS (SELECT *, greatest(0, least(100, (length(title) >= 8)::INT * 10 + 10 + (NOT no_context)::INT * 10 + 10 + 8 + 4 + (currency IS NOT NULL)::INT * 2 + 1
+    + CASE coalesce(status, 'unknown') WHEN 'open' THEN 5 WHEN 'unknown' THEN 2 ELSE 0 END + 5 - noise::INT * 60 - (class = 'finance_program')::INT * 5))::INT AS quality_score,
+    CASE WHEN noise THEN 'noise_rejected' WHEN length(title) < 8 OR no_context THEN 'needs_review' ELSE 'usable_with_warnings' END AS quality_tier FROM graded)"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(quality.flags(views.opportunities(spark, sf_dir)))
+    return quality.score(classification.contract(classification.classify(views.opportunities(spark, sf_dir))))
 
 
 @query(f"WITH {V_OPPS}, {SCORED} SELECT id, quality_score, quality_tier FROM scored")
@@ -96,7 +97,7 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {V_OPPS}, {SCORED} SELECT coalesce(source, '*') AS source, count(*) AS n, round(avg(quality_score), 1) AS avg_score, count(*) FILTER (quality_score < 40) AS low,
-  count(*) FILTER (quality_tier = 'usable_with_warnings' AND quality_score >= 40) AS ready FROM scored GROUP BY ROLLUP (source)""")
+  count(*) FILTER (quality_tier = 'usable_with_warnings' AND coalesce(status, '') <> 'closed' AND quality_score >= 40) AS ready FROM scored GROUP BY ROLLUP (source)""")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.quality_summary(_scored(spark, sf_dir), "source")
 

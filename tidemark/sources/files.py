@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.rules import CLIENT_COLUMNS, HISTORY_COLUMNS
 from tidemark.functions.text import clean_text, slug, split_list
 
-CLIENT_COLUMNS = ["name", "country", "sector", "organization_type", "technologies", "product_description", "risks", "target_topics", "excluded_topics", "source_documents", "confidence", "extraction_notes"]
-HISTORY_COLUMNS = ["client_name", "grant_title", "grant_source", "program_name", "application_date", "result", "country", "applicant_type", "topics", "project_summary", "reusable_materials", "similarity_weight", "notes", "source_documents", "confidence"]
 # What may come of an application.
 RESULTS = ["won", "lost", "rejected", "not_submitted", "unknown"]
 
@@ -59,11 +58,12 @@ def search_results(raw: DataFrame) -> DataFrame:
 
 
 def feed(raw: DataFrame) -> DataFrame:
-    """Items of RSS bodies that have a title and a link."""
-    column = lambda tag: F.xpath("body", F.lit(f"//item/{tag}/text()"))
-    items = F.explode(F.arrays_zip(*(column(t).alias(t) for t in ("title", "link", "pubDate"))))
-    published = F.try_to_timestamp(F.regexp_replace("i.pubDate", "^[A-Za-z]{3}, *", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
-    return raw.select("source", items.alias("i")).select("source", clean_text(F.col("i.title")).alias("title"), clean_text(F.col("i.link")).alias("url"), published.alias("published_at")).filter("title IS NOT NULL AND url IS NOT NULL")
+    """Items of RSS bodies that have a title and a link, each read by itself, so that none takes another's parts."""
+    item = raw.select("source", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<item[\s>].*?</item>"), F.lit(0))).alias("place", "item"))
+    text = lambda tag: F.regexp_replace(F.regexp_extract("item", rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1), r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", "$1")
+    published = F.try_to_timestamp(F.regexp_replace(F.trim(text("pubDate")), "^[A-Za-z]{3}, *", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    read = item.select("source", "place", clean_text(text("title")).alias("title"), F.coalesce(clean_text(text("link")), F.when(clean_text(text("guid")).startswith("http"), clean_text(text("guid")))).alias("url"), published.alias("published_at"), clean_text(F.regexp_replace(clean_text(text("description")), "<[^>]*>", " ")).alias("summary"))
+    return read.filter("title IS NOT NULL AND url IS NOT NULL")
 
 
 def sitemap(raw: DataFrame, contains: str = "") -> DataFrame:

@@ -57,7 +57,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opportunities with the fields that the contract and the gates read."""
     key = F.col("id")
     texts = lambda values: F.element_at(F.array(*(F.array(*map(F.lit, v)).cast("array<string>") for v in values)), (key % len(values) + 1).cast("int"))
-    suffix = F.when(key % 17 == 0, " grant fund").when(key % 17 == 1, " training course").when(key % 17 == 2, " digest ").otherwise("")
+    suffix = F.when(key % 17 == 0, " award fund").when(key % 17 == 1, " training course").when(key % 17 == 2, " digest ").otherwise("")
     return opportunities(spark, sf_dir).withColumns({
         "title": F.concat("title", suffix), "description": F.when(key % 23 == 0, "For civil society only"), "applicant_types": texts([["SME", "company"], ["NGO"], [], ["startup"]]),
         "countries": F.when(key % 3 == 0, F.array(F.concat(F.lit("NATION_"), (key % 25).cast("string")))).when(key % 3 == 1, F.array(F.lit("EU"))).otherwise(F.array().cast("array<string>")),
