@@ -73,3 +73,24 @@ def shortlist(scored: DataFrame, top: int = 10, least: int = 2500) -> DataFrame:
     """client, rank, id, score of each client's best, ties to the lesser id."""
     rank = F.row_number().over(Window.partitionBy("client").orderBy(F.col("score").desc(), "id"))
     return scored.filter(F.col("score") >= least).withColumn("rank", rank).filter(F.col("rank") <= top)
+
+
+def kinds(df: DataFrame, key: str, same: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows equal in all that is scored are one kind: the kinds (key, the least of its rows' keys, and same), and key, kind for each row."""
+    one = df.groupBy(*same).agg(F.min(key).alias(key))
+    return one, df.select(key, *same).join(one.withColumnRenamed(key, "kind"), same).select(key, "kind")
+
+
+def shortlist_of_kinds(scored: DataFrame, offers: DataFrame, people: DataFrame | None = None, top: int = 10, least: int = 2500) -> DataFrame:
+    """client_key, rank, id, score from scores of kinds (id, client_key, score), with the rows of each kind of opportunities and, if given, of clients.
+
+    A kind can only give its first `top` rows to a list, and only kinds among the first `top` scores of a client can
+    give any; both are cut before kinds become rows.
+    """
+    first = offers.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).filter(F.col("n") <= top).select("kind", "id")
+    good = scored.filter(F.col("score") >= least).withColumn("n", F.rank().over(Window.partitionBy("client_key").orderBy(F.col("score").desc()))).filter(F.col("n") <= top)
+    rows = good.select(F.col("id").alias("kind"), "client_key", "score").join(first, "kind")
+    best = shortlist(rows.withColumn("client", F.col("client_key")), top, least).select("client_key", "rank", "id", "score")
+    if people is None:
+        return best
+    return best.withColumnRenamed("client_key", "kind").join(people, "kind").select("client_key", "rank", "id", "score")

@@ -31,18 +31,33 @@ def _open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.gates(views.opportunities(spark, sf_dir), AS_OF).withColumn("body", F.lower(F.concat_ws(" ", "title", "summary"))).select("id", "topics", "body")
 
 
-def _pairs(spark: SparkSession, sf_dir: str, more: DataFrame | None = None) -> DataFrame:
-    return matching.pairs(_open(spark, sf_dir), views.clients(spark, sf_dir), more).withColumn("keyword", matching.keyword_score(F.col("topics"), F.col("body"), F.col("wanted"), F.col("sector"), F.col("unwanted")))
+def _kinds(spark: SparkSession, sf_dir: str) -> tuple:
+    """Opportunities and clients by kinds, for the keyword score reads topics, text, wishes and sector alone."""
+    offers, offered = matching.kinds(_open(spark, sf_dir), "id", ["topics", "body"])
+    people, clients = matching.kinds(views.clients(spark, sf_dir), "client_key", ["wanted", "unwanted", "sector"])
+    return offers, offered, people, clients
+
+
+def _pairs(offers: DataFrame, people: DataFrame) -> DataFrame:
+    return matching.pairs(offers, people).withColumn("keyword", matching.keyword_score(F.col("topics"), F.col("body"), F.col("wanted"), F.col("sector"), F.col("unwanted")))
+
+
+def _named(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return rows.join(views.clients(spark, sf_dir).select("client_key", "client"), "client_key").select("client", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
 @query(f"WITH {V_OPPS}, {V_CLIENTS}, {V_GATED}, {V_KEYWORD} SELECT client, n AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY score DESC, id) AS n FROM keyword WHERE score >= 2500) WHERE n <= 10")
 def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.shortlist(_pairs(spark, sf_dir).withColumnRenamed("keyword", "score")).select("client", F.col("rank").cast("long").alias("rank"), "id", "score")
+    offers, offered, people, clients = _kinds(spark, sf_dir)
+    return _named(spark, sf_dir, matching.shortlist_of_kinds(_pairs(offers, people).withColumnRenamed("keyword", "score"), offered, clients))
 
 
 @query(f"WITH {V_OPPS}, {V_CLIENTS}, {V_GATED}, {V_KEYWORD} SELECT client, count(*) AS n, sum(score)::BIGINT AS total, max(score) AS best FROM keyword WHERE met GROUP BY client")
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).groupBy("client").agg(F.count("*").alias("n"), F.sum("keyword").cast("long").alias("total"), F.max("keyword").alias("best"))
+    offers, offered, people, clients = _kinds(spark, sf_dir)
+    scored = _pairs(offers, people).join(offered.groupBy(F.col("kind").alias("id")).agg(F.count("*").alias("times")), "id")
+    total = scored.groupBy(F.col("client_key").alias("kind")).agg(F.sum("times").alias("n"), F.sum(F.col("keyword") * F.col("times")).cast("long").alias("total"), F.max("keyword").alias("best"))
+    return total.join(clients, "kind").join(views.clients(spark, sf_dir).select("client_key", "client"), "client_key").select("client", "n", "total", "best")
 
 
 V_HISTORY = """hist AS (SELECT client_key, topics, weight FROM (SELECT o_custkey AS client_key, string_split(p_name, ' ') AS topics, CASE WHEN o_orderstatus = 'F' THEN 120 ELSE 100 END AS weight,
@@ -53,11 +68,13 @@ V_BLEND = """blended AS (SELECT k.client, k.id, floor(k.score * 75 / 100 + coale
 
 @query(f"WITH {V_OPPS}, {V_CLIENTS}, {V_GATED}, {V_KEYWORD}, {V_HISTORY}, {V_BLEND} SELECT client, n AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY score DESC, id) AS n FROM blended WHERE score >= 2500) WHERE n <= 10")
 def shortlist_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opps = _open(spark, sf_dir)
-    best = matching.best_history(opps, views.history(spark, sf_dir))
-    scored = _pairs(spark, sf_dir, matching.by_history(opps, best)).join(best, ["topics", "client_key"], "left")
-    scored = scored.withColumn("score", matching.blend(F.col("keyword"), F.coalesce("history", F.lit(0))))
-    return matching.shortlist(scored).select("client", F.col("rank").cast("long").alias("rank"), "id", "score")
+    """Keyword scores by kinds of clients, histories by client; pairs without a keyword score come in where history alone suffices."""
+    offers, offered, people, clients = _kinds(spark, sf_dir)
+    best = matching.best_history(offers, views.history(spark, sf_dir))
+    worded = _pairs(offers, people).select("id", F.col("client_key").alias("kind"), "keyword").join(clients, "kind").select("id", "client_key", "keyword")
+    either = worded.unionByName(matching.by_history(offers, best).withColumn("keyword", F.lit(0))).groupBy("id", "client_key").agg(F.max("keyword").alias("keyword"))
+    scored = either.join(offers.select("id", "topics"), "id").join(best, ["topics", "client_key"], "left")
+    return _named(spark, sf_dir, matching.shortlist_of_kinds(scored.withColumn("score", matching.blend(F.col("keyword"), F.coalesce("history", F.lit(0)))), offered))
 
 
 @query("SELECT coalesce(status, 'unknown') AS status, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'closed' WHEN p_partkey % 11 <> 0 THEN 'open' END AS status FROM part) GROUP BY 1")
