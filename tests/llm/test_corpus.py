@@ -217,10 +217,37 @@ def plain_scores(rows, floor=0.01):
     return out
 
 
+def spans_and_runs(raw):
+    """The byte spans of a text's stretches and its runs as (hash, first stretch, stretches)."""
+    found = substrings.Stretches([b"before. text\n", raw, b"after"])
+    first, size = found.runs()
+    own = found.text[first] == 1
+    return found.spans(1), list(zip(found.run_key(first, size)[own].tolist(), (first[own] - found.first[1]).tolist(), size[own].tolist(), strict=True))
+
+
+def test_runs_are_the_shortest_ones():
+    """From every stretch, and to every stretch that none of those ends at, by trying all; spans tile the text."""
+    draw = random.Random(1)
+    for _ in range(300):
+        raw = "".join(draw.choice("ab .!?\n\té漢" + "c" * 3) for _ in range(draw.randint(0, 400))).encode() + draw.choice([b"", ("漢字x" * 40 + " ").encode() * 2])
+        spans, got = spans_and_runs(raw)
+        found = substrings.Stretches([raw])
+        words, n, want = found.words.tolist(), len(spans), set()
+        assert b"".join(raw[s:e] for s, e in spans) == raw.lstrip(b" \n\t") and all(0 < k <= 12 for k in words)
+        for i in range(n):
+            want |= {(i, j) for j in range(i + 3, n + 1) if sum(words[i:j]) >= 20 and not (j > i + 3 and sum(words[i : j - 1]) >= 20)}
+        ends = {j for _, j in want}
+        for e in range(min(ends, default=n + 1), n + 1):
+            want |= {(max(i for i in range(e - 2) if sum(words[i:e]) >= 20), e)} if e not in ends else set()
+        assert {(i, i + k) for _, i, k in got} == want
+        plain = lambda i, k: tuple(tuple(raw.lower()[s:e].split()) for s, e in spans[i : i + k])
+        assert len({h for h, _, _ in got}) == len({plain(i, k) for _, i, k in got})
+
+
 def brute_removed(rows):
     seen, gone = {}, collections.defaultdict(set)
     for k, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        for h, i, size in sorted(substrings.runs((t or "").encode())[1], key=lambda r: r[1]):
+        for h, i, size in sorted(spans_and_runs((t or "").encode())[1], key=lambda r: r[1]):
             if seen.setdefault(h, (k, i)) != (k, i):
                 gone[k] |= {*range(i, i + size)}
     return gone
@@ -240,7 +267,7 @@ def test_repeated_spans_go_but_for_the_first(spark, words):
     for k, t in rows:
         if k is None:
             continue
-        spans = substrings.runs((t or "").encode())[0]
+        spans = spans_and_runs((t or "").encode())[0]
         raw = (t or "").encode()
         want = "".join(chr(b) for b in b"".join([raw[: spans[0][0] if spans else 0], *(raw[s:e] for n, (s, e) in enumerate(spans) if n not in gone[k])]))
         assert (got[k] or "") == want
@@ -260,7 +287,7 @@ def test_passages_pasted_mid_sentence_are_found(words, shift):
     for _ in range(10):
         passage, signs = plain(90), letters(300)
         for a, b, part in ((f"{plain(30)} {passage} {plain(9)}.", f"{plain(30 + shift)} {passage} {plain(20)}", passage), (letters(40) + signs, letters(40 + shift) + signs + letters(9), signs)):
-            seen, (spans, found) = {h for h, _, _ in substrings.runs(a.encode())[1]}, substrings.runs(b.encode())
+            seen, (spans, found) = {h for h, _, _ in spans_and_runs(a.encode())[1]}, spans_and_runs(b.encode())
             gone = {s for h, i, k in found if h in seen for s in range(i, i + k)}
             cut = sum(spans[s][1] - spans[s][0] for s in gone)
             assert len(part.encode()) * 0.5 < cut <= len(part.encode()) + 40
@@ -382,7 +409,7 @@ def test_pipeline_against_plain_stages(spark, words, tmp_path):
     gone, want = brute_removed(kept), collections.Counter()
     for k, t in kept:
         raw = (t or "").encode()
-        spans = substrings.runs(raw)[0] if k in gone else []
+        spans = spans_and_runs(raw)[0] if k in gone else []
         want[k, None if t is None else b"".join([raw[: spans[0][0]] if spans else raw, *(raw[s:e] for n, (s, e) in enumerate(spans) if n not in gone[k])]).decode()] += 1
     assert plain(cut) == want and sum(passage in (t or "") for _, t in want) == 1
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, batch_of, ragged, saved
+from tidemark.llm.common import arrow, batch_of, by_bytes, ragged, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SPACE = re.compile(rb"\s")
@@ -125,18 +125,6 @@ def _gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
     return values[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-def _by_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """doc_id and text of slices with at most so many bytes of text, or of one row; null texts as empty."""
-    for b in batches:
-        texts = pc.fill_null(b.column("text").cast(pa.large_string()), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy())
-        at = 0
-        while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-            yield b.column("doc_id").slice(at, to - at), texts.slice(at, to - at)
-            at = to
-
-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -153,15 +141,15 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
-        for docs, texts in _by_bytes(batches, words.most_bytes):
-            ids, n = words.encode(texts)
+        for b in by_bytes(batches, words.most_bytes):
+            ids, n = words.encode(pc.fill_null(b.column("text").cast(pa.large_string()), ""))
             ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
             k = -(-n // size)
             piece = ragged(k)
             length = np.minimum(size, np.repeat(n, k) - piece * size)
             ends, raw = (4 * np.cumsum(length)).tolist(), memoryview(ids.tobytes())
             sums = [zlib.crc32(raw[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-            yield batch_of(schema, docs.take(pa.array(np.repeat(np.arange(len(n)), k))), piece.astype("i4"), piece * size, length, sums)
+            yield batch_of(schema, b.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), k))), piece.astype("i4"), piece * size, length, sums)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 

@@ -19,103 +19,153 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Marks, arrow, chunks, saved, text_bytes, unused
+from tidemark.llm.common import Marks, arrow, batch_of, by_bytes, ragged, saved, text_bytes, unused
 
-#: Words that end with the first one that ends a sentence or a line, and the white space after.
-_SENTENCE = re.compile(rb"(?:\S*[^\s.!?][^\S\n]+)*\S+\s*")
-_WORD, _LETTER = re.compile(rb"\S+\s*"), re.compile(rb"(?s)[^\x80-\xbf][\x80-\xbf]*\s*|.")
+_LETTER = re.compile(rb"(?s)[^\x80-\xbf][\x80-\xbf]*\s*|.")
+_SPACE, _STOP = (np.array([chr(b) in chars for b in range(256)]) for chars in (" \t\n\r\v\f", ".!?"))
 #: Words, and characters, of a stretch at most, and how far its last one is compared.
 MOST_WORDS, NEAR_WORDS, MOST_LETTERS, NEAR_LETTERS = 12, 3, 32, 8
 LONG_WORD = 64
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes of text that a task's Python holds as arrays at once, but for longer texts.
+AT_ONCE = 1 << 21
 RUNS = "hash long, doc_id long, place int, size int"
 REMOVED, COUNTED = "__removed", "__sentences"
 
 
-def _borders(hashes: list[int], near: int, most: int) -> list[int]:
-    """The places after which a row of units is cut: at the least of the hashes around (the first of equal ones), or after `most`."""
-    out, last, n = [], 0, len(hashes)
-    for i in range(n - 1):
-        if i + 1 - last == most or (near <= i < n - near and hashes[i] == min(hashes[i - near : i + near + 1]) and hashes[i] not in hashes[i - near : i]):
-            out.append(i + 1)
-            last = i + 1
+def _least_around(hashes: np.ndarray, near: int) -> np.ndarray:
+    """Whether a unit's hash is the least of the `near` before and after it, the first of equal ones; false near both ends."""
+    out = np.zeros(len(hashes), bool)
+    if len(hashes) > 2 * near:
+        own = hashes[near : len(hashes) - near]
+        least = np.ones(len(own), bool)
+        for k in range(1, near + 1):
+            least &= (own < hashes[near - k : len(hashes) - near - k]) & (own <= hashes[near + k : len(hashes) - near + k])
+        out[near : len(hashes) - near] = least
     return out
 
 
-def _cut(text: bytes, spans: list[tuple[int, int]], near: int, most: int, units: int) -> Iterator[tuple[int, int, int]]:
-    """Start, end and number of units of the stretches of a row of spans; a unit's hash is that of the last `units` spans."""
-    at = [s for s, _ in spans] + [spans[-1][1]]
-    hashes = [zlib.crc32(text[at[max(0, i + 1 - units)] : at[i + 1]].strip()) for i in range(len(spans))]
-    cuts = [0, *_borders(hashes, near, most), len(spans)]
-    return ((at[i], at[j], j - i) for i, j in zip(cuts, cuts[1:], strict=False))
-
-
-def stretches(text: bytes) -> Iterator[tuple[int, int, int]]:
-    """Start, end and number of words of a text's sentences, and of the stretches of long ones."""
-    for m in _SENTENCE.finditer(text):
-        words = m[0].split()
-        long = len(m[0]) > LONG_WORD and max(map(len, words)) > LONG_WORD
-        if len(words) <= MOST_WORDS and not long:
-            yield m.start(), m.end(), len(words)
-            continue
-        row: list[tuple[int, int]] = []
-        for w in [*_WORD.finditer(text, m.start(), m.end()), None]:
-            if w and (not long or len(w[0].rstrip()) <= LONG_WORD):
-                row.append(w.span())
-                continue
-            if row:
-                yield from _cut(text, row, NEAR_WORDS, MOST_WORDS, 1) if len(row) > MOST_WORDS else [(row[0][0], row[-1][1], len(row))]
-                row = []
-            if w:
-                letters = [x.span() for x in _LETTER.finditer(text, *w.span())]
-                yield from ((s, e, -(-k // 4)) for s, e, k in _cut(text, letters, NEAR_LETTERS, MOST_LETTERS, 3))
-
-
-def runs(text: bytes, least_sentences: int = 3, least_words: int = 20) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """The sentences' byte spans, and the runs as (hash, first sentence, sentences)."""
-    spans, keys, words = [], [], [0]
-    text = text.lower()
-    for start, end, k in stretches(text):
-        spans.append((start, end))
-        keys.append(b" ".join(text[start:end].split()))
-        words.append(words[-1] + k)
-    n, out, ends = len(keys), [], set()
-    j = 0
-    for i in range(n):
-        j = max(j, i + least_sentences)
-        while j <= n and words[j] - words[i] < least_words:
-            j += 1
-        if j > n:
-            break
-        out.append((i, j))
-        ends.add(j)
-    if out:
-        for e in range(out[0][1], n + 1):
-            if e not in ends:
-                i = e - least_sentences
-                while words[e] - words[i] < least_words:
-                    i -= 1
-                out.append((i, e))
-    return spans, [(xxhash.xxh3_64_intdigest(b"\n".join(keys[i:j])) - 2**63, i, j - i) for i, j in out]
+def _at_most(borders: np.ndarray, most: int) -> np.ndarray:
+    """The borders, with more of them where two are further apart than `most`."""
+    gaps = np.diff(borders)
+    n = -(-gaps // most)
+    return np.append(np.repeat(borders[:-1], n) + most * ragged(n), borders[-1])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _row_hashes(values: np.ndarray, starts: np.ndarray, size: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each row values[start : start + size], of one value or more."""
+    powers = np.cumprod(np.full(int(size.max(initial=1)), _BASE, "u8"), dtype="u8")
+    out = np.zeros(len(starts), "u8")
+    for k in range(0, len(starts), at_once):
+        own = size[k : k + at_once]
+        place = ragged(own)
+        terms = (values[np.repeat(starts[k : k + at_once], own) + place].astype("u8") + np.uint64(1)) * powers[place]
+        out[k : k + at_once] = _mixed(np.add.reduceat(terms, np.cumsum(own) - own))
+    return out
+
+
+class Stretches:
+    """The sentences of texts, and the stretches of long ones, as arrays: start and end in the joined texts, number of words, key and text.
+
+    A sentence ends with the first word that ends in a full stop or that a line break follows. Keys are 64-bit
+    hashes of the stretches' words in lower case. The stretches of text k are those from first[k] to first[k + 1].
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.joined = b"".join([t + b"\n" for t in texts]).lower()
+        self.origin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        raw = np.frombuffer(self.joined, "u1")
+        edge = np.diff(np.concatenate([[True], _SPACE[raw]]).astype("i1"))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        n = len(starts)
+        size, long = ends - starts, ends - starts > LONG_WORD
+        lines = np.flatnonzero(raw == 10)
+        over = _STOP[raw[ends - 1]]
+        over[:-1] |= np.searchsorted(lines, ends[:-1]) < np.searchsorted(lines, starts[1:])
+        borders = np.zeros(n + 1, bool)
+        borders[[0, n]] = True
+        borders[1:] |= over
+        borders[:-1] |= long
+        borders[1:] |= long
+        borders = np.flatnonzero(borders)
+        hashes = _row_hashes(raw, starts, np.minimum(size, LONG_WORD))
+        words = np.diff(borders)
+        least = np.flatnonzero(_least_around(hashes, NEAR_WORDS))
+        part = np.searchsorted(borders, least, side="right") - 1
+        inside = (words[part] > MOST_WORDS) & (least - borders[part] >= NEAR_WORDS) & (borders[part + 1] - least > NEAR_WORDS)
+        borders = _at_most(np.union1d(borders, least[inside] + 1), MOST_WORDS)
+        words = np.diff(borders)
+        start = starts[borders[:-1]]
+        text = np.searchsorted(self.origin, start, side="right") - 1
+        end = np.minimum(np.append(start[1:], len(raw)), self.origin[text + 1] - 1)
+        key = _row_hashes(hashes, borders[:-1], words)
+        if long.any():
+            k = np.searchsorted(borders, np.flatnonzero(long))
+            pieces = [(s, e, w, xxhash.xxh3_64_intdigest(b" ".join(self.joined[s:e].split())), t) for j in k.tolist() for (s, e, w), t in ((x, text[j]) for x in self._letters(int(start[j]), int(end[j])))]
+            rest = np.ones(len(start), bool)
+            rest[k] = False
+            start, end, words, key, text = (np.concatenate([old[rest], np.array(new, old.dtype)]) for old, new in zip((start, end, words, key, text), zip(*pieces, strict=True), strict=True))
+            order = np.argsort(start, kind="stable")
+            start, end, words, key, text = (x[order] for x in (start, end, words, key, text))
+        self.start, self.end, self.words, self.key, self.text = start, end, words, key, text
+        self.first = np.searchsorted(text, np.arange(len(texts) + 1))
+
+    def _letters(self, start: int, end: int) -> list[tuple[int, int, int]]:
+        """A long word in stretches of characters, of which four count as a word; a character is hashed with the two before it."""
+        at = np.array([m.start() for m in _LETTER.finditer(self.joined, start, end)] + [end])
+        hashes = np.array([zlib.crc32(self.joined[at[max(0, i - 2)] : at[i + 1]].strip()) for i in range(len(at) - 1)])
+        cuts = _at_most(np.concatenate([[0], np.flatnonzero(_least_around(hashes, NEAR_LETTERS)) + 1, [len(hashes)]]), MOST_LETTERS)
+        return [(int(at[i]), int(at[j]), -(-int(j - i) // 4)) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def spans(self, k: int) -> list[tuple[int, int]]:
+        """The byte spans of the stretches of text k, in that text."""
+        own, origin = slice(self.first[k], self.first[k + 1]), self.origin[k]
+        return list(zip((self.start[own] - origin).tolist(), (self.end[own] - origin).tolist(), strict=True))
+
+    def run_key(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The hashes of runs of stretches, as signed numbers."""
+        return _row_hashes(self.key, first, size).view("i8")
+
+    def runs(self, least_sentences: int = 3, least_words: int = 20) -> tuple[np.ndarray, np.ndarray]:
+        """First stretch and length of the shortest run from each stretch, and of that to each stretch where none of those ends."""
+        n = len(self.start)
+        if not n:
+            return np.zeros(0, "i8"), np.zeros(0, "i8")
+        words = np.concatenate([[0], np.cumsum(self.words)])
+        at, last = np.arange(n), self.first[self.text + 1]
+        to = np.maximum(at + least_sentences, np.searchsorted(words, words[:-1] + least_words))
+        whole = to <= last
+        ends = np.zeros(n + 1, bool)
+        ends[to[whole]] = True
+        earliest = to[self.first[self.text]]  # where the first run of a stretch's text ends; a run that would leave the text is later than all its stretches
+        others = np.flatnonzero((earliest <= at + 1) & ~ends[1:]) + 1
+        since = np.minimum(others - least_sentences, np.searchsorted(words, words[others] - least_words, side="right") - 1)
+        first, to = np.concatenate([at[whole], since]), np.concatenate([to[whole], others])
+        return first, to - first
 
 
 def all_runs(docs: DataFrame) -> DataFrame:
     schema = arrow(RUNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            hashes, ids, places, sizes = [], [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
-                found = runs(text)[1]
-                hashes += [h for h, _, _ in found]
-                places += [i for _, i, _ in found]
-                sizes += [k for _, _, k in found]
-                ids += [doc] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((hashes, ids, places, sizes), schema, strict=True)], schema=schema)
+        for b in by_bytes(batches, AT_ONCE):
+            found = Stretches(text_bytes(b))
+            first, size = found.runs()
+            text = found.text[first]
+            ids = b.column("doc_id").cast(pa.int64()).take(pa.array(text))
+            yield batch_of(schema, found.run_key(first, size), ids, (first - found.first[text]).astype("i4"), size.astype("i4"))
 
     return docs.select("doc_id", "text").mapInArrow(run, RUNS)
 
@@ -153,23 +203,25 @@ def remove_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
     schema = joined.select(*docs.columns, F.lit(0).cast("int").alias(counted), F.lit(0).cast("int").alias(removed_)).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            texts, n, removed = b.column("text").to_pylist(), [], []
-            for k, (raw, gone) in enumerate(zip(text_bytes(b), b.column(gone_).to_pylist(), strict=True)):
+        for b in by_bytes(batches, AT_ONCE):
+            texts, raw = b.column("text").to_pylist(), text_bytes(b)
+            found = Stretches(raw)
+            n, removed = np.diff(found.first).astype("i4"), np.zeros(len(texts), "i4")
+            for k, gone in enumerate(b.column(gone_).to_pylist()):
                 if not gone:
-                    n.append(sum(1 for _ in stretches(raw.lower())) if counts else 0)
-                    removed.append(0)
                     continue
-                spans, found = runs(raw)
-                drop = {(g["hash"], g["place"], g["size"]) for g in gone}
-                bad = {s for h, i, size in found if (h, i, size) in drop for s in range(i, i + size)}
-                out, at = [], 0
-                for s in sorted(bad):
-                    out.append(raw[at : spans[s][0]])
+                first, size = np.array([g["place"] for g in gone]), np.array([g["size"] for g in gone])
+                # a row that shares its id with others may lack the run
+                inside = first + size <= n[k]
+                first, size, keys = first[inside], size[inside], np.array([g["hash"] for g in gone])[inside]
+                same = found.run_key(found.first[k] + first, size) == keys
+                bad = np.unique(np.repeat(first[same], size[same]) + ragged(size[same])).tolist()
+                spans, out, at = found.spans(k), [], 0
+                for s in bad:
+                    out.append(raw[k][at : spans[s][0]])
                     at = spans[s][1]
-                texts[k] = b"".join([*out, raw[at:]]).decode()
-                n.append(len(spans))
-                removed.append(len(bad))
+                texts[k] = b"".join([*out, raw[k][at:]]).decode()
+                removed[k] = len(bad)
             columns = [pa.array(texts, pa.string()) if f.name == "text" else b.column(f.name) for f in schema if f.name not in (counted, removed_)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(removed, pa.int32())], names=schema.names)
 
