@@ -14,7 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch between Spark and a task's Python, where the session has Spark's own 10,000: texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """A batch of whole texts is held four times (on both sides, in and out), so its size decides over an executor's memory beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +55,7 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -96,6 +109,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], most: int, column: str = "text")
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
             yield b.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker serves other tasks after this one
 
 
 class Marks:

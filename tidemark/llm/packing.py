@@ -13,6 +13,7 @@ table gives no rows; other columns of the input are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -44,7 +45,7 @@ class WordEncoder:
     PLAIN = "^[\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+$"
     LINE = 1000
 
-    def __init__(self, path: str, remember: int = 400_000, most_bytes: int = 1 << 22):
+    def __init__(self, path: str, remember: int = 200_000, most_bytes: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.remember, self.most_bytes = remember, most_bytes
@@ -131,6 +132,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """One a worker process, as its memory of words serves all its tasks."""
     if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already, and each thread would hold memory
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Marks, arrow, chunks, fold, saved, text_bytes
+from tidemark.llm.common import Marks, arrow, chunks, fold, marked, saved, text_bytes
 
 _KINDS = ("letters", "upper", "digits", "marks", "ends", "signs", "bars", "spaces", "lines", "other")
 
@@ -71,14 +71,19 @@ _ODD = (_MASKS[:, [_KINDS.index(k) for k in ("signs", "bars", "ends")]].sum(1) >
 FEATURES = "doc_id long, features array<float>"
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, only: Marks | None = None) -> DataFrame:
+    """The statistics of all documents, or of those whose ids `only` lets pass."""
     schema = arrow(FEATURES)
+    held = only and only.table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
+            if held:
+                b = b.filter(pa.array(marked(held.value, b.column("place").to_numpy())))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([np.array(statistics(t), "f4") for t in text_bytes(b)], schema.field(1).type)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
+    place = [] if only is None else [only.place("doc_id").alias("place")]
+    return docs.select("doc_id", "text", *place).mapInArrow(run, FEATURES)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -162,7 +167,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     scores are then worked out beside the texts, which need no shuffle.
     """
     known = labels.filter(F.col("quality").cast("int").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"))
-    model = fit(features(docs.filter(Marks(known, "doc_id").may_have("doc_id"))), labels)
+    model = fit(saved(features(docs, Marks(known, "doc_id")), "quality"), labels)  # written, so that no task needs two workers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Marks, arrow, batch_of, by_bytes, ragged, saved, text_bytes, unused
+from tidemark.llm.common import Marks, arrow, batch_of, by_bytes, marked, ragged, saved, text_bytes, unused
 
 _LETTER = re.compile(rb"(?s)[^\x80-\xbf][\x80-\xbf]*\s*|.")
 _SPACE, _STOP = (np.array([chr(b) in chars for b in range(256)]) for chars in (" \t\n\r\v\f", ".!?"))
@@ -34,7 +34,7 @@ MOST_WORDS, NEAR_WORDS, MOST_LETTERS, NEAR_LETTERS = 12, 3, 32, 8
 LONG_WORD = 64
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that a task's Python holds as arrays at once, but for longer texts.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 RUNS = "hash long, doc_id long, place int, size int"
 REMOVED, COUNTED = "__removed", "__sentences"
 
@@ -64,7 +64,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _row_hashes(values: np.ndarray, starts: np.ndarray, size: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+def _row_hashes(values: np.ndarray, starts: np.ndarray, size: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
     """A 64-bit hash of each row values[start : start + size], of one value or more."""
     powers = np.cumprod(np.full(int(size.max(initial=1)), _BASE, "u8"), dtype="u8")
     out = np.zeros(len(starts), "u8")
@@ -194,16 +194,20 @@ def remove_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
 
     Documents that certainly lose nothing pass by the join.
     """
-    gone_, counted, removed_ = unused(docs, "__gone", COUNTED, REMOVED)
+    gone_, place_, counted, removed_ = unused(docs, "__gone", "__place", COUNTED, REMOVED)
     gone = repeats(docs).groupBy("doc_id").agg(F.collect_set(F.struct("hash", "place", "size")).alias(gone_))
     gone = saved(gone.filter("doc_id is not null"), "repeats")
-    may_lose = Marks(gone, "doc_id").may_have("doc_id")
-    rest = docs.filter(~may_lose).withColumn(gone_, F.lit(None).cast(gone.schema[gone_].dataType))
-    joined = docs.filter(may_lose).join(gone, "doc_id", "left").select(*docs.columns, gone_).unionByName(rest)
+    marks = Marks(gone, "doc_id")
+    held = marks.table
+    # all documents, of which the tasks leave out those that may lose something and come by the join
+    rest = docs.withColumns({gone_: F.lit(None).cast(gone.schema[gone_].dataType), place_: marks.place("doc_id")})
+    joined = docs.filter(marks.may_have("doc_id")).join(gone, "doc_id", "left").select(*docs.columns, gone_, F.lit(-1).cast("long").alias(place_)).unionByName(rest)
     schema = joined.select(*docs.columns, F.lit(0).cast("int").alias(counted), F.lit(0).cast("int").alias(removed_)).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, AT_ONCE):
+            place = b.column(place_).to_numpy()
+            b = b.filter(pa.array((place < 0) | ~marked(held.value, np.maximum(place, 0))))
             texts, raw = b.column("text").to_pylist(), text_bytes(b)
             found = Stretches(raw)
             n, removed = np.diff(found.first).astype("i4"), np.zeros(len(texts), "i4")
