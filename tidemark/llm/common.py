@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch between Spark and a task's Python, where the session has Spark's own 10,000: texts are long.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch between Spark and a task's Python, where the session has Spark's own 64 MB.
+BATCH_BYTES = 3 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """A batch of whole texts is held four times (on both sides, in and out), so its size decides over an executor's memory beside the heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
