@@ -93,6 +93,13 @@ def clean_amount_text(c: Column) -> Column:
     return F.when(~F.coalesce(budget | year, F.lit(False)), F.left(plain, F.lit(300)))
 
 
+def funding_text(least: Column, most: Column, money: Column) -> Column:
+    """Like `EUR 15 000 - 25 000`: figures in groups of three; one where both are equal or one is null; null where both are."""
+    shown = lambda c: F.replace(F.call_function("format_number", c, F.lit("#,##0.##")), F.lit(","), F.lit(" "))
+    sums = F.when(least != most, F.concat(shown(least), F.lit(" - "), shown(most))).otherwise(shown(F.coalesce(most, least)))
+    return F.when(sums.isNotNull(), F.concat_ws(" ", money, sums))
+
+
 def currency_sign(c: Column) -> Column:
     """The currency of a lower-case text, by the first kind of sign that it holds."""
     return F.coalesce(*(F.when(F.regexp_like(c, F.lit(f"(?u){pattern}")), code) for code, pattern in rules.CURRENCY_SIGNS))

@@ -198,3 +198,22 @@ STATUS_CHECK, COUNTRY_CHECK, TYPE_CHECK, RESTRICTION_CHECK = "grant status is un
 APPLICATION_TITLE, APPLICATION_SOURCE = "Grant title", "Grant source"
 # Words that keep a parenthesis of a title from naming a funder.
 NOT_FUNDER_WORDS = ["grant", "грант", "202", "до "]
+
+# Labels of a service's attributes, marks of its kind in order, terms without an end, and locales in order.
+SERVICE_LABELS = {
+    "term": ["finalProgramTerm", "Кінцевий строк дії програми"], "amount": ["grantAmount", "Сума"], "money": ["currency", "Валюта"],
+    "place": ["Область", "Регіон", "Географія"], "eligibility": ["umoviuchasti", "Умови участі"],
+}
+SERVICE_SUPPORT = [("грант", "grant"), ("кредит", "loan"), ("гарант", "guarantee"), ("лізинг", "leasing"), ("leasing", "leasing"), ("факторинг", "factoring"), ("тендер", "tender_support")]
+LASTING_TERMS = ["постій", "безстрок"]
+LOCALES = ["ua", "uk", "en"]
+
+# Class names, attributes and prefixes of result cards, and endings of documents.
+CARD = {
+    "card": "result-item-wrapper", "id": "js-result-id", "link": "grant-url", "summary": "description", "sponsor": "sponsor", "sponsor_path": "/sponsor/detail/",
+    "dates": "deadline-tables", "passed": "deadline-passed", "deadline": "deadline-value", "amount": "amount", "title_prefix": "Grant Title:", "amount_prefix": "funding amount:",
+}
+DOCUMENT_ENDINGS = ["pdf", "doc", "docx", "xls", "xlsx", "zip"]
+
+# What a record is before its text is read again, by source; "" stands for all others.
+RECOMPUTED_TYPES = {"diia-business": ("business_support", "finance_programme"), "": ("grant", "grant")}

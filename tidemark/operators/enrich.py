@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import extraction as x
 from tidemark.functions import rules
 from tidemark.functions.text import clean_text, currency, merge_lists, snippet, summary
+from tidemark.operators.change import latest
 from tidemark.operators.reports import counted
 
 #: Columns of a record and their types; a table may lack any but `text`.
@@ -98,3 +99,21 @@ def enrich(records: DataFrame, as_of: str, seen: Observation | None = None) -> D
     """
     done = complete(records).transform(read_fields, as_of).transform(normalise, as_of).transform(judge)
     return counted(done, seen, F.count_if(F.size("changed_fields") > 0).alias("changed"), F.count_if("needs_manual_review").alias("to_review"))
+
+
+#: What recompute reads again from the text; title, status, programme and funder stay as they are.
+RECOMPUTED = ["summary", "deadline", "deadline_text", "amount_min", "amount_max", "amount_text", "currency", "geography_text", "countries", "regions", "eligibility", "applicant_types", "topics", "keywords", "restrictions", "cofinancing", "consortium", "needs_manual_review", "review_reason"]
+
+
+def recompute(records: DataFrame, snapshots: DataFrame, as_of: str, seen: Observation | None = None) -> DataFrame:
+    """Records as their latest snapshot (id, text, fetched_at) gives them: RECOMPUTED fields are emptied first, then read.
+
+    A record without a snapshot, or whose latest has no text, keeps its own text. Ties in time go to the greater text.
+    """
+    newest = latest(snapshots.filter("id IS NOT NULL"), ["id"], [F.desc_nulls_last("fetched_at"), F.desc_nulls_last("text")])
+    df = records.join(newest.select("id", F.col("text").alias("__snapshot")), "id", "left")
+    df = df.withColumn("text", F.coalesce("__snapshot", "text")).drop("__snapshot", *RECOMPUTED)
+    start = F.create_map(*[v for k, kinds in rules.RECOMPUTED_TYPES.items() for v in (F.lit(k), F.struct(*(F.lit(c).alias(n) for c, n in zip(kinds, ("opportunity", "support"), strict=True))))])
+    source = F.coalesce("source", F.lit("")) if "source" in records.columns else F.lit("")
+    kinds = F.coalesce(F.try_element_at(start, source), F.try_element_at(start, F.lit("")))
+    return enrich(df.withColumns({"opportunity_type": kinds["opportunity"], "support_type": kinds["support"]}), as_of, seen)

@@ -9,7 +9,7 @@ from tidemark.functions import rules, text
 from tidemark.operators import change, classification, dedup, embedding, matching, quality, reports
 from tidemark.plans import list_queries, record_queries  # noqa: F401
 from tidemark.plans.base import AS_OF, ORACLE_SQL, QUERIES, query  # noqa: F401
-from tidemark.sources import files, views
+from tidemark.sources import files, listings, views
 
 V_OPPS = """opps AS (SELECT p_partkey AS id, p_name AS title, string_split(p_name, ' ') AS topics, p_brand AS funder, lower(p_type) AS support_type,
   p_retailprice::DECIMAL(14,2) AS amount_max, DATE '1998-01-01' + p_size::INT AS deadline, 'src' || (p_partkey % 5) AS source,
@@ -219,6 +219,19 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "pages").select("page_id", page).select("page_id", "p.title", "p.heading", F.char_length("p.text").alias("n_chars"), F.sha2("p.text", 256).alias("text_sha256"), F.size("p.links").alias("n_links"))
 
 
+@query()
+def page_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drafts = listings.page_drafts(views.table(spark, sf_dir, "pages"), "2026-06-01")
+    return drafts.select("page_id", "title", "summary", F.sha2("text", 256).alias("text_sha256"), "deadline", "deadline_text", "amount_text", "status", F.size("documents").alias("n_documents"))
+
+
+@query()
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = files.read_pages(F.col("html"), F.col("url"))
+    links = views.table(spark, sf_dir, "pages").select("page_id", F.explode(page["links"]).alias("k")).select("page_id", "k.*")
+    return listings.filtered_links(links, "/", keys=["page_id"])
+
+
 @query(r"SELECT doc_id AS id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(text, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+', ' ', 'g')), '') AS text FROM documents".replace('\\"', '"'))
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.clean_text(F.col("text")).alias("text"))

@@ -76,10 +76,11 @@ class _Page(HTMLParser):
     """Text outside scripts and styles, the title and first heading, links and meta tags of one page."""
 
     SILENT = {"script", "style", "template"}
+    REGIONS = ("article", "main", "body")
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.texts, self.links, self.metas, self.open, self.heads = [], [], {}, [], {}
+        self.texts, self.links, self.metas, self.open, self.heads, self.regions = [], [], {}, [], {}, {}
 
     def handle_starttag(self, tag, attrs):
         values = dict(attrs)
@@ -87,13 +88,17 @@ class _Page(HTMLParser):
             self.links.append([values["href"], []])
         if tag == "meta" and (name := values.get("property") or values.get("name")):
             self.metas.setdefault(name, values.get("content") or "")
+        if tag in self.REGIONS:
+            self.regions.setdefault(tag, [len(self.texts), None])
         if tag not in ("meta", "br", "img", "link", "input", "hr"):
             self.open.append(tag)
 
     def handle_endtag(self, tag):
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
+        closed = None
+        while closed != tag and tag in self.open:
+            closed = self.open.pop()
+            if closed not in self.open and self.regions.get(closed, [0, 0])[1] is None:
+                self.regions[closed][1] = len(self.texts)
 
     def handle_data(self, data):
         if self.SILENT & {*self.open}:
@@ -106,12 +111,20 @@ class _Page(HTMLParser):
         if "a" in self.open and self.links:
             self.links[-1][1].append(data)
 
+    def main(self):
+        """The text of the first article, else main, else body that has any, else all with the title."""
+        for tag in self.REGIONS:
+            first, last = self.regions.get(tag, (0, 0))
+            if text := " ".join(" ".join(self.texts[first:last]).split()):
+                return text
+        return " ".join(" ".join([self.heads.get("title", ""), *self.texts]).split())
 
-PAGE = "title string, heading string, text string, links array<struct<place:int,url:string,title:string>>, metas map<string,string>"
+
+PAGE = "title string, heading string, subheading string, text string, main string, links array<struct<place:int,url:string,title:string>>, metas map<string,string>"
 
 
 def read_pages(html: Column, url: Column) -> Column:
-    """title, heading, text, links (absolute) and metas of pages, in one pass each."""
+    """title, first and second heading, text, main text, links (absolute) and metas of pages, in one pass each."""
 
     @F.pandas_udf(PAGE)
     def run(bodies: pd.Series, addresses: pd.Series) -> pd.DataFrame:
@@ -119,14 +132,15 @@ def read_pages(html: Column, url: Column) -> Column:
         for body, address in zip(bodies, addresses, strict=True):
             page = _Page()
             page.feed(body or "")
-            links = [{"place": k, "url": _joined(address, href), "title": " ".join("".join(t).split())} for k, (href, t) in enumerate(page.links)]
-            rows.append((" ".join(page.heads.get("title", "").split()), " ".join(page.heads.get("h1", "").split()), " ".join(" ".join(page.texts).split()), links, page.metas))
-        return pd.DataFrame(rows, columns=["title", "heading", "text", "links", "metas"])
+            links = [{"place": k, "url": joined(address, href), "title": " ".join("".join(t).split())} for k, (href, t) in enumerate(page.links)]
+            heads = [" ".join(page.heads.get(tag, "").split()) for tag in ("title", "h1", "h2")]
+            rows.append((*heads, " ".join(" ".join(page.texts).split()), page.main(), links, page.metas))
+        return pd.DataFrame(rows, columns=["title", "heading", "subheading", "text", "main", "links", "metas"])
 
     return run(html, url)
 
 
-def _joined(base: str | None, href: str) -> str:
+def joined(base: str | None, href: str) -> str:
     try:
         return urljoin(base or "", href)
     except ValueError:
