@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, fingerprints, lattice, near_duplicates, packing, quality, substrings, token_counts, toxicity
+from tidemark.llm import chat, codes, decontamination, fingerprints, lattice, lexical, near_duplicates, packing, quality, sentence_pieces, substrings, token_counts, toxicity
 from tidemark.llm.common import table
 
 
@@ -60,6 +60,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sentence_pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -78,6 +93,21 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+i AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id), total GROUP BY item_id, doc_id
+), r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_best_fit_packing, op4_benchmark_decontamination, op5_token_counts, op6_toxicity, op7_document_fingerprints, op8_chat_formatting, op9_substring_dedup, op10_ngram_jaccard_join)}
-ORACLE_SQL = {"op8_chat_formatting": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_best_fit_packing, op4_benchmark_decontamination, op5_token_counts, op6_toxicity, op7_document_fingerprints, op8_chat_formatting, op9_substring_dedup, op10_ngram_jaccard_join, op11_ranked_lexical_search, op12_vector_code_compression, op13_sentencepiece)}
+ORACLE_SQL = {"op8_chat_formatting": OP8_SQL, "op11_ranked_lexical_search": OP11_SQL}
