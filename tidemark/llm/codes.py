@@ -208,7 +208,7 @@ def blocks(vectors: DataFrame, width: int, parts: int, size: int = 4096) -> Data
 def _parts_of(b: pa.RecordBatch, width: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
     """For each block its row, vectors, and by part (distinct values in tree order, their counts, which one each vector has)."""
     for r in range(b.num_rows):
-        x = np.frombuffer(b.column("vectors")[r].as_py(), "i4").astype("i8").reshape(-1, width)
+        x = np.frombuffer(b.column("vectors")[r].as_py(), "i4").astype("i8").reshape(len(b.column("ids")[r]), width)
         firsts, inverses = (np.frombuffer(b.column(c)[r].as_py(), "i4") for c in ("first", "inverse"))
         ends, out = np.cumsum(b.column("n_distinct")[r].as_py()), []
         for p, (s, e) in enumerate(cuts):
@@ -259,7 +259,8 @@ def compress(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int
         return vectors.sparkSession.createDataFrame([], columns), Codebooks([])
     width = len(head[0]["vector"])
     cuts = borders(width, parts)
-    seeds = np.array([r["vector"] for r in whole.filter(F.size("vector") == width).orderBy(*order).limit(entries).collect()], "i8").reshape(-1, width)
+    first = whole.filter(F.size("vector") == width).orderBy(*order).limit(entries).collect()
+    seeds = np.array([r["vector"] for r in first], "i8").reshape(len(first), width)
     books = Codebooks([seeds[:, s:e] for s, e in cuts])
     held = saved(blocks(whole, width, parts), "vector-blocks")
     for _ in range(rounds):
