@@ -217,3 +217,21 @@ DOCUMENT_ENDINGS = ["pdf", "doc", "docx", "xls", "xlsx", "zip"]
 
 # What a record is before its text is read again, by source; "" stands for all others.
 RECOMPUTED_TYPES = {"diia-business": ("business_support", "finance_programme"), "": ("grant", "grant")}
+
+# Dates and budgets in payloads, and the words of their evidence.
+PAYLOAD_DATES = r"\b20\d{2}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b"
+PAYLOAD_DEADLINES = "payload deadline dates: "
+BUDGET_KEYS = ["budgetTopicActionMap", "maxContribution"]
+
+# Sources that state amounts and currencies as named attributes, and these names; sources with programmes in their metadata.
+ATTRIBUTE_SOURCES = ["diia-business"]
+AMOUNT_ATTRIBUTES = ["grantamount", "сума"]
+CURRENCY_ATTRIBUTES = ["currency", "валюта"]
+PROGRAM_SOURCES = ["eu-funding"]
+PROGRAM_KEYS = ["frameworkProgramme", "programme"]
+
+# Words of a programme that has ended or goes on without a deadline, kinds of support that go on, and where they stand.
+ENDED_WORDS = ["архів", "прийом заявок завершено", "прийом заявок закрито", "програма завершена", "програма закрита", "неактивна програма"]
+LASTING_WORDS = ["постійно", "безстрок", "до припинення", "діє програма", "подати заявку", "отримати грант", "отримати фінансування"]
+LASTING_SUPPORT = ["grant", "finance_programme", "loan", "guarantee", "leasing", "factoring"]
+LASTING_PAGE = "business.diia.gov.ua/finance"

@@ -111,8 +111,13 @@ def let(value: Column, build: Callable[[Column], Column]) -> Column:
 def snippet(c: Column, words: list[str], radius: int = 240) -> Column:
     """The stretch around the earliest of the words."""
     at = let(F.lower(c), lambda low: F.array_min(F.filter(F.array(*(F.locate(w, low) for w in words)), lambda x: x > 0)))
-    start = lambda k: F.greatest(k - radius // 2, F.lit(1))
-    return let(at, lambda k: clean_text(F.substring(c, start(k), k + radius - start(k))))
+    return let(at, lambda k: stretch(c, k, radius))
+
+
+def stretch(c: Column, place: Column, radius: int = 240) -> Column:
+    """The stretch around a place, null for none."""
+    start = F.greatest(place - radius // 2, F.lit(1))
+    return clean_text(F.substring(c, start, place + radius - start))
 
 
 def cosine(a: Column, b: Column) -> Column:

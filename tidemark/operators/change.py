@@ -89,17 +89,29 @@ def mark_details(state: DataFrame, marks: DataFrame) -> DataFrame:
     return state.join(given, "id", "left").withColumn("detail_status", F.coalesce("__given", "detail_status")).select(*state.columns)
 
 
-def merge_records(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old after an upsert of new by identity: the record id within a source first, else the address; `change` says created, updated or kept.
+def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row of each key, the least by the order's columns, nulls last: partly aggregated before the shuffle, no sort."""
+    place = F.struct(*(c for name in order for c in (F.col(name).isNull().alias(f"no_{name}"), F.col(name))))
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("__row")).select(*keys, "__row.*")
+
+
+def put_records(known: DataFrame, new: DataFrame) -> DataFrame:
+    """new rows with the `id` to store them under and `change`, created or updated: known by the record id within a source first, else by the address.
 
-    Both have id, source, record_id and url; an updated record keeps its id. Of new rows of one record, the one with the
-    least `position` counts if new has that column.
+    known has id, source, record_id and url, new the last three. Of new rows of one record, the one with the least `position`
+    counts if new has that column, then the least by address, record id and all the rest as text.
     """
-    by = lambda key, name: old.filter(F.col(key).isNotNull()).groupBy("source", key).agg(F.min("id").alias(name))
+    by = lambda key, name: known.filter(F.col(key).isNotNull()).groupBy("source", key).agg(F.min("id").alias(name))
     found = new.join(by("record_id", "__by_record"), ["source", "record_id"], "left").join(by("url", "__by_url"), ["source", "url"], "left")
     found = found.withColumn("__known", F.coalesce("__by_record", "__by_url")).withColumn("__identity", F.coalesce(F.col("__known").cast("string"), F.concat(F.lit("r:"), "record_id"), F.concat(F.lit("u:"), "url")))
-    order = [F.asc_nulls_last("position")] if "position" in new.columns else []
-    one = latest(found, ["source", "__identity"], [*order, F.asc_nulls_last("url"), F.asc_nulls_last("record_id")])
-    fields = [c for c in old.columns if c != "id"]
-    put = one.select(F.coalesce(F.col("__known"), F.xxhash64("source", "__identity").cast(dict(old.dtypes)["id"])).alias("id"), *fields, F.when(F.col("__known").isNull(), "created").otherwise("updated").alias("change"))
+    found = found.withColumn("__rest", F.to_json(F.struct(*new.columns)))
+    one = first_of(found, ["source", "__identity"], [*(["position"] if "position" in new.columns else []), "url", "record_id", "__rest"])
+    made = F.coalesce(F.col("__known"), F.xxhash64("source", "__identity").cast(dict(known.dtypes)["id"])).alias("id")
+    return one.select(made, *(c for c in new.columns if c != "id"), F.when(F.col("__known").isNull(), "created").otherwise("updated").alias("change"))
+
+
+def merge_records(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old after an upsert of new by identity (put_records); `change` says created, updated or kept. An updated record keeps its id."""
+    put = put_records(old, new).select("id", *(c for c in old.columns if c != "id"), "change")
     return without(old, put, ["id"]).withColumn("change", F.lit("kept")).unionByName(put)

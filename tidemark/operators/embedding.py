@@ -1,15 +1,10 @@
-"""Hash embeddings of texts and nearest neighbours by cosine."""
+"""Hash embeddings of texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import cosine
-
-#: Up to so many vectors of a query set go to all tasks at once.
-QUERIES_BROADCAST = 5_000
-
 
 def hash_embedding(df: DataFrame, text: str = "text", key: str = "id", size: int = 64) -> DataFrame:
     """key, place, value: the sparse unit vector of each text.
@@ -22,28 +17,3 @@ def hash_embedding(df: DataFrame, text: str = "text", key: str = "id", size: int
     sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
     sums = df.select(key, word.alias("word")).groupBy(key, "word").agg(F.count("*").alias("n")).select(key, place.alias("place"), (sign * F.col("n")).alias("n")).groupBy(key, "place").agg(F.sum("n").alias("n")).filter("n <> 0")
     return sums.withColumn("value", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))).drop("n")
-
-
-def with_each(rows: DataFrame, queries: DataFrame, row: str, query: str, most: int = QUERIES_BROADCAST, slices: int = 64) -> DataFrame:
-    """Each of rows with each of a stated query set; row and query name their keys.
-
-    Up to `most` queries, counted first, go to all tasks. More are cut into blocks of about that many, and rows into
-    slices, and each block meets each slice in an equi-join.
-    """
-    n = queries.count()
-    if n <= most:
-        return rows.crossJoin(F.broadcast(queries))
-    blocks = -(-n // most)
-    part = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = rows.withColumn("__slice", part(row, slices)).withColumn("__block", every(blocks))
-    return left.join(queries.withColumn("__block", part(query, blocks)).withColumn("__slice", every(slices)), ["__slice", "__block"]).drop("__slice", "__block")
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, most: int = QUERIES_BROADCAST) -> DataFrame:
-    """query_id, rank, vec_id, similarity: the k nearest rows to each of a stated query set."""
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    near = with_each(rows, asked, "vec_id", "query_id", most).filter("vec_id <> query_id")
-    near = near.select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -9,12 +9,14 @@ in order, as the clients' column history. A null list counts as empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions.extraction import has_any, labels, padded
 from tidemark.functions.text import clean_text, cosine
+from tidemark.operators import terms
 from tidemark.operators.quality import column
 from tidemark.operators.reports import counted
 
@@ -65,33 +67,26 @@ def client_sides(clients: DataFrame) -> DataFrame:
     return out.withColumn("accepted_types", F.array_distinct(F.flatten(F.transform("client_types", lambda t: accepted[t]))))
 
 
-def terms_in_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """id, client_key of the texts (id, body) that hold a term (client_key, term) as a part.
-
-    Both sides meet on the first three characters of a term, an equi-join; the exact test follows. Only ids and
-    grams are shuffled, and only grams that begin some term.
-    """
-    gram = F.substring("term", 1, 3)
-    terms = terms.filter(F.col("term") != "").distinct()
-    starts = terms.select(gram.alias("gram")).distinct()
-    places = F.sequence(F.lit(1), F.greatest(F.char_length("body"), F.lit(1)))
-    grams = texts.select("id", F.explode(F.array_distinct(F.flatten(F.transform(places, lambda k: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("body"), k, n)))))).alias("gram"))
-    maybe = grams.join(starts, "gram", "left_semi").join(terms.select(gram.alias("gram"), "term").distinct(), "gram").select("id", "term")
-    return maybe.join(texts, "id").filter(F.contains("body", "term")).select("id", "term").join(terms, "term").select("id", "client_key").distinct()
-
-
 def candidates(opportunities: DataFrame, clients: DataFrame, applications: DataFrame) -> DataFrame:
     """id, client_key, once, of the pairs that can reach MIN_SCORE.
 
     They share a topic, or the opportunity's text holds a technology, the sector or an application's title, program
     or source. Any other pair has at most 0.75 * 0.15 for its type, 0.25 * 0.25 * weight for its history and 0.05
-    for its confidence: below 0.25 for weights up to 140 per cent.
+    for its confidence: below 0.25 for weights below 140 per cent. A reusable application of a greater weight also pairs
+    with its type; one of 230 per cent or more could do so with no type at all, and raises ValueError.
     """
+    heavy = applications.filter(F.col("weight") >= 140).select("client_key", "weight", F.lower(clean_text(F.col("applicant_type"))).alias("kind")).distinct()
+    most = heavy.agg(F.max("weight")).first()[0]
+    if most is not None and most >= 230:
+        raise ValueError(f"an application weighs {most} per cent; weights below 230 are supported")
     topics = clients.select("client_key", F.explode("wanted").alias("topic")).unionByName(applications.select("client_key", F.explode(normal_set(F.col("topics"))).alias("topic"))).distinct()
     words = clients.select("client_key", F.explode(normal_set(F.concat(F.col("technologies"), F.array("sector")))).alias("term"))
     told = applications.join(clients.select("client_key"), "client_key", "left_semi").select("client_key", F.explode(normal_set(F.array("title", "program", "source"))).alias("term"))
     by_topic = opportunities.select("id", F.explode("topic_set").alias("topic")).join(topics, "topic").select("id", "client_key")
-    return by_topic.unionByName(terms_in_texts(opportunities.select("id", "body"), words.unionByName(told))).distinct()
+    both = by_topic.unionByName(terms.in_texts(opportunities.select("id", "body"), words.unionByName(told)))
+    if most is not None:
+        both = both.unionByName(opportunities.select("id", F.explode("type_set").alias("kind")).join(heavy, "kind").select("id", "client_key"))
+    return both.distinct()
 
 
 def in_rows(clients: DataFrame) -> DataFrame:
@@ -100,9 +95,11 @@ def in_rows(clients: DataFrame) -> DataFrame:
 
 
 def in_blocks(applications: DataFrame, size: int = BLOCK) -> DataFrame:
-    """client_key, block, past: all of a client's applications in order, at most `size` in a row."""
-    placed = applications.withColumn("n", F.row_number().over(Window.partitionBy("client_key").orderBy("order")))
-    return placed.groupBy("client_key", ((F.col("n") - 1) / size).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", *PAST))).alias("past"))
+    """client_key, block, past: all of a client's applications, about `size` in a row, dealt by a hash of their order where there are more."""
+    many = applications.groupBy("client_key").agg(F.count("*").alias("n")).filter(F.col("n") > size)
+    block = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("order"), F.ceil(F.col("n") / size))).cast("int")
+    placed = applications.join(many, "client_key", "left").withColumn("block", block)
+    return placed.groupBy("client_key", "block").agg(F.array_sort(F.collect_list(F.struct("order", *PAST))).alias("past"))
 
 
 def pair_gates(pairs: DataFrame) -> DataFrame:
@@ -140,6 +137,11 @@ def vector_score(offer: Column, client: Column, past: Column | None = None) -> C
     return F.when(own.isNotNull() | best.isNotNull(), _rounded((F.coalesce(own, F.lit(0)) * 8 + F.coalesce(best, F.lit(0)) * 2) / 10))
 
 
+def vector_value(cosines: np.ndarray) -> np.ndarray:
+    """vector_score of pairs without applications, from their cosines."""
+    return np.rint(np.floor(np.clip(cosines, 0, 1) * 10_000 + 0.5) * 8 / 10)
+
+
 def remembered(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """pairs with history_score, the best of all the client's applications, and matched_history, the first five that score."""
 
@@ -151,11 +153,11 @@ def remembered(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
         return F.least(F.lit(10_000.0), (F.size(F.array_intersect(F.col("topic_set"), topics)) * 5000 + whole * k) * F.coalesce(F.nullif(h["weight"], F.lit(0)), F.lit(100)) / (k * 100))
 
     own = [c for c in pairs.columns if c not in ("id", "client_key")]
-    told = pairs.join(blocks, "client_key", "left").withColumn("past", F.transform("past", lambda h: F.struct(h["title"].alias("title"), h["result"].alias("result"), each(h).alias("score"))))
-    first = F.struct("block", F.slice(F.filter("past", lambda h: h["score"] > 0), 1, 5).alias("past"))
+    told = pairs.join(blocks, "client_key", "left").withColumn("past", F.transform("past", lambda h: F.struct(h["order"].alias("order"), h["title"].alias("title"), h["result"].alias("result"), each(h).alias("score"))))
+    first = F.slice(F.filter("past", lambda h: h["score"] > 0), 1, 5)
     best = told.select("id", "client_key", F.struct(*own).alias("own"), F.array_max(F.transform("past", lambda h: h["score"])).alias("best"), F.when(F.col("block").isNotNull(), first).alias("first"))
-    best = best.groupBy("id", "client_key").agg(F.first("own").alias("own"), F.max("best").alias("best"), F.array_sort(F.collect_list("first")).alias("first"))
-    matched = F.slice(F.flatten(F.transform("first", lambda f: f["past"])), 1, 5)
+    best = best.groupBy("id", "client_key").agg(F.first("own").alias("own"), F.max("best").alias("best"), F.collect_list("first").alias("first"))
+    matched = F.transform(F.slice(F.array_sort(F.flatten("first")), 1, 5), lambda h: F.struct(h["title"].alias("title"), h["result"].alias("result"), h["score"].alias("score")))
     return best.select("id", "client_key", "own.*", _rounded(F.coalesce("best", F.lit(0.0))).alias("history_score"), matched.alias("matched_history"))
 
 

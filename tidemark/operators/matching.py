@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.gates import terms_in_texts
+from tidemark.operators import terms as all_terms
 
 #: Up to so many clients go to all tasks; more are joined on topics.
 BROADCAST_CLIENTS = 20_000
@@ -15,8 +15,8 @@ def keyword_score(topics: Column, text: Column, wanted: Column, sector: Column,
     """45 % topics met, 30 % topics found in the text, 10 % sector in the text, less 20 % for unwanted topics; from 0 to 1."""
     n = F.greatest(F.size(wanted), F.lit(1))
     met = F.size(F.array_intersect(topics, wanted))
-    found = F.size(F.filter(wanted, lambda t: F.contains(text, t)))
-    raw = F.floor(met * 4500 / n) + F.floor(found * 3000 / n) + F.when(F.contains(text, F.lower(sector)), 1000).otherwise(0) - F.when(F.arrays_overlap(topics, unwanted), 2000).otherwise(0)
+    found = F.size(F.filter(wanted, lambda t: (t != "") & F.contains(text, t)))
+    raw = F.floor(met * 4500 / n) + F.floor(found * 3000 / n) + F.when((sector != "") & F.contains(text, F.lower(sector)), 1000).otherwise(0) - F.when(F.arrays_overlap(topics, unwanted), 2000).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(10_000), raw)).cast("int")
 
 
@@ -51,14 +51,14 @@ def gates(opportunities: DataFrame, as_of: str) -> DataFrame:
 def pairs(opportunities: DataFrame, clients: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """The pairs of an opportunity and a client in which anything wanted is met: a topic, or a wanted word or the sector in the text (body).
 
-    No other pair has a positive keyword score; `more` adds pairs (id, client_key). Topics and the terms' first three
-    characters are equi-join keys. Clients are broadcast only if they are counted to be few.
+    No other pair has a positive keyword score; `more` adds pairs (id, client_key). Topics are equi-join keys, words and
+    sectors are found in one pass over the texts; blank ones count as absent. Clients are broadcast only if they are
+    counted to be few.
     """
     wants = clients.select("client_key", F.explode("wanted").alias("topic"))
     terms = wants.withColumnRenamed("topic", "term").unionByName(clients.select("client_key", F.lower("sector").alias("term")))
     by_topic = opportunities.select("id", F.explode("topics").alias("topic")).join(wants, "topic").select("id", "client_key")
-    anywhere = opportunities.select("id").crossJoin(terms.filter("term = ''").select("client_key"))  # an empty term is in every text
-    both = by_topic.unionByName(terms_in_texts(opportunities.select("id", "body"), terms)).unionByName(anywhere)
+    both = by_topic.unionByName(all_terms.in_texts(opportunities.select("id", "body"), terms))
     both = (both if more is None else both.unionByName(more.select("id", "client_key"))).distinct()
     few = clients.limit(BROADCAST_CLIENTS + 1).count() <= BROADCAST_CLIENTS
     return both.join(opportunities, "id").join(F.broadcast(clients) if few else clients, "client_key")

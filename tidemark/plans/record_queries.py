@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import extraction, rules
-from tidemark.operators import audit, classification, dedup, embedding, enrich, external, gates, matching, profiles, reports
+from tidemark.operators import audit, classification, dedup, enrich, external, gates, nearest, profiles, reports, threshold
 from tidemark.plans.base import AS_OF, query
 from tidemark.sources import views
 
@@ -132,27 +132,27 @@ valued AS (SELECT w.*, coalesce(history, 0) AS history, greatest(0, least(10000,
 MATCHED = f"WITH {OFFERS}, {CONTRACT}, {PROFILES}, {OPEN}, {FITTING}"
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.match(_contracted(spark, sf_dir), views.profiles(spark, sf_dir), AS_OF, applications=views.applications(spark, sf_dir))
+def _sides(spark: SparkSession, sf_dir: str) -> tuple:
+    return _contracted(spark, sf_dir), views.profiles(spark, sf_dir), views.applications(spark, sf_dir), AS_OF
 
 
 @query(f"""{MATCHED} SELECT client, n AS rank, id, score, keyword, history AS history_score, array_to_string(checks, ';') AS checks,
   coalesce(nullif(concat_ws('; ', CASE WHEN len(topic_hits) > 0 THEN 'topic fit: ' || array_to_string(topic_hits, ', ') END, CASE WHEN len(technology_hits) > 0 THEN 'technology fit: ' || array_to_string(technology_hits, ', ') END, CASE WHEN type_hit THEN 'applicant type fit' END, CASE WHEN history > 0 THEN 'similar application history' END), ''), 'basic shortlist score passed') AS explanation
   FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY score DESC, id) AS n FROM valued WHERE score >= 2500) WHERE n <= 10""")
 def match_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = matching.shortlist(_matches(spark, sf_dir))
+    best = threshold.best(*_sides(spark, sf_dir))
     checks = F.array_join(F.filter("checks", lambda c: ~F.startswith(c, F.lit("quality warning:"))), ";")
     return best.select("client", F.col("rank").cast("long").alias("rank"), "id", "score", "keyword", "history_score", checks.alias("checks"), "explanation")
 
 
 @query(f"{MATCHED} SELECT client, count(*) AS n, sum(score)::BIGINT AS total, max(score) AS best, count(*) FILTER (unwanted_hit) AS unwanted FROM valued WHERE score >= 2500 GROUP BY client")
 def match_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(spark, sf_dir).groupBy("client").agg(F.count("*").alias("n"), F.sum("score").cast("long").alias("total"), F.max("score").alias("best"), F.count_if("unwanted_hit").alias("unwanted"))
+    return threshold.totals(*_sides(spark, sf_dir))
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.left("text", F.lit(80)).alias("title"), "text")
-    return enrich.enrich(docs, AS_OF)
+    return enrich.enrich(views.spread(docs), AS_OF)
 
 
 @query()
@@ -179,10 +179,9 @@ def duplicate_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) QUALIFY row_number() OVER (PARTITION BY client_key ORDER BY score DESC, id) <= 10""")
 def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten rows with the greatest vector score for each of the stated queries."""
-    rows = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("client_key"), F.col("embedding").alias("own"))
-    pairs = embedding.with_each(rows, asked, "vec_id", "client_key").filter("vec_id <> client_key").select("client_key", F.col("vec_id").alias("id"), gates.vector_score(F.col("embedding"), F.col("own")).alias("score"))
-    return matching.shortlist(pairs.withColumn("client", F.col("client_key")), least=0).select("client_key", "id", "score")
+    rows = views.table(spark, sf_dir, "embeddings")
+    best = nearest.exact(rows.filter("vec_id % 50 = 0"), rows, k=10, value=gates.vector_value)
+    return best.select(F.col("query_id").alias("client_key"), F.col("vec_id").alias("id"), F.col("similarity").cast("int").alias("score"))
 
 
 @query(f"""WITH {OFFERS} SELECT 'record' AS kind, id::VARCHAR AS id, concat_ws(' ', 'Title: ' || trim(title), 'Summary: ' || summary, 'Funder: ' || funder, 'Status: ' || status, 'Support type: ' || support_type, 'Funding: ' || amount_text || ' EUR',

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules, text
-from tidemark.operators import change, classification, dedup, embedding, matching, quality, reports
+from tidemark.operators import change, classification, dedup, embedding, matching, nearest, quality, reports
 from tidemark.plans import list_queries, record_queries  # noqa: F401
 from tidemark.plans.base import AS_OF, ORACLE_SQL, QUERIES, query  # noqa: F401
 from tidemark.sources import files, listings, views
@@ -265,11 +265,33 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.hash_embedding(docs).withColumn("value", F.round("value", 6))
 
 
-@query("""SELECT query_id, n AS rank, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS n
-  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) WHERE n <= 5""")
+TOPK = """SELECT query_id, n AS rank, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS n
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) WHERE n <= 5"""
+
+
+def _nearest(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id")
+
+
+@query(TOPK)
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "embeddings")
-    return embedding.nearest(rows.filter("vec_id % 50 = 0"), rows).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id")
+    return _nearest(nearest.exact(rows.filter("vec_id % 50 = 0"), rows))
+
+
+@query(TOPK)
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows out of an inverted index: the lists nearest to a query, then those that can still hold one of its rows."""
+    rows = views.table(spark, sf_dir, "embeddings")
+    return _nearest(nearest.search(nearest.build(rows), rows.filter("vec_id % 50 = 0"), whole=True))
+
+
+@query()
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the true nearest rows the lists nearest to each query hold."""
+    rows = views.table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 50 = 0")
+    return nearest.recall(nearest.search(nearest.build(rows), asked), nearest.exact(asked, rows))
 
 
 @query("SELECT n_name AS country, c_mktsegment AS sector, count(*) AS n, sum(c_acctbal::DECIMAL(14,2))::DOUBLE AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer partitions, such as one small file, for long work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
