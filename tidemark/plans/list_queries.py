@@ -118,11 +118,11 @@ def matches_to_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.for_explanation(_matches(spark, sf_dir), lists.latest_run(_runs(spark, sf_dir))).select("id", "client_key", "rank", "score")
 
 
-@query(f"WITH {MATCHES} SELECT run_id, count(*) AS n, sum(score)::BIGINT AS total FROM (SELECT run_id, id, client_key, CASE WHEN id % 3 = 0 THEN score + 1 ELSE score END AS score FROM matches WHERE id % 2 = 0 OR id % 3 = 0) GROUP BY run_id")
+@query(f"WITH {MATCHES} SELECT run_id, count(*) AS n, sum(score)::BIGINT AS total FROM (SELECT run_id, id, client_key, CASE WHEN id % 2 <> 0 OR id % 3 = 0 THEN score + 1 ELSE score END AS score FROM matches) GROUP BY run_id")
 def saved_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of two batches, of which the second replaces what the first has for a run, record and client."""
+    """All matches in two batches, some in both, of which the second replaces what the first has for a run, record and client."""
     found = _matches(spark, sf_dir).select("run_id", "id", "client_key", "score", "updated_at")
-    both = lists.save_matches(found.filter("id % 2 = 0"), found.filter("id % 3 = 0").withColumn("score", F.col("score") + 1))
+    both = lists.save_matches(found.filter("id % 2 = 0"), found.filter("id % 2 <> 0 OR id % 3 = 0").withColumn("score", F.col("score") + 1))
     return both.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("score").cast("long").alias("total"))
 
 
@@ -194,17 +194,17 @@ def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as listed items of an earlier day, and as drafts of a later one; a draft with a number by five has lost its record id."""
+    """All orders: even ones as listed items of an earlier day, odd ones and multiples of three as drafts of a later one; a draft with a number by five has lost its record id."""
     rows = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 10).alias("source"), F.col("o_orderstatus").alias("title"), F.col("o_orderdate").alias("at"))
     keys = {"record_id": F.concat(F.lit("r"), F.col("k").cast("string")), "url": F.concat(F.lit("u"), F.col("k").cast("string"))}
     state = rows.filter("k % 2 = 0").withColumns(keys).select(F.col("k").alias("id"), "source", "record_id", "url", "title", F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("old")).alias("metadata"), F.lit("new").alias("discovery_status"), F.lit("fetched").alias("detail_status"), F.col("at").alias("first_seen_at"), F.col("at").alias("last_seen_at"))
-    drafts = rows.filter("k % 3 = 0").withColumns(keys).select("source", F.when(F.col("k") % 5 != 0, F.col("record_id")).alias("record_id"), "url", F.concat(F.lit("new "), "title").alias("title"), F.create_map(F.lit("b"), F.lit("new")).alias("metadata"), F.col("k").alias("position"))
+    drafts = rows.filter("k % 2 <> 0 OR k % 3 = 0").withColumns(keys).select("source", F.when(F.col("k") % 5 != 0, F.col("record_id")).alias("record_id"), "url", F.concat(F.lit("new "), "title").alias("title"), F.create_map(F.lit("b"), F.lit("new")).alias("metadata"), F.col("k").alias("position"))
     return state, drafts
 
 
-@query("""SELECT 'u' || o_orderkey AS url, CASE WHEN o_orderkey % 3 = 0 THEN 'new ' ELSE '' END || o_orderstatus AS title, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'known' ELSE 'new' END AS discovery_status,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'fetched' ELSE 'not_fetched' END AS detail_status, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate ELSE TIMESTAMP '1999-01-01' END AS first_seen_at, CASE WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '1999-01-01' ELSE o_orderdate END AS last_seen_at,
-  CASE WHEN o_orderkey % 2 <> 0 THEN 'b=new' WHEN o_orderkey % 3 = 0 THEN 'a=old,b=new' ELSE 'a=old,b=old' END AS metadata FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+@query("""SELECT 'u' || o_orderkey AS url, CASE WHEN o_orderkey % 2 <> 0 OR o_orderkey % 3 = 0 THEN 'new ' ELSE '' END || o_orderstatus AS title, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'known' ELSE 'new' END AS discovery_status,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'fetched' ELSE 'not_fetched' END AS detail_status, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate ELSE TIMESTAMP '1999-01-01' END AS first_seen_at, CASE WHEN o_orderkey % 2 <> 0 OR o_orderkey % 3 = 0 THEN TIMESTAMP '1999-01-01' ELSE o_orderdate END AS last_seen_at,
+  CASE WHEN o_orderkey % 2 <> 0 THEN 'b=new' WHEN o_orderkey % 3 = 0 THEN 'a=old,b=new' ELSE 'a=old,b=old' END AS metadata FROM orders""")
 def discovered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of listed items after a batch of drafts."""
     state, drafts = _listed(spark, sf_dir)
@@ -212,25 +212,25 @@ def discovered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.merge_items(state, drafts, "1999-01-01", ["record_id", "url"]).select("url", "title", "discovery_status", "detail_status", "first_seen_at", "last_seen_at", pairs.alias("metadata"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'fetched' END AS detail_status FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'fetched' END AS detail_status FROM orders")
 def detail_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state, _ = _listed(spark, sf_dir)
+    state = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("fetched").alias("detail_status"))
     return change.mark_details(state, state.filter("id % 7 = 0").select("id", F.lit("failed").alias("detail_status"))).select("id", "detail_status")
 
 
-@query("""SELECT 'u' || o_orderkey AS url, CASE WHEN o_orderkey % 3 = 0 THEN 'new ' ELSE '' END || o_orderstatus AS title, CASE WHEN o_orderkey % 3 <> 0 THEN 'kept' WHEN o_orderkey % 2 = 0 THEN 'updated' ELSE 'created' END AS change
-  FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+@query("""SELECT 'u' || o_orderkey AS url, CASE WHEN o_orderkey % 2 <> 0 OR o_orderkey % 3 = 0 THEN 'new ' ELSE '' END || o_orderstatus AS title, CASE WHEN NOT (o_orderkey % 2 <> 0 OR o_orderkey % 3 = 0) THEN 'kept' WHEN o_orderkey % 2 = 0 THEN 'updated' ELSE 'created' END AS change
+  FROM orders""")
 def saved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records after an upsert by record id, then address."""
     state, drafts = _listed(spark, sf_dir)
     return change.merge_records(state.select("id", "source", "record_id", "url", "title"), drafts.drop("metadata")).select("url", "title", "change")
 
 
-@query("""SELECT o_custkey AS client_key, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS replaced FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 GROUP BY 1""")
+@query("""SELECT o_custkey AS client_key, count(*) AS n, count(*) FILTER (o_orderkey % 2 <> 0 OR o_orderkey % 3 = 0) AS replaced FROM orders GROUP BY 1""")
 def saved_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications after an upsert on client, title, source and programme, of which the last two may be null."""
     rows = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("client_key"), F.col("o_orderkey").cast("string").alias("title"), F.when(F.col("o_orderkey") % 4 == 0, "s").alias("source"), F.lit(None).cast("string").alias("program"))
-    both = change.upsert(rows.filter("k % 2 = 0").withColumn("result", F.lit("old")), rows.filter("k % 3 = 0").withColumn("result", F.lit("new")), ["client_key", "title", "source", "program"])
+    both = change.upsert(rows.filter("k % 2 = 0").withColumn("result", F.lit("old")), rows.filter("k % 2 <> 0 OR k % 3 = 0").withColumn("result", F.lit("new")), ["client_key", "title", "source", "program"])
     return both.groupBy("client_key").agg(F.count("*").alias("n"), F.count_if(F.col("result") == "new").alias("replaced"))
 
 

@@ -184,16 +184,16 @@ def incremental_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.actions(batch, known, change.due_for_refresh(known, "1996-01-01"), "id")
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 <> 0 OR o_orderkey % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM orders")
 def upsert_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _state(spark, sf_dir).select("id")
-    return change.upsert(rows.filter("id % 2 = 0").withColumn("version", F.lit("old")), rows.filter("id % 5 = 0").withColumn("version", F.lit("new")), ["id"])
+    return change.upsert(rows.filter("id % 2 = 0").withColumn("version", F.lit("old")), rows.filter("id % 2 <> 0 OR id % 5 = 0").withColumn("version", F.lit("new")), ["id"])
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS version FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS version FROM orders")
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _state(spark, sf_dir).select("id")
-    return change.insert_missing(rows.filter("id % 2 = 0").withColumn("version", F.lit("old")), rows.filter("id % 5 = 0").withColumn("version", F.lit("new")), ["id"])
+    return change.insert_missing(rows.filter("id % 2 = 0").withColumn("version", F.lit("old")), rows.filter("id % 2 <> 0 OR id % 5 = 0").withColumn("version", F.lit("new")), ["id"])
 
 
 CANON = r"""canon AS (SELECT page_id, url, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(u, '^[^:]+://([^/?]*)', 1))
