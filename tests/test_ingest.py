@@ -38,7 +38,7 @@ def test_leaves_deadlines_budgets_and_attributes(spark):
     assert dates[0].deadline_text == rules.PAYLOAD_DEADLINES + "2025-01-01, 2026-04-03, 2026-05-06, 2027-02-01"
     assert values(spark, lambda c: payload.deadline(payload.leaves(c), F.lit("2030-01-01")), texts)[0].deadline == date(2027, 2, 1)
     assert values(spark, lambda c: payload.budget(payload.leaves(c)), texts) == [body["budgetOverview"], None, None, None]
-    stated = {"serviceAttributes": [{"key": "other", "value": "x"}, {"categoryAttribute": {"attribute": {"translations": [{"title": "Сума"}], "name": "n"}}, "value": "15 000"}, {"key": "Currency", "value": " EUR "}, {"key": "grant amount"}, 5]}
+    stated = {"serviceAttributes": [{"key": "other", "value": "x"}, {"categoryAttribute": {"attribute": {"translations": [{"title": "Сума"}], "name": "n"}}, "value": "15 000"}, {"key": "Currency", "value": " EUR "}, {"key": "amount"}, 5]}
     named = values(spark, payload.attributes, [json.dumps({"deep": [stated]}), "[]", None])
     assert [(a.name, a.value) for a in named[0]] == [("other", "x"), ("Сума", "15 000"), ("n", "15 000"), ("Currency", " EUR ")] or {(a.name, a.value) for a in named[0]} == {("other", "x"), ("Сума", "15 000"), ("n", "15 000"), ("Currency", " EUR ")}
     assert values(spark, lambda c: payload.attribute(payload.attributes(c), rules.AMOUNT_ATTRIBUTES), [json.dumps(stated)]) == ["15 000"]
@@ -48,7 +48,7 @@ ROWS = "id int, source string, title string, text string, source_url string, pay
 
 
 def test_sums_and_deadlines_by_precedence_with_evidence(spark):
-    stated = json.dumps({"serviceAttributes": [{"key": "grantAmount", "value": "up to 20 000"}, {"key": "currency", "value": "EUR"}]})
+    stated = json.dumps({"serviceAttributes": [{"key": rules.AMOUNT_ATTRIBUTES[0], "value": "up to 20 000"}, {"key": "currency", "value": "EUR"}]})
     budget = json.dumps({"metadata": {"frameworkProgramme": [{"label": "Horizon"}]}, "budgetOverview": '{"maxContribution": 7000}', "deadlineDates": ["2026-03-04"]})
     words = "Funding of EUR 1 000 for startups in Ukraine. Deadline: 5 March 2026. Eligible applicants are small business. " * 3
     rows = [
