@@ -184,3 +184,19 @@ def test_stream_lands_each_key_once(spark, tmp_path):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps({"url": u, "hash": h}) for u, h in rows))
         assert run()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [("u", "1"), ("u", "2"), ("v", "1")]
+
+
+def test_only_pairs_in_reach_are_handed_on(spark):
+    rows = [record(k, f"Regional fund {k * 7919:08d} help", f"https://x.org/{k}", funder="F", deadline=date(2026, 1, 1), amount_max=Decimal(k), currency="EUR") for k in range(40)]
+    rows += [record(40 + k, "Regional fund 10000000 help" + "s" * (k % 2), f"https://x.org/{40 + k}", funder="F", program="P", deadline=date(2026, 1, 1), amount_max=Decimal(1), currency="EUR", source="s") for k in range(6)]
+    records = spark.createDataFrame(rows, FIELDS)
+    want = {(r.left_id, r.right_id): r.score for r in all_pairs(spark, records).collect()}
+    ready = dedup.prepare(records)
+    for block in (4, 512):
+        for least in (dedup.CANDIDATE, dedup.DUPLICATE):
+            handed = [(r.left_id, r.right_id) for r in dedup.met(ready, least, block).select("left_id", "right_id").collect()]
+            good = {k for k, score in want.items() if score >= Decimal(least)}
+            assert good <= {*handed} and len(handed) == len({*handed}) and len(handed) < len(want) / 2
+            assert len(good) >= 15
+    sure = {(r.left_id, r.right_id): r.score for r in dedup.candidates(records, least=dedup.DUPLICATE).collect()}
+    assert sure == {k: score for k, score in want.items() if score >= Decimal(dedup.DUPLICATE)}

@@ -254,7 +254,7 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey AS id, c_custkey // 50 * 50 + 48 AS root, 2 AS size FROM customer WHERE (c_custkey % 50 = 48 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)) OR c_custkey % 50 = 49")
 def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.groups(dedup.candidates(views.named_records(spark, sf_dir))).select("id", "root", F.col("size").cast("int").alias("size"))
+    return dedup.groups(dedup.kept(dedup.candidates(views.named_records(spark, sf_dir), least=dedup.DUPLICATE))).select("id", "root", F.col("size").cast("int").alias("size"))
 
 
 @query("""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-zа-яіїєґ0-9]{2,}')) AS word FROM documents), d AS (SELECT id, word, count(*) AS n, sha256(word) AS h FROM w GROUP BY 1, 2),
