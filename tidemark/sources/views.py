@@ -95,7 +95,7 @@ def named_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as records whose names differ by their numbers; each fiftieth repeats the one before it."""
     key = F.col("c_custkey")
     of = F.when(key % 50 == 49, key - 1).otherwise(key)
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer")).select(
         key.alias("id"), F.concat(F.lit("Regional Innovation Fund "), F.conv((of * 7919 + 104729).cast("string"), 10, 36), F.lit(" for "), F.lower("c_mktsegment")).alias("title"), F.concat(F.lit("https://Example.org/"), of.cast("string"), F.lit("/?utm_source=x")).alias("source_url"),
         F.col("c_mktsegment").alias("funder"), F.date_add(F.lit("1998-01-01").cast("date"), (of % 900).cast("int")).alias("deadline"), F.lit(None).cast("string").alias("program"), F.col("c_acctbal").cast("decimal(14,2)").alias("amount_max"), F.lit("EUR").alias("currency"), F.array(F.lower("c_mktsegment")).alias("topics"),
     )
