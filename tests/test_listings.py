@@ -92,3 +92,17 @@ def test_recompute_and_catalogue(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"slug": "a", "name": "A", "base_url": "https://a"}\n{"slug": "b", "name": "B", "enabled": false, "rate_limit_seconds": 8}\n{"slug": "a", "name": "0", "base_url": "https://a"}\n')
     rows = {r.slug: r for r in listings.catalogue(spark, str(tmp_path / "s.json")).collect()}
     assert (rows["a"].name, rows["a"].enabled, rows["a"].rate_limit_seconds, rows["a"].error) == ("A", True, 2, None) and (rows["b"].enabled, rows["b"].error) == (False, "base_url is missing")
+
+
+def test_tables_go_to_python_in_small_batches(spark):
+    from tidemark.sources import views
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name)
+    try:
+        for given, then in (("67108864b", str(views.BATCH_BYTES)), ("1000000", "1000000")):
+            spark.conf.set(name, given)
+            views.table(spark, "/root/testdata/sf0.001", "pages")
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, had)

@@ -9,7 +9,19 @@ WANTED = [["ring", "blue"], ["bolt", "red", "small"], ["gear", "hot", "large"],
 UNWANTED = [["old"], ["plate"], ["new"], ["anvil"]]
 
 
+#: Bytes of an Arrow batch between Spark and a task's Python, where the session has Spark's own 64 MB.
+BATCH_BYTES = 3 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts and pages go to Python in batches of so many bytes, however large the partition is: each Python step of a task holds its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
