@@ -4,11 +4,12 @@ import random
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.extraction import padded
-from tidemark.operators import gates, matching, nearest, terms, threshold
+from tidemark.operators import gates, kindwise, matching, nearest, terms, threshold
 
 OFFER = "id long, title string, topics array<string>, applicant_types array<string>, countries array<string>, restrictions string, summary string, status string, confidence decimal(5,4), quality_score int, quality_tier string, class string, flags array<string>, blockers array<string>, deadline date"
 CLIENT = "client_key long, client string, country string, sector string, organization_type string, product string, wanted array<string>, unwanted array<string>, technologies array<string>"
@@ -152,3 +153,42 @@ def test_nearest_of_empty_tables(spark):
     for queries, rows in ((none, frame), (frame, none), (none, none)):
         assert nearest.exact(queries, rows).count() == 0 and nearest.search(nearest.build(rows), queries, whole=True).count() == 0
     assert nearest.recall(none.select(F.col("vec_id").alias("query_id"), "vec_id"), none.select(F.col("vec_id").alias("query_id"), "vec_id")).first().recall == 0
+
+
+def test_few_kinds_make_no_rows_of_pairs(spark, monkeypatch):
+    offers, clients, past = (t.cache() for t in made(spark, 3))
+    every = plain(offers, clients, past).cache()
+    columns = ["client_key", "client", "rank", "id", "score", "keyword", "history_score", "checks", "explanation"]
+    rows = lambda df: sorted(map(tuple, ([*r[:7], tuple(r[7]), r[8]] for r in df.select(*columns).collect())))
+    sums = lambda df: sorted(map(tuple, df.select("client", "n", "total", "best", "unwanted").collect()))
+    want = every.groupBy("client").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.max("score").alias("best"), F.count_if("unwanted_hit").alias("unwanted"))
+
+    def none(self):
+        raise AssertionError("a row for each pair of a client and a kind")
+
+    with monkeypatch.context() as m:
+        m.setattr(threshold.Matching, "pairs", none)
+        m.setattr(kindwise, "GROUP", 3)  # clients of one gate in several groups
+        assert rows(threshold.shown(offers, clients, past, "2026-01-01", top=4)) == rows(matching.shortlist(every, top=4))
+        assert sums(threshold.totals(offers, clients, past, "2026-01-01")) == sums(want)
+    monkeypatch.setattr(kindwise, "MOST", 1)  # joins, as for very many kinds
+    assert rows(threshold.shown(offers, clients, past, "2026-01-01", top=4)) == rows(matching.shortlist(every, top=4))
+    assert sums(threshold.totals(offers, clients, past, "2026-01-01")) == sums(want)
+    assert shown(threshold.best(offers, clients, past, "2026-01-01", top=4)) == shown(matching.shortlist(every, top=4))
+
+
+def test_clients_in_blocks_get_their_best_histories(monkeypatch):
+    r, n = np.random.default_rng(5), 40
+    values = [(a, p, int(r.integers(1, 10_000))) for a in range(9) for p in range(7) if r.random() < 0.6]
+    table = lambda rows: type("T", (), {"toArrow": lambda self: pa.table(dict(zip("apv", map(list, zip(*rows, strict=True)), strict=True)))})()
+    past, words = kindwise.Matrix(table(values)), kindwise.Matrix(table([(w, 1, 5) for w in range(3)]))
+    lists = [r.integers(0, 12, r.integers(0, 6)).tolist() for _ in range(n)]
+    wants = r.integers(0, 3, n)
+    clients = pa.table({"want": pa.array(wants), "applications": pa.array(lists, pa.list_(pa.int64()))})
+    monkeypatch.setattr(kindwise, "CELLS", 40)
+    blocks, known = list(kindwise._blocks(clients, words, past)), {(a, p): v for a, p, v in values}
+    assert len(blocks) > 10 and sorted(k for _, some, _ in blocks for k in some) == list(range(n))
+    for want, some, histories in blocks:
+        assert all(wants[k] == want for k in some)
+        for k, own in zip(some, histories, strict=True):
+            assert own[:-1].tolist() == [max((known.get((a, p), 0) for a in lists[k]), default=0) for p in past.columns]

@@ -179,12 +179,12 @@ def scores(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     return hits.withColumn("score", _rounded((plain + F.col("surety") * 5 - F.when(warned, 50_000).otherwise(0) - F.when(F.col("unwanted_hit"), 200_000).otherwise(0)) / 100))
 
 
-def explanation() -> Column:
-    """Why a scored pair fits, in words."""
+def explanation(remembered: Column | None = None) -> Column:
+    """Why a scored pair fits, in words; `remembered` says whether an application does, without matched_history."""
     join = lambda c: F.array_join(c, ", ")
     parts = F.array_compact(F.array(
         F.when(F.size("topic_hits") > 0, F.concat(F.lit("topic fit: "), join("topic_hits"))), F.when(F.size("technology_hits") > 0, F.concat(F.lit("technology fit: "), join("technology_hits"))),
-        F.when(F.col("type_hit"), "applicant type fit"), F.when(F.size("matched_history") > 0, "similar application history"),
+        F.when(F.col("type_hit"), "applicant type fit"), F.when(F.size("matched_history") > 0 if remembered is None else remembered, "similar application history"),
     ))
     return F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("basic shortlist score passed")
 
