@@ -192,3 +192,16 @@ def test_clients_in_blocks_get_their_best_histories(monkeypatch):
         assert all(wants[k] == want for k in some)
         for k, own in zip(some, histories, strict=True):
             assert own[:-1].tolist() == [max((known.get((a, p), 0) for a in lists[k]), default=0) for p in past.columns]
+
+
+def test_shortlist_of_few_kinds_makes_no_rows_of_pairs(spark, monkeypatch):
+    from tidemark.plans import registry
+
+    def none(*a):
+        raise AssertionError("a row for each pair of a client and a list of topics")
+
+    with monkeypatch.context() as m:
+        m.setattr(matching, "best_history", none)
+        got = sorted(map(tuple, registry.QUERIES["shortlist_history"](spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(kindwise, "MOST", 1)
+    assert got and got == sorted(map(tuple, registry.QUERIES["shortlist_history"](spark, "/root/testdata/sf0.001").collect()))

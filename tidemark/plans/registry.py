@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules, text
-from tidemark.operators import change, classification, dedup, embedding, matching, nearest, quality, reports
+from tidemark.operators import change, classification, dedup, embedding, graph, kindwise, matching, nearest, quality, reports
 from tidemark.plans import list_queries, record_queries  # noqa: F401
 from tidemark.plans.base import AS_OF, ORACLE_SQL, QUERIES, query  # noqa: F401
 from tidemark.sources import files, listings, views
@@ -68,9 +68,13 @@ V_BLEND = """blended AS (SELECT k.client, k.id, floor(k.score * 75 / 100 + coale
 
 @query(f"WITH {V_OPPS}, {V_CLIENTS}, {V_GATED}, {V_KEYWORD}, {V_HISTORY}, {V_BLEND} SELECT client, n AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY score DESC, id) AS n FROM blended WHERE score >= 2500) WHERE n <= 10")
 def shortlist_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword scores by kinds of clients, histories by client; pairs without a keyword score come in where history alone suffices."""
+    """Keyword scores by kinds of clients, histories by client, in the clients' rows; beyond the kinds that these can take, pairs without a keyword score come in where history alone suffices."""
     offers, offered, people, clients = _kinds(spark, sf_dir)
-    best = matching.best_history(offers, views.history(spark, sf_dir))
+    offers, people, applications = graph.kept(offers), graph.kept(people), views.history(spark, sf_dir)
+    own = graph.kept(applications.select("topics", "weight").distinct().withColumn("application", F.monotonically_increasing_id()))
+    if kindwise.fits((people, offers), (own, offers.select("topics").distinct())):
+        return _named(spark, sf_dir, matching.shortlist_in_rows(_pairs(offers, people), offers, offered, clients, applications, own))
+    best = matching.best_history(offers, applications)
     worded = _pairs(offers, people).select("id", F.col("client_key").alias("kind"), "keyword").join(clients, "kind").select("id", "client_key", "keyword")
     either = worded.unionByName(matching.by_history(offers, best).withColumn("keyword", F.lit(0))).groupBy("id", "client_key").agg(F.max("keyword").alias("keyword"))
     scored = either.join(offers.select("id", "topics"), "id").join(best, ["topics", "client_key"], "left")
