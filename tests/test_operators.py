@@ -1,14 +1,18 @@
 """Operators on small inline tables."""
 
+import itertools
 import json
 import random
 from datetime import date, datetime
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
+from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules, text
-from tidemark.operators import change, classification, dedup, graph, quality
+from tidemark.operators import blocks, change, classification, dedup, graph, quality
 from tidemark.sources import files
 from tidemark.streaming import ingest
 
@@ -200,3 +204,44 @@ def test_only_pairs_in_reach_are_handed_on(spark):
             assert len(good) >= 15
     sure = {(r.left_id, r.right_id): r.score for r in dedup.candidates(records, least=dedup.DUPLICATE).collect()}
     assert sure == {k: score for k, score in want.items() if score >= Decimal(dedup.DUPLICATE)}
+
+
+def test_titles_match_as_sequence_matcher_has_them():
+    draw = random.Random(5)
+    texts = ["", "a", "ab ab ab", "енергія громад 12"] + ["".join(draw.choices("ab", k=draw.randint(1, 30))) for _ in range(60)] + [" ".join(draw.choices(["regional", "fund", "funds", "x1", "1x", "help"], k=draw.randint(1, 9))) for _ in range(60)]
+    texts += ["".join(draw.choices("abcd ", k=k)) for k in (199, 200, 201, 450)]
+    left, right = (np.array(x) for x in zip(*((i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if a and b), strict=True))
+    sizes, kinds = np.array([len(t) for t in texts]), sorted(set("".join(texts)))
+    flat = [(k, kinds.index(c)) for k, t in enumerate(texts) if len(t) < blocks.LONG for c in t]
+    chars = blocks.padded(np.array([k for k, _ in flat]), np.array([c for _, c in flat], np.uint8), len(texts), 0)
+    got = blocks.ratios(pa.array(texts), chars, left, right, sizes)
+    want = [Decimal(str(SequenceMatcher(None, texts[i], texts[j]).ratio())).quantize(Decimal("0.0001"), ROUND_HALF_UP) for i, j in zip(left, right, strict=True)]
+    assert got.tolist() == [int(w * 10_000) for w in want]
+
+
+def test_only_candidates_leave_the_blocks(spark):
+    """Titles with the same letters in another order are left out before pairs become rows, whatever the size of blocks and chunks."""
+    codes = ["".join(p) for p in itertools.permutations("12345")]
+    rows = [record(k, f"Regional innovation fund {c} for towns", funder="F", deadline=date(2026, 1, 1), deadline_text="soon", currency="EUR", topics=["energy"], amount_max=Decimal(k % 7), amount_text="EUR") for k, c in enumerate(codes)]
+    rows += [record(200, "x" * 300, "https://a.org", application_url="https://b.org"), record(201, "x" * 299, "https://b.org", application_url="https://a.org", funder="F", deadline_text="soon"), record(202, None, "https://a.org")]
+    records = spark.createDataFrame(rows, FIELDS)
+    want = {(r.left_id, r.right_id): (r.score, r.reasons) for r in all_pairs(spark, records).filter("score >= 0.74").collect()}
+    assert {(r.left_id, r.right_id): (r.score, r.reasons) for r in dedup.candidates(records).collect()} == want and len(want) > 1000
+    ready = dedup.prepare(records)
+    for block in (9, 512):
+        assert sorted((r.left_id, r.right_id) for r in dedup.met(ready, dedup.CANDIDATE, block).collect()) == sorted(want)
+    one = dedup.candidates(records.filter("id > 1000"))
+    assert one.count() == 0 and one.columns == ["left_id", "right_id", "score", "reasons"]
+
+
+def test_blocks_come_whole_from_any_batches(monkeypatch):
+    monkeypatch.setattr(blocks, "PAIRS", 5)
+    keys = ["a"] * 4 + ["b"] + ["c"] * 7 + ["d"] * 2
+    rows = pa.RecordBatch.from_pydict({"key": keys, "low": [0] * 14, "high": [0] * 9 + [1] * 5})
+    want = {(i, j) for i in range(14) for j in range(i + 1, 14) if keys[i] == keys[j] and (i < 9) == (j < 9)}
+    for size in (1, 3, 14):
+        got, begun = [], 0
+        for some, starts in blocks.whole(rows.slice(k, size) for k in range(0, 14, size)):
+            got += [(begun + i, begun + j) for left, right in blocks.met_in(np.arange(some.num_rows), starts, some.num_rows) for i, j in zip(left.tolist(), right.tolist(), strict=True)]
+            begun += some.num_rows
+        assert begun == 14 and len(got) == len(want) and set(got) == want

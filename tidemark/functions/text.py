@@ -21,16 +21,19 @@ def clean_text(c: Column) -> Column:
 
 def canonical_url(c: Column) -> Column:
     """Lower-case scheme and host, no tracking keys, sorted query, no fragment, no slash at the end; text without scheme and host is only cleaned."""
-    u = F.substring_index(clean_text(c), "#", 1)
-    address = F.substring_index(u, "?", 1)
-    scheme = F.lower(F.regexp_extract(address, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(address, r"^[^:]+://([^/]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(address, r"^[^:]+://[^/]*(.*)$", 1), "/+$", "")
-    query = F.when(F.contains(u, F.lit("?")), F.regexp_extract(u, r"\?(.*)$", 1)).otherwise("")
     name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(TRACKING_KEYS) & ~F.startswith(name(p), F.lit("utm_"))))
-    whole = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
-    return F.when((scheme != "") & (host != ""), whole).otherwise(clean_text(c))
+
+    def parts(u: Column) -> Column:
+        address = F.substring_index(u, "?", 1)
+        query = F.when(F.contains(u, F.lit("?")), F.regexp_extract(u, r"\?(.*)$", 1)).otherwise("")
+        kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(TRACKING_KEYS) & ~F.startswith(name(p), F.lit("utm_"))))
+        return F.struct(
+            F.lower(F.regexp_extract(address, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)).alias("scheme"), F.lower(F.regexp_extract(address, r"^[^:]+://([^/]*)", 1)).alias("host"),
+            F.regexp_replace(F.regexp_extract(address, r"^[^:]+://[^/]*(.*)$", 1), "/+$", "").alias("path"), F.array_join(kept, "&").alias("query"), (F.size(kept) > 0).alias("asked"),
+        )
+
+    whole = lambda p: F.concat(p["scheme"], F.lit("://"), p["host"], F.when(p["path"] == "", "/").otherwise(p["path"]), F.when(p["asked"], F.concat(F.lit("?"), p["query"])).otherwise(""))
+    return let(clean_text(c), lambda text: let(let(F.substring_index(text, "#", 1), parts), lambda p: F.when((p["scheme"] != "") & (p["host"] != ""), whole(p)).otherwise(text)))
 
 
 def normalized_title(c: Column) -> Column:
